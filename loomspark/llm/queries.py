@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import ship
+from . import mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,43 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    return place(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, secret_spans
+
+    return digest(secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_sharding": op5_sharding,
+    "op6_html_text": op6_html_text,
+    "op7_secret_scan": op7_secret_scan,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -38,5 +74,32 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) c ON c.a = d.doc_id
+""",
+    "op3_mix_sources": mixing.SQL,
+    "op5_sharding": sharding.SQL
+    + f"SELECT doc_id, source, slot, shard_id, 'shard-' || lpad(shard_id::VARCHAR, 3, '0') AS shard FROM (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {sharding.SLOTS} AS slot FROM documents) JOIN t USING (slot)",
+    "op10_quality_rules": rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, regexp_extract_all(t, '{_WORD}') AS w FROM t),
+l AS (
+  SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{_WORD}') GROUP BY 1
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 4)
+), h AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM h) GROUP BY 1),
+c AS (
+  SELECT doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.5 * n_words OR word_chars > 20 * n_words AS failed FROM c
+), hosts AS (SELECT host, count(*) AS n, sum(failed::INT) AS k FROM f GROUP BY 1),
+prior AS (SELECT m, CASE WHEN v > 1e-9 THEN greatest(m * (1 - m) / v - 1, 0.0) ELSE 1e9 END AS s FROM (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM hosts)),
+v AS (SELECT host, (k + m * s) / (n + s) AS shrunk FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(shrunk, 9) AS host_rate, NOT base_failed AND shrunk <= 0.6 AS kept
+FROM f JOIN v USING (host)
 """,
 }
