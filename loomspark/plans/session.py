@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "6g") ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
