@@ -31,6 +31,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import place
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_katz_scores": op2_katz_scores,
     "op3_mix_sources": op3_mix_sources,
+    "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
     "op6_html_text": op6_html_text,
     "op7_secret_scan": op7_secret_scan,
