@@ -1,0 +1,48 @@
+"""Every query with SQL gives the rows of that SQL; the stream gives the rows of the batch form."""
+
+import decimal
+import math
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from loomspark.plans.catalogue import QUERIES, SQL
+
+DIR = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def con():
+    if not Path(DIR).exists():
+        pytest.skip("no test tables here")
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
+    return c
+
+
+def plain(v):
+    if isinstance(v, (float, decimal.Decimal)):
+        return None if math.isnan(v) else float(f"{float(v):.9g}")
+    return v
+
+
+def rows(columns, found):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql(spark, con, name):
+    df = QUERIES[name](spark, DIR)
+    cur = con.execute(SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert rows(df.columns, df.collect()) == rows(names, cur.fetchall())
+
+
+def test_stream_equals_batch(spark, con):
+    key = lambda df: sorted(tuple(r) for r in df.select("start", "metric", "mean", "least", "most", "n").collect())
+    assert key(QUERIES["t1_stream_windows"](spark, DIR)) == key(QUERIES["t1_windows"](spark, DIR))
