@@ -80,7 +80,7 @@ def _counted(docs: DataFrame, topic: Column | None) -> DataFrame:
 
 def _joined(rows: DataFrame, cells: DataFrame) -> DataFrame:
     on = [f"__{d}" for d in DIMS]
-    return join_small(rows, cells.select(*on, "weight", "p"), on, "left")
+    return join_small(rows, cells.select(*on, F.col("weight").alias("__weight"), F.col("p").alias("__p")), on, "left")
 
 
 def mix_sources(docs: DataFrame, topic: Column | None = None, **how) -> DataFrame:
@@ -92,14 +92,14 @@ def mix_sources(docs: DataFrame, topic: Column | None = None, **how) -> DataFram
     columns are ignored; an empty table gives an empty result.
     """
     rows = written(_counted(docs.select("doc_id", "text", "source", "lang", *([topic.alias("__given")] if topic is not None else [])), None if topic is None else F.col("__given")).select("doc_id", *(f"__{d}" for d in DIMS), "n_tokens"))
-    p = F.coalesce("p", F.lit(0.0))
-    return _joined(rows, calibrated(_cells(rows), **how)).select("doc_id", *(F.col(f"__{d}").alias(d) for d in DIMS), "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("cell_weight"), p.alias("p"), (draw() < p).alias("sampled"))
+    p = F.coalesce("__p", F.lit(0.0))
+    return _joined(rows, calibrated(_cells(rows), **how)).select("doc_id", *(F.col(f"__{d}").alias(d) for d in DIMS), "n_tokens", F.coalesce("__weight", F.lit(0.0)).alias("cell_weight"), p.alias("p"), (draw() < p).alias("sampled"))
 
 
 def sample(docs: DataFrame, topic: Column | None = None, **how) -> DataFrame:
     """The rows that ``mix_sources`` samples, with their columns as they are; texts are not shuffled."""
     p = calibrated(_cells(_counted(docs, topic).select(*(f"__{d}" for d in DIMS), "n_tokens")), **how)
-    return _joined(keyed(docs, topic), p).where(draw() < F.coalesce("p", F.lit(0.0))).select(*[F.col(c) for c in docs.columns])
+    return _joined(keyed(docs, topic), p).where(draw() < F.coalesce("__p", F.lit(0.0))).select(*[F.col(c) for c in docs.columns])
 
 
 def _sql() -> str:
