@@ -209,3 +209,37 @@ def test_stop_stream(spark, tmp_path):
     spark.createDataFrame([("s", i, 1.0) for i in range(10)] + [("t", 1, 0.5)], "stream string, ord long, cost double").write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("stream string, ord long, cost double").parquet(str(tmp_path / "in"))
     assert [tuple(r) for r in metrics.run_once(metrics.stop_stream(s, 3.0), "stops").collect()] == [("s", 2, 3.0)]
+
+
+def test_rules(spark):
+    from loomspark.operators import rules
+
+    d = spark.createDataFrame([(1, "TRUE", 3), (2, "12", 30), (3, "1.5", 31), (4, "x", 0)], "i int, v string, n int")
+    assert [r.c.kind for r in d.select(rules.coerced(F.col("v")).alias("c")).collect()] == ["boolean", "integer", "number", "string"]
+    assert [r.d for r in d.select(rules.auto_depth(F.col("n")).alias("d")).collect()] == [0, 1, 1, 0]
+    assert d.select(rules.expected_personas(F.lit(2)).alias("e")).first().e == 155
+    assert [(round(t.temperature, 2), t.label) for t in d.select(rules.temperatures(3).alias("t")).first().t] == [(0.1, "temperature_0.10"), (0.5, "temperature_0.50"), (0.9, "temperature_0.90")]
+    assert rules.task_grid(spark).count() == 108
+    assert rules.pick_bucket(spark.range(50).withColumnRenamed("id", "task_id"), rules.task_grid(spark)).count() == 50
+    a = d.limit(1).select(rules.action_parts(F.lit('Action: app.go\nAction Input: {"a": 1}')).alias("p"), rules.action_parts(F.lit("Action: go")).alias("q")).first()
+    assert tuple(a.p) == ("app", "go", '{"a": 1}') and tuple(a.q) == ("default_app", "go", "")
+    s = d.limit(1).select(rules.five_descriptions(F.array(*map(F.lit, ["a", " a ", "b  b", "", "c", "d", "e", "f"]))).alias("s")).first().s
+    assert s == ["a", "b b", "c", "d", "e"]
+    f = d.limit(1).select(rules.forbidden(F.array(F.lit("Hot Day"), F.lit("snow")), [("hot", "SNOW")]).alias("f"), rules.retryable(F.lit(503), F.lit(None)).alias("r"), rules.backoff(F.lit(9)).alias("b")).first()
+    assert (f.f, f.r, f.b) == (True, True, 60.0)
+    j = rules.job_progress(spark.createDataFrame([(1, 50, 200, 10.0), (2, 0, 0, 0.0)], "job_id int, done int, total int, seconds double")).orderBy("job_id").collect()
+    assert tuple(j[0][1:]) == (25.0, 5.0, 30.0) and j[1].percent == 0.0
+    old, new = (spark.createDataFrame(x, "k int, ord int, v string") for x in ([(1, 1, "a"), (2, 1, "b")], [(2, 2, "c"), (2, 3, "d")]))
+    assert {(r.k, r.v) for r in rules.upserted(old, new, "k").collect()} == {(1, "a"), (2, "d")}
+    q = spark.createDataFrame([(i, "q", t) for i, t in enumerate(["2024-01-01 00:00:00", "2024-01-01 00:30:00", "2024-01-01 01:10:00", "2024-01-01 02:00:00"])], "request_id int, query string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    assert [r.hit for r in rules.cache_hits(q).orderBy("request_id").collect()] == [False, True, False, True]
+
+
+def test_generation_stage(spark):
+    from loomspark.operators import generation
+
+    d = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "i int, prompt string")
+    got = {r.i: r.answer for r in generation.generate(d, "prompt", batch=1).collect()}
+    assert got[1] == got[3] and got[2] is None
+    r = generation.retried(d, "prompt", lambda c: f"{c} LIKE 'answer%'").collect()
+    assert {x.i: x.attempt for x in r} == {1: 0, 2: None, 3: 0}
