@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import next_value
 from ..functions.text import bigrams, tokens, word_count
 
 
@@ -81,7 +82,8 @@ def bigram_repetition(turns: DataFrame, order: list[str]) -> DataFrame:
     """Share of bigrams that occur more than once, over the stream of all messages in order.
 
     Bigrams inside a message come from its own array. Those across messages need the next message that has a
-    token: an ordered pass over one short row a message, cut into ranges so that no task sees the whole stream.
+    token: inside a group by a window of its own, between groups by ranges of their ids, so that no task sees
+    the whole stream. ``order`` is an integer group id, then the order inside the group.
     """
     t = turns.select(*order, tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     inside = t.select(F.explode(bigrams(F.col("w"))).alias("b"))
@@ -90,7 +92,7 @@ def bigram_repetition(turns: DataFrame, order: list[str]) -> DataFrame:
     inner = ends.select("last", F.lead("first").over(own).alias("next")).where("next IS NOT NULL")
     # from one group to the next: a row a group
     edge = ends.groupBy(order[0]).agg(F.min_by("first", "o").alias("first"), F.max_by("last", "o").alias("last"))
-    outer = edge.select("last", F.lead("first").over(Window.orderBy(order[0])).alias("next")).where("next IS NOT NULL")
+    outer = next_value(edge, order[0], "first", "next").select("last", "next").where("next IS NOT NULL")
     across = inner.union(outer).select(F.concat("last", F.lit(" "), "next").alias("b"))
     c = inside.union(across).groupBy("b").agg(F.count("*").alias("n"))
     return c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bigrams"), F.round(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))) / F.sum("n"), F.lit(0.0)), 6).alias("repetition"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import running_sum_before
 from ..functions.text import strip
 
 
@@ -21,7 +22,7 @@ def parsed(rows: DataFrame) -> DataFrame:
     name, arguments, text, and ``call``: the number of the last tool call so far.
 
     Calls are numbered over the whole table in (conv_id, position) order. Numbers inside a conversation come
-    from its own rows; the start of each from a running sum over one short row a conversation.
+    from its own rows; the start of each from a running sum over one short row a conversation, by ranges of ids.
     """
     m = rows.select("conv_id", F.posexplode("conversations").alias("pos", "x")).select("conv_id", "pos", F.col("x.role").alias("role"), F.coalesce("x.content", F.lit("")).alias("content")).where("role IN ('user', 'assistant')")
     content = F.col("content")
@@ -39,7 +40,7 @@ def parsed(rows: DataFrame) -> DataFrame:
     )
     inside = F.sum((F.col("kind") == "call").cast("long")).over(Window.partitionBy("conv_id").orderBy("pos"))
     per = m.groupBy("conv_id").agg(F.count_if(F.col("kind") == "call").alias("n"))
-    start = per.withColumn("start", F.sum("n").over(Window.orderBy("conv_id")) - F.col("n")).drop("n")
+    start = running_sum_before(per, "conv_id", "n", "start").drop("n")
     return m.withColumn("inside", inside).join(start, "conv_id").withColumn("call", F.col("inside") + F.col("start")).drop("inside", "start")
 
 

@@ -243,3 +243,17 @@ def test_generation_stage(spark):
     assert got[1] == got[3] and got[2] is None
     r = generation.retried(d, "prompt", lambda c: f"{c} LIKE 'answer%'").collect()
     assert {x.i: x.attempt for x in r} == {1: 0, 2: None, 3: 0}
+
+
+def test_order_by_ranges(spark):
+    from loomspark.functions.order import next_value, running_sum_before
+
+    keys = [3, 4, 9, 1000, 5000, 5001, 10**7]
+    d = spark.createDataFrame([(k, k % 7 + 1) for k in keys], "k long, v long")
+    want, total = {}, 0
+    for k in keys:
+        want[k] = total
+        total += k % 7 + 1
+    assert {r.k: r.s for r in running_sum_before(d, "k", "v", "s").collect()} == want
+    assert {r.k: r.n for r in next_value(d, "k", "v", "n").collect()} == {k: (x % 7 + 1 if x else None) for k, x in zip(keys, [*keys[1:], None])}
+    assert next_value(d.limit(0), "k", "v", "n").count() == 0
