@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, export, monitor, preference, quality, sampling, taxonomy, traces, vectors
+from ..operators import analytics, export, generation, monitor, preference, quality, rules, sampling, taxonomy, traces, vectors
 from ..sources import enrich, readers
 from ..streaming import metrics as streaming
 from .session import ship
@@ -272,6 +272,25 @@ query("x21_escaped", "SELECT page_id, replace(replace(replace(replace(replace(ur
 query("a31_context_state", f"WITH {enrich.SQL} SELECT x AS context, count(*) AS n FROM (SELECT unnest(list_distinct([context_id] || context_ids)) AS x FROM r) GROUP BY 1")(lambda t: analytics.context_counts(t.rows(), dedup=True))
 
 
+# ---- small rules
+
+query("f9_multiple_choice", "SELECT doc_id, array_to_string((w || ['(placeholder)', '(placeholder)', '(placeholder)', '(placeholder)'])[1:4], '|') AS choices, CASE WHEN i >= 0 AND i < 4 THEN i ELSE 0 END::BIGINT AS correct_index FROM (SELECT doc_id, string_split(source, 'r') AS w, doc_id % 7 - 1 AS i FROM documents)")(lambda t: t.documents.select("doc_id", quality.multiple_choice(F.split("source", "r"), F.col("doc_id") % 7 - 1).alias("x")).select("doc_id", F.array_join("x.choices", "|").alias("choices"), "x.correct_index"))
+query("f15_rubric", "SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND NOT list_contains(list_transform(range(doc_id % 5), lambda i: (doc_id + i) % 3 > 0), false) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")(lambda t: t.documents.select("doc_id", quality.rubric(F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 5), lambda i: F.when(i < F.col("doc_id") % 5, (F.col("doc_id") + i) % 3 > 0)), lambda x: x.isNotNull())).alias("score")))
+query("f11_forbidden", "SELECT p_partkey, contains(lower(p_name || ' ' || p_brand), 'part') AND contains(lower(p_name || ' ' || p_brand), '#1') AS hit FROM part")(lambda t: t.part.select("p_partkey", rules.forbidden(F.array("p_name", "p_brand"), [("Part", "#1")]).alias("hit")))
+query("f18_retryable", "SELECT event_id, coalesce(event_id % 600 IN (429, 500, 502, 503, 504), false) OR regexp_matches(lower(event_type), 'timeout|timed out|rate limit|overloaded|temporarily|connection reset') AS retry FROM events")(lambda t: t.events.select("event_id", rules.retryable(F.col("event_id") % 600, F.col("event_type")).alias("retry")))
+query("x12_usage_weight", "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0.0 WHEN doc_id % 3 = 0 THEN 1.0 / (doc_id % 5 + 1) WHEN doc_id % 4 <= 0 THEN 0.0 ELSE greatest(doc_id % 4 - doc_id % 5, 0)::DOUBLE END::DOUBLE AS weight FROM documents")(lambda t: t.documents.select("doc_id", sampling.usage_weight(F.col("doc_id") % 5, F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 4), F.col("doc_id") % 11 == 0).alias("weight")))
+query("x14_auto_depth", "WITH d AS (SELECT i AS depth, (SELECT sum(pow(5, k + 1))::BIGINT FROM range(i + 1) r(k)) AS n FROM range(7) t(i)) SELECT DISTINCT o_custkey, arg_min(depth, (abs(n - o_custkey), depth))::BIGINT AS depth FROM (SELECT DISTINCT o_custkey FROM orders), d GROUP BY 1")(lambda t: t.orders.select("o_custkey").distinct().select("o_custkey", rules.auto_depth(F.col("o_custkey")).cast("long").alias("depth")))
+query("x17_backoff", "SELECT event_id, least(60.0, pow(2.0, event_id % 9))::DOUBLE AS seconds FROM events")(lambda t: t.events.select("event_id", rules.backoff(F.col("event_id") % 9).alias("seconds")))
+query("x23_coerced", r"SELECT event_id, CASE WHEN lower(trim(v)) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(trim(v), '^[+-]?[0-9]+$') THEN 'integer' WHEN regexp_matches(trim(v), '^[+-]?[0-9]*\.[0-9]+$') THEN 'number' ELSE 'string' END AS kind FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN (event_id % 50) || '.5' ELSE event_type END AS v FROM events)")(lambda t: t.events.select("event_id", rules.coerced(F.when(F.col("event_id") % 4 == 0, "True").when(F.col("event_id") % 4 == 1, F.col("event_id").cast("string")).when(F.col("event_id") % 4 == 2, F.concat((F.col("event_id") % 50).cast("string"), F.lit(".5"))).otherwise(F.col("event_type")))["kind"].alias("kind")))
+query("a34_key_usage", "WITH c AS (SELECT 'key_' || (user_id % 6) AS api_key, ts, event_id % 13 = 0 AS failed FROM events), l AS (SELECT api_key, max(ts) AS last FROM c GROUP BY 1) SELECT api_key, count_if(ts > last - INTERVAL 1 HOUR) AS hourly, count_if(ts > last - INTERVAL 1 DAY) AS daily, count_if(failed) AS errors FROM c JOIN l USING (api_key) GROUP BY 1")(lambda t: rules.key_usage(t.events.select(F.concat(F.lit("key_"), (F.col("user_id") % 6).cast("string")).alias("api_key"), "ts", (F.col("event_id") % 13 == 0).alias("failed"))).drop("last_used"))
+query("a35_job_progress", "SELECT o_orderkey AS job_id, round(coalesce(done * 100.0 / nullif(total, 0), 0.0), 1) AS percent, round(done / nullif(seconds, 0), 1) AS rate, round((total - done) / nullif(done / nullif(seconds, 0), 0), 1) AS eta FROM (SELECT o_orderkey, o_orderkey % 50 AS done, 50 + o_orderkey % 7 AS total, (o_orderkey % 9)::DOUBLE AS seconds FROM orders)")(lambda t: rules.job_progress(t.orders.select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 50).alias("done"), (50 + F.col("o_orderkey") % 7).alias("total"), (F.col("o_orderkey") % 9).cast("double").alias("seconds"))))
+query("c5_grid_pick", f"SELECT doc_id AS task_id, floor({_U.format('grid', 'doc_id')} * 108)::BIGINT AS bucket FROM documents")(lambda t: rules.pick_bucket(t.documents.select(F.col("doc_id").alias("task_id")), rules.task_grid(t.spark)).select("task_id", F.col("bucket").cast("long").alias("bucket")))
+query("u9_upsert", "WITH n AS (SELECT event_id AS k, event_id + 1 AS ord, 'new' AS v FROM events WHERE event_id % 3 = 0), o AS (SELECT event_id AS k, event_id AS ord, event_type AS v FROM events WHERE event_id % 2 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)")(lambda t: rules.upserted(t.events.where("event_id % 2 = 0").select(F.col("event_id").alias("k"), F.col("event_id").alias("ord"), F.col("event_type").alias("v")), t.events.where("event_id % 3 = 0").select(F.col("event_id").alias("k"), (F.col("event_id") + 1).alias("ord"), F.lit("new").alias("v")), "k"))
+query("a30_tool_outcomes", "SELECT CASE WHEN w = g THEN 'exact_match' WHEN event_id % 4 = 0 THEN 'missing_call' ELSE 'wrong_tool' END AS outcome, count(*) AS n FROM (SELECT event_id, event_type AS w, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'other' ELSE event_type END AS g FROM events) GROUP BY 1")(lambda t: t.events.select(traces.call_outcome(F.array(F.struct(F.col("event_type").alias("name"), F.lit("{}").alias("args"))), F.when(F.col("event_id") % 4 == 0, F.array().cast("array<struct<name:string,args:string>>")).otherwise(F.array(F.struct(F.when(F.col("event_id") % 5 == 0, "other").otherwise(F.col("event_type")).alias("name"), F.lit("{}").alias("args"))))).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n")))
+query("j13_resolve_tool", "WITH t AS (SELECT 'app' || (n_regionkey) || '.' || lower(n_name) AS tool, n_nationkey AS o FROM nation), q AS (SELECT tool AS name FROM t WHERE o % 3 = 0 UNION SELECT split_part(tool, '.', 2) FROM t UNION SELECT 'none') SELECT q.name, coalesce(t.tool, (SELECT arg_min(x.tool, x.o) FROM t x WHERE split_part(x.tool, '.', 2) = q.name)) AS tool FROM q LEFT JOIN t ON t.tool = q.name")(lambda t: (lambda k: traces.resolve_tool(k.where("reg_ord % 3 = 0").select(F.col("tool").alias("name")).union(k.select(F.element_at(F.split("tool", r"\."), 2))).union(t.spark.createDataFrame([("none",)], "name string")).distinct(), k))(t.nation.select(F.concat(F.lit("app"), F.col("n_regionkey").cast("string"), F.lit("."), F.lower("n_name")).alias("tool"), F.col("n_nationkey").alias("reg_ord"))))
+query("l1_generation_stub", "SELECT conv_id, turn, 'answer ' || substr(md5(text), 1, 12) AS answer FROM conversations WHERE role = 'user'")(lambda t: generation.generate(t.conversations.where("role = 'user'").select("conv_id", "turn", "text"), "text").drop("text"))
+
+
 @query("t1_stream_windows")
 def _stream(t: Tables) -> DataFrame:
     import uuid
