@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .store import buckets, written
+from .store import buckets, join_small, written
 
 U64 = np.uint64
 PER_SEGMENT = 3.0
@@ -114,8 +114,9 @@ def _key(x: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(x: np.ndarray) -> bytes:
+    """Parities of at least two buckets a shingle."""
     n = 64
-    while n < len(x):
+    while n < 2 * len(x):
         n *= 2
     return np.packbits(np.bincount((x >> U64(17)) & U64(n - 1), minlength=n) & 1, bitorder="little").tobytes()
 
@@ -153,7 +154,7 @@ def _sets(k: int):
 
 
 def signatures(x: np.ndarray, band: int, plan: tuple[int, int, int, int]) -> np.ndarray:
-    """47-bit signatures with a low bit that tells segments worth two units. A set repeats none."""
+    """46-bit signatures and two low bits: the content is empty, the segment is worth two units."""
     m, d, q, _ = plan
     seg = (K.mix(x ^ U64(band * 0x2545F491 + 7)) % U64(m)).astype(np.int64)
     value = K.mix(x + U64(0x632BE59BD9B4E019))
@@ -163,11 +164,11 @@ def signatures(x: np.ndarray, band: int, plan: tuple[int, int, int, int]) -> np.
     run = np.concatenate((np.zeros(1, U64), np.cumsum(value)))
     full = run[at[1:]] - run[at[:-1]]
     name = (np.arange(q, dtype=U64) << U64(12)) ^ U64(band)
-    out = [K.mix(full * U64(3) + K.mix(name)) << U64(1) | (np.arange(q) < d).astype(U64)]
+    out = [K.mix(full * U64(3) + K.mix(name)) << U64(2) | (full == 0).astype(U64) << U64(1) | (np.arange(q) < d).astype(U64)]
     if d:
         end = at[min(d, q)]
         cut = full[seg[:end]] - value[:end]
-        out.append(K.mix(cut * U64(3) + K.mix(name[seg[:end]])) << U64(1) | U64(1))
+        out.append(K.mix(cut * U64(3) + K.mix(name[seg[:end]])) << U64(2) | (cut == 0).astype(U64) << U64(1) | U64(1))
     return np.concatenate(out) & U64((1 << 48) - 1)
 
 
@@ -224,7 +225,8 @@ def _index(k: int, percent: int, parts: int):
     return run
 
 
-#: kind 0: candidate pair (a, b); 1: role b>>32 of set a lost b units; 2: sets (blob) that share crowded signature a in band role b
+#: kind 0: candidate pair (a, b); 1: set a in role b>>40 lost units (low 20 bits of b), of them by empty segments
+#: (next 20 bits); 2: sets (blob) that share crowded signature a in band role b
 FOUND = "kind int, a long, b long, blob binary"
 
 
@@ -271,14 +273,15 @@ def _probe(percent: int, crowd: int):
         if len(big):
             inside = np.repeat(big, count[big])
             at = np.concatenate([np.arange(start[g], start[g] + count[g]) for g in big])
-            lead = who[start[inside]]
-            found.append(np.stack((lead, who[at]), 1))
+            empty = (sig[at] & U64(2)) > 0
+            found.append(np.stack((who[start[inside]], who[at]), 1)[~empty])
             name = who[at] * 2 + role[at]
-            units = np.bincount(name, weights=1 + (sig[at] & U64(1)).astype(np.int64), minlength=2 * len(names))
+            worth = 1 + (sig[at] & U64(1)).astype(np.int64)
+            units, blank = (np.bincount(name, weights=x, minlength=2 * len(names)).astype(np.int64) for x in (worth, worth * empty))
             lost = np.flatnonzero(units)
             kinds.append(np.ones(len(lost), np.int32))
             va.append(names[lost >> 1].view(np.int64))
-            vb.append((lost & 1) << 32 | units[lost].astype(np.int64))
+            vb.append((lost & 1) << 40 | blank[lost] << 20 | units[lost])
             blobs += [None] * len(lost)
             for g in big:
                 for i in range(start[g], start[g] + count[g], 4096):
@@ -346,11 +349,13 @@ def _verify(k: int, percent: int):
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (class ids) among candidate pairs of set keys: sketch bound, then the texts."""
-    c = classes.select("key", "doc_id", "n", "sketch")
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    c = join_small(classes.select("key", "doc_id", "n", "sketch"), keys, "key", "left_semi", most=500_000)
     two = pairs.join(c.toDF("a", "a_id", "a_n", "a_sketch"), "a").join(c.toDF("b", "b_id", "b_n", "b_sketch"), "b")
     two = two.where((F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent))
     near = written(two.select("a_id", "b_id", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_near(percent), "a long, b long"))
-    t = docs.select("doc_id", "text")
+    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    t = join_small(docs.select("doc_id", "text"), ids, "doc_id", "left_semi", most=500_000)
     full = near.join(t.toDF("b", "b_text"), "b").join(t.toDF("a", "a_text"), "a").select("a", "b", "a_text", "b_text")
     return written(full.mapInArrow(_verify(k, percent), "a long, b long"))
 
@@ -361,8 +366,9 @@ def _open(blobs):
         yield pd.DataFrame(out, columns=["sig", "role", "key"]).astype("int64")
 
 
-def _across(percent: int):
-    """Pairs of one block pair of a crowded signature, in different components, within the sketch bound."""
+def _across(percent: int, nearest: bool):
+    """Pairs of one block pair of a crowded signature, in different components, within the sketch bound; with
+    ``nearest`` only each set's nearest such partner (which settles most, so that few pairs are left)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(["n", "key"], kind="stable").drop_duplicates("key").reset_index(drop=True)
@@ -370,21 +376,42 @@ def _across(percent: int):
         key, comp, block, role = (f[c].to_numpy() for c in ("key", "comp", "block", "role"))
         width = f["sketch"].map(len).to_numpy()
         out, folded = [], {}
+        best, whom = np.full(len(f), 1 << 60), np.full(len(f), -1)
+
+        def bound(i, j, w):
+            if w not in folded:
+                folded[w] = np.stack([_fold(s, w) if len(s) >= w else np.zeros(w, np.uint8) for s in f["sketch"]])
+            d = np.bitwise_count(folded[w][j] ^ folded[w][i]).sum(axis=1, dtype=np.int64)
+            ok = d * (100 + percent) <= (n[j] + n[i]) * (100 - percent)
+            return j[ok], d[ok]
+
         for i in range(len(f)):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent, "right"))
             j = j[(comp[j] != comp[i]) & (role[j] + role[i] < 2)]
             if first != second:
                 j = j[block[j] != block[i]]
+            # sizes rise, so a partner's sketch is at least as wide; a narrow fold excludes most
+            if len(j) and width[i] >= 16:
+                j, _ = bound(i, j, int(width[i]) // 2)
             if not len(j):
                 continue
-            w = int(width[i])  # sizes rise, so a partner's sketch is at least as wide
-            if w not in folded:
-                folded[w] = np.stack([_fold(s, w) if len(s) >= w else np.zeros(w, np.uint8) for s in f["sketch"]])
-            d = np.bitwise_count(folded[w][j] ^ folded[w][i]).sum(axis=1, dtype=np.int64)
-            j = j[d * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
-            out.append(np.stack((np.full(len(j), key[i]), key[j]), 1))
+            j, d = bound(i, j, int(width[i]))
+            if not len(j):
+                continue
+            if not nearest:
+                out.append(np.stack((np.full(len(j), key[i]), key[j]), 1))
+                continue
+            closer = d < best[j]
+            best[j[closer]], whom[j[closer]] = d[closer], i
+            at = int(d.argmin())
+            if d[at] < best[i]:
+                best[i], whom[i] = d[at], j[at]
+        if nearest:
+            at = np.flatnonzero(whom >= 0)
+            out = [np.stack((key[at], key[whom[at]]), 1)]
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=1) if len(pairs) else pairs[:, 0], "b": pairs.max(axis=1) if len(pairs) else pairs[:, 1]})
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -418,24 +445,31 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, crowd: int = 16
     packed = docs.select("text").mapInArrow(_index(k, percent, parts), "bucket int, blob binary")
     found = written(packed.groupBy("bucket").applyInPandas(_probe(percent, crowd), FOUND))
 
-    links = _links(found.where("kind = 0").select("a", "b").distinct(), classes, docs, k, percent)
-    label = components(links)
+    links = _links(written(found.where("kind = 0").select("a", "b").distinct()), classes, docs, k, percent)
+    label = written(components(links))
 
     # sets that lost more units than they had to spare, and the crowded signatures they share
     spare = F.pandas_udf(_spare(percent), "own int, next int")
-    lost = found.where("kind = 1").select(F.col("a").alias("key"), F.shiftright("b", 32).alias("role"), F.col("b").bitwiseAND((1 << 32) - 1).alias("units")).groupBy("key", "role").agg(F.sum("units").alias("units"))
+    lost = found.where("kind = 1").select(F.col("a").alias("key"), F.shiftright("b", 40).alias("role"), F.shiftright("b", 20).bitwiseAND((1 << 20) - 1).alias("blank"), F.col("b").bitwiseAND((1 << 20) - 1).alias("units")).groupBy("key", "role").agg(F.sum("units").alias("units"), F.sum("blank").alias("blank"))
     sizes = classes.groupBy("n").count().select("n", spare("n").alias("spare"))
-    named = classes.join(sizes, "n").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", "sketch", "spare", F.coalesce("component", "doc_id").alias("comp"))
-    short = written(lost.join(named, "key").where(F.col("units") > F.when(F.col("role") == OWN, F.col("spare.own")).otherwise(F.col("spare.next"))).select("key", "role", "n", "sketch", "comp"))
+    named = classes.join(sizes, "n").select("key", "doc_id", "n", "sketch", "spare")
+    own = F.when(F.col("role") == OWN, F.col("spare.own")).otherwise(F.col("spare.next"))
+    short = written(lost.join(named, "key").where(F.col("units") > own).select("key", "role", "doc_id", "n", "sketch", (F.col("blank") > own).alias("blanks")))
     shared = found.where("kind = 2").select("a", "b", "blob").mapInPandas(_open, "sig long, role long, key long")
-    meet = written(shared.join(short.select("key", "role", "comp"), ["key", "role"]))
-    # a signature whose sets are in one component can tell nothing new
-    open_sigs = meet.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 != c1").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = meet.join(open_sigs, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", "role", "key", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(short, ["key", "role"])
-    more = written(rows.groupBy("sig", "p", "q").applyInPandas(_across(percent), "a long, b long").distinct())
-    if not more.isEmpty():
-        label = components(links.union(_links(more, classes, docs, k, percent)))
+    # empty segments matter only to sets whose other segments cannot give the units; for all others a match is elsewhere
+    meet = written(shared.join(short.select("key", "role", "blanks"), ["key", "role"]).where(F.col("blanks") | (F.col("sig").bitwiseAND(2) == 0)).select("sig", "role", "key"))
+    for nearest in (True, False):
+        now = short.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "role", "n", "sketch", F.coalesce("component", "doc_id").alias("comp"))
+        part = meet.where("shiftright(sig, 2) % 4 = 0") if nearest else meet  # the second turn sees all that is still apart
+        # a signature whose sets are in one component can tell nothing new
+        held = part.join(now.select("key", "role", "comp"), ["key", "role"])
+        apart_still = held.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 != c1").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        rows = part.join(apart_still, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("sig", "role", "key", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(now, ["key", "role"])
+        more = written(rows.groupBy("sig", "p", "q").applyInPandas(_across(percent, nearest), "a long, b long").distinct())
+        if not more.isEmpty():
+            links = written(links.union(_links(more, classes, docs, k, percent)))
+            label = written(components(links))
 
     group = every.where("n > 0").join(classes.select("n", "key", "key2", F.col("doc_id").alias("class_id")), ["n", "key", "key2"]).join(label.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"))
     return group.union(every.where("n = 0").select("doc_id", "n", "doc_id"))
