@@ -28,7 +28,8 @@ END, START = U64(0x13198A2E03707344), U64(0x243F6A8885A308D3)
 KMAX = 5
 KEEP = 1e-4
 HEAVY = 2000  # words with at least 1/HEAVY of all training tokens, so at most HEAVY of them, are spread
-FLUSH = 1_500_000
+FLUSH = 800_000  # tokens a task holds before it packs them
+SUB = 6  # a bucket is worked through in so many parts, which bounds the memory of its task
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -136,27 +137,28 @@ def _pairs(parts: int, heavy: np.ndarray):
 
     def flush(docs, train, w, h, d):
         w, h, d = (np.concatenate(x) for x in (w, h, d))
-        b = K.mix(w) % U64(parts)
+        b = K.mix(w) % U64(parts * SUB)
         spread = np.isin(w, heavy)
-        b[spread] = K.mix(w[spread] ^ K.mix(h[spread])) % U64(parts)
+        b[spread] = K.mix(w[spread] ^ K.mix(h[spread])) % U64(parts * SUB)
         b = b.astype(np.int64)
         order = np.lexsort((d, h, w, b))
         w, h, d, b = w[order], h[order], d[order], b[order]
         at = runs(b, w, h, d)
         count = np.diff(np.append(at, len(w)))
         w, h, d, b = w[at], h[at], d[at], b[at]
-        cut = np.searchsorted(b, np.arange(parts + 1))
+        cut = np.searchsorted(b, np.arange(parts * SUB + 1))
         own, blobs = [], []
         docs, train = np.array(docs, np.int64), np.array(train, bool)
         for p in range(parts):
-            x = slice(cut[p], cut[p + 1])
-            if cut[p + 1] == cut[p]:
+            at = cut[p * SUB : (p + 1) * SUB + 1]
+            x = slice(at[0], at[-1])
+            if at[-1] == at[0]:
                 continue
-            ws = runs(w[x])
+            ws = runs(b[x], w[x])
             ctx, hi = np.unique(h[x], return_inverse=True)
             who, di = np.unique(d[x], return_inverse=True)
             own.append(p)
-            blobs.append(pack(w[x][ws], small(np.diff(np.append(ws, cut[p + 1] - cut[p]))), ctx, small(hi), docs[who], train[who], small(di), small(count[x])))
+            blobs.append(pack(at - at[0], w[x][ws], small(np.diff(np.append(ws, at[-1] - at[0]))), ctx, small(hi), docs[who], train[who], small(di), small(count[x])))
         return _batch([0] * len(own), own, blobs)
 
     def run(batches):
@@ -201,65 +203,80 @@ def _table(parts: int, n: int, v: int, unigram: np.ndarray, left: float, heavy:
                 x = order[at[p] : at[p + 1]]
                 yield kind, p, pack(*(c[x] for c in columns))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def part(blobs, sub):
+        """Sums by text, sums by context, unseen pairs and counts of counts of one part of the bucket."""
         w, h, d, c, ids, train, base = [], [], [], [], [], [], 0
-        for blob in frame["blob"]:
-            word, size, ctx, hi, who, flag, di, count = unpack(blob)
-            w.append(np.repeat(word, size))
-            h.append(ctx[hi])
-            d.append(di.astype(np.int32) + np.int32(base))
-            c.append(count.astype(np.int32))
+        for blob in blobs:
+            cut, word, size, ctx, hi, who, flag, di, count = unpack(blob)
+            x = slice(cut[sub], cut[sub + 1])
+            w.append(np.repeat(word, size)[x].copy())
+            h.append(ctx[hi[x]])
+            d.append(di[x].astype(np.int32) + np.int32(base))
+            c.append(count[x].astype(np.int32))
             ids.append(who)
             train.append(flag)
             base += len(who)
-        del frame
         ids, train = np.concatenate(ids), np.concatenate(train)
-        texts, first, same = np.unique(ids, return_index=True, return_inverse=True)
         w, h, d, c = (np.concatenate(x) for x in (w, h, d, c))
+        if not len(w):
+            return None
         order = np.lexsort((h, w))
         w, h, d, c = w[order], h[order], d[order], c[order]
         learn = np.where(train[d], c, 0)
-        d = same[d]
+        texts, d = np.unique(ids[d], return_inverse=True)
+        d = d.astype(np.int32)
         pair = runs(w, h)
         each = np.diff(np.append(pair, len(w)))
         seen = np.add.reduceat(learn, pair)  # c(h, w)
         word = runs(w[pair])
-        total = np.add.reduceat(seen, word)  # c(w)
+        total = np.add.reduceat(seen, word).astype(np.int64)  # c(w)
         names = w[pair][word]
         for i in np.flatnonzero(np.isin(names, np.array([*heavy], U64))):
             total[i] = heavy[int(names[i])]
         p1 = np.where(total > 0, unigram[np.minimum(total, KMAX + 1)] * total / max(n, 1), left)
         owner = np.repeat(np.arange(len(word)), np.diff(np.append(word, len(pair))))
-        cw, pw = np.repeat(total[owner], each), np.repeat(p1[owner], each)
-        ch = np.repeat(seen, each)
         k = len(texts)
 
-        def add(weight):
-            return np.bincount(d, weights=weight, minlength=k)
-
-        basis = add(c * np.log10((cw + 1) / (n + v + 1)))
-        context = np.where((w != END) & (cw > 0), -np.log10(np.maximum(cw, 1)), 0.0)  # of the token that follows
-        score = add(c * (np.where(ch > 0, np.log10(np.maximum(ch, 1)), np.log10(pw)) + context))
-        level = np.where(ch > 0, np.minimum(ch, KMAX + 1), 0)
-        levels = [np.bincount(d[level == r], weights=c[level == r], minlength=k).astype(np.int64) for r in range(1, KMAX + 2)]
-        out = list(spread(1, texts.view(U64), texts, basis, score, small(add(c).astype(np.int64)), small(add(np.where(cw > 0, c, 0)).astype(np.int64)), *map(small, levels)))
-
+        def by_text(weight):
+            """Sums of a weight of each pair times its uses, by text."""
+            return np.bincount(d, weights=np.repeat(weight, each) * c, minlength=k)
+
+        known, end = total[owner] > 0, names[owner] == END
+        context = np.where(known & ~end, -np.log10(np.maximum(total[owner], 1)), 0.0)  # of the token that follows
+        score = by_text(np.where(seen > 0, np.log10(np.maximum(seen, 1)), np.log10(p1[owner])) + context)
+        level = np.repeat(np.minimum(seen, KMAX + 1), each)
+        sums = [by_text(np.log10((total[owner] + 1) / (n + v + 1))), score, np.bincount(d, weights=c, minlength=k), by_text(known.astype(float)), *(np.bincount(d[level == r], weights=c[level == r], minlength=k) for r in range(1, KMAX + 2))]
+        new = np.flatnonzero(level == 0)
+        unseen = (h[new], texts[d[new]], c[new])
         kept = np.flatnonzero(seen > 0)
         ctx, inv = np.unique(h[pair[kept]], return_inverse=True)
         got = seen[kept]
-        mass = np.bincount(inv, weights=p1[owner[kept]], minlength=len(ctx))
-        by = [np.bincount(inv[got == r], minlength=len(ctx)) for r in range(1, KMAX + 1)]
-        big = np.bincount(inv[got > KMAX], weights=got[got > KMAX], minlength=len(ctx)).astype(np.int64)
-        out += spread(2, ctx, ctx, mass, *map(small, by), small(big))
-
-        new = np.flatnonzero(ch == 0)
-        if len(new):
-            hs, ds, cs = h[new], d[new], c[new]
-            order = np.lexsort((ds, hs))
-            hs, ds, cs = hs[order], ds[order], cs[order]
-            at = runs(hs, ds)
-            out += spread(3, hs[at], hs[at], texts[ds[at]], small(np.add.reduceat(cs, at)))
-        out.append((4, 0, pack(np.bincount(np.minimum(got, KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2])))
+        big = np.where(got > KMAX, got, 0)
+        of = [np.bincount(inv, weights=p1[owner[kept]], minlength=len(ctx)), *(np.bincount(inv[got == r], minlength=len(ctx)) for r in range(1, KMAX + 1)), np.bincount(inv, weights=big, minlength=len(ctx))]
+        return texts, sums[:2] + [small(x.astype(np.int64)) for x in sums[2:]], ctx, of[:1] + [small(x.astype(np.int64)) for x in of[1:]], unseen, np.bincount(np.minimum(got, KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]
+
+    def joined(keys, columns):
+        """Sums of the parts by key."""
+        key, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        out = []
+        for c in zip(*columns):
+            x = np.bincount(inv, weights=np.concatenate(c), minlength=len(key))
+            out.append(x if c[0].dtype.kind == "f" else small(x.astype(np.int64)))
+        return key, out
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        got = [x for x in (part(frame["blob"], s) for s in range(SUB)) if x]
+        texts, sums = joined([x[0] for x in got], [x[1] for x in got])
+        out = list(spread(1, texts.view(U64), texts, *sums))
+        ctx, of = joined([x[2] for x in got], [x[3] for x in got])
+        out += spread(2, ctx, ctx, *of)
+        h, d, c = (np.concatenate([x[4][i] for x in got]) for i in range(3))
+        if len(h):
+            order = np.lexsort((d, h))
+            h, d, c = h[order], d[order], c[order]
+            at = runs(h, d)
+            out += spread(3, h[at], h[at], d[at], small(np.add.reduceat(c, at)))
+        out.append((4, 0, pack(sum(x[5] for x in got))))
         return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
 
     return run
