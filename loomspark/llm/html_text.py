@@ -1,9 +1,10 @@
 """Main text of web pages by the distribution of line blocks.
 
 Markup is cut into lines at block tags. Menus, headers, footers, asides, adverts, forms, comments of readers
-and the like give lines of no length, and if the page names its article, so does all that is outside it. The
-lengths are summed over windows of lines; where the sums surge past a threshold a stretch begins (with the
-lines right before it, such as a title) and where they fall to nothing it ends. The text between is kept.
+and the like give lines of no length; if the page names its article, only the lines in it are looked at. The
+lengths, without what is linked, are summed over windows of lines; where the sums surge past a threshold a
+stretch begins (with the lines right before it, such as a title) and where they fall to nothing it ends. The
+text between is kept, and the main heading (h1) of a named article.
 """
 
 from __future__ import annotations
@@ -47,18 +48,18 @@ def _dropped(name: str, attrs: str, inside: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)))
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, in the named article) of each block of the page that is not dropped;
-    a dropped one leaves an empty line."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters outside links (of an h1 all), in the named article, h1) of each block of the page that is
+    not dropped; a dropped one leaves an empty line."""
+    out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
-    plain, link, skip, depth, main = 0, 0, "", 0, 0
+    plain, link, before, skip, depth, main, title = 0, 0, 0, "", 0, 0, False
 
     def close():
         nonlocal plain
         said = " ".join(_html.unescape("".join(text)).split())
         if said:
-            out.append((said, min(plain, len(said)), main > 0))
+            out.append((said, len(said) if title else min(plain, len(said)), main > 0, title))
         text.clear()
         plain = 0
 
@@ -92,13 +93,17 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 continue
         if not m[2] and name not in VOID and not m[4].rstrip().endswith("/") and _dropped(name, m[4], main > 0):
             close()
-            out.append(("", 0, main > 0))
+            out.append(("", 0, main > 0, False))
             skip, depth = name, 1
             continue
         if name in BLOCK:
             close()
+        if name == "h1":
+            title = not m[2]
         if name == "a":
             link = 0 if m[2] else 1
+        elif name in IMPLIED or name == "h1":  # a link that was begun in a paragraph and not closed ends with it
+            link, before = (min(link, before), 0) if m[2] else (link, link)
         elif name in MAIN:
             main = max(0, main + (-1 if m[2] else 1))
     if not skip:
@@ -114,31 +119,35 @@ def main_text(page: str | None) -> str:
         return ""
     got = lines(page)
     named = any(x[2] and x[1] for x in got)
-    size = [x[1] if x[2] or not named else 0 for x in got]
+    if named:  # a block dropped from the article does not part the text around it
+        got = [x for x in got if x[2] and x[0]]
+    size = [x[1] for x in got]
     n = len(got)
     if not any(size):
         return ""
     total = [sum(size[i : i + WINDOW]) for i in range(n)]
     least = min(SURGE, max(total) / 4)
-    keep, i = [False] * n, 0
+    keep, i = [named and x[3] for x in got], 0
     stretches = []
     while i < n:
         if total[i] <= least:
             i += 1
             continue
-        a = i
+        a = b = i
+        while not size[b]:
+            b += 1
+        if not any(size[max(0, b - WINDOW) : b]) and b >= WINDOW:  # after a list of links
+            a = b
         while a and size[a - 1] > 0:
             a -= 1
-        b = i
         while b < n and total[b] > 0:
             b += 1
+        if named and n - b < WINDOW:  # the article ends before the sums would fall
+            b = n
         stretches.append((sum(size[a:b]), a, b))
         i = b
-    if named:
-        keep = [x > 0 or (got[k][2] and bool(got[k][0])) for k, x in enumerate(size)]
-    else:
-        for _, a, b in [max(stretches)] if stretches else []:
-            keep[a:b] = [True] * (b - a)
+    for _, a, b in stretches if named or not stretches else [max(stretches)]:
+        keep[a:b] = [True] * (b - a)
     return " ".join(x[0] for x, k in zip(got, keep) if k and x[0])
 
 

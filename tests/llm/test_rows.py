@@ -40,6 +40,17 @@ def test_pages_without_a_named_article_keep_all_between_surge_and_dive():
     assert main_text(page) == " ".join(["Head", *(("word " * n).strip() for n in (3, 40, 1, 30, 2))])
 
 
+def test_line_blocks_decide_within_a_named_article():
+    links = f"<ul>{'<li><a href=#>link</a></li>' * 4}</ul>"
+    long = [("word " * n).strip() for n in (40, 30)]
+    page = f"<article><h1>Head</h1>{links}<p>{long[0]}</p><p>Short.</p>{links}<p>Notice.</p>{links}<p>{long[1]}</p></article><p>{long[0]}</p>"
+    assert main_text(page) == " ".join(["Head", long[0], "Short.", long[1]])
+    ads = "<div class=ad>buy</div>" * 3
+    assert main_text(f"<article><p>{long[0]}</p>{ads}<p>Short.</p></article>") == long[0] + " Short."
+    assert main_text(f"<article><p><a href=#>not closed</p><p>{long[0]}</p><p>One.</p><p>Two.</p></article>") == f"not closed {long[0]} One. Two."
+    assert main_text(f"<article><h1><a href=#>Head</a></h1>{links}<p>{long[0]}</p><p><a href=#>source</a></p></article>") == f"Head {long[0]} source"
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(i, None if i == 2 else "u", p, "x") for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = extract(df).collect()
