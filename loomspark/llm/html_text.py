@@ -1,10 +1,10 @@
 """Main text of web pages by the distribution of line blocks.
 
 Markup is cut into lines at block tags. Menus, headers, footers, asides, adverts, forms, comments of readers
-and the like give lines of no length; if the page names its article, only the lines in it are looked at. The
+and the like give no lines; if the page names its article, only the lines in it are looked at. The
 lengths, without what is linked, are summed over windows of lines; where the sums surge past a threshold a
 stretch begins (with the lines right before it, such as a title) and where they fall to nothing it ends. The
-text between is kept, and the main heading (h1) of a named article.
+text between is kept, of every such stretch, and the main heading (h1) of a named article.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def _dropped(name: str, attrs: str, inside: bool) -> bool:
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters outside links (of an h1 all), in the named article, h1) of each block of the page that is
-    not dropped; a dropped one leaves an empty line."""
+    not dropped."""
     out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     plain, link, before, skip, depth, main, title = 0, 0, 0, "", 0, 0, False
@@ -93,7 +93,6 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 continue
         if not m[2] and name not in VOID and not m[4].rstrip().endswith("/") and _dropped(name, m[4], main > 0):
             close()
-            out.append(("", 0, main > 0, False))
             skip, depth = name, 1
             continue
         if name in BLOCK:
@@ -119,8 +118,8 @@ def main_text(page: str | None) -> str:
         return ""
     got = lines(page)
     named = any(x[2] and x[1] for x in got)
-    if named:  # a block dropped from the article does not part the text around it
-        got = [x for x in got if x[2] and x[0]]
+    if named:
+        got = [x for x in got if x[2]]
     size = [x[1] for x in got]
     n = len(got)
     if not any(size):
@@ -128,7 +127,6 @@ def main_text(page: str | None) -> str:
     total = [sum(size[i : i + WINDOW]) for i in range(n)]
     least = min(SURGE, max(total) / 4)
     keep, i = [named and x[3] for x in got], 0
-    stretches = []
     while i < n:
         if total[i] <= least:
             i += 1
@@ -144,11 +142,9 @@ def main_text(page: str | None) -> str:
             b += 1
         if named and n - b < WINDOW:  # the article ends before the sums would fall
             b = n
-        stretches.append((sum(size[a:b]), a, b))
-        i = b
-    for _, a, b in stretches if named or not stretches else [max(stretches)]:
         keep[a:b] = [True] * (b - a)
-    return " ".join(x[0] for x, k in zip(got, keep) if k and x[0])
+        i = b
+    return " ".join(x[0] for x, k in zip(got, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -51,6 +51,14 @@ def test_line_blocks_decide_within_a_named_article():
     assert main_text(f"<article><h1><a href=#>Head</a></h1>{links}<p>{long[0]}</p><p><a href=#>source</a></p></article>") == f"Head {long[0]} source"
 
 
+def test_interrupted_pages_without_a_named_article():
+    long = [("word " * n).strip() for n in (40, 30)]
+    for between in ("<div class=ad>buy</div><div class=share>tell</div><form>mail</form>", "<ul>" + "<li><a href=#>link</a></li>" * 3 + "</ul>"):
+        assert main_text(f"<body><h2>Head</h2><p>{long[0]}</p>{between}<p>{long[1]}</p><p>End.</p></body>") == f"Head {long[0]} {long[1]} End."
+    ads = "<div class=ad>buy</div>" * 3
+    assert main_text(f"<body><h1>Head</h1>{ads}<p>{long[0]}</p>{ads}<p>End.</p></body>") == f"Head {long[0]} End."
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(i, None if i == 2 else "u", p, "x") for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = extract(df).collect()
