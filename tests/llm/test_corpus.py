@@ -60,6 +60,29 @@ def test_leaks_are_found(spark):
     assert {r.doc_id for r in drop_leaks(docs, items).collect()} == set(range(300)) - {i for i, _ in got}
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{int(rng.paretovariate(0.8))}"
+    items = [[word() if rng.random() < 0.5 else f"b{rng.randrange(9000)}" for _ in range(n)] for n in (20, 65, 130, 256, 257, 300, 500, 700, 1000, 1025, 1500, 2000)]
+    docs, want = [], set()
+    for i in range(240):
+        w = [word() for _ in range(rng.randrange(20, 3000))]
+        if i % 4 == 0:
+            k = i // 4 % len(items)
+            item = list(items[k])
+            if i >= 120:  # a paraphrase: a tenth of the common words differ, some are put in
+                item = ["other" if x.startswith("w") and rng.random() < 0.1 else x for x in item]
+                for _ in range(len(item) // 20):
+                    item.insert(rng.randrange(len(item)), "extra")
+            at = rng.randrange(len(w))
+            w[at:at] = item
+            want.add((i, k))
+        docs.append((i, " ".join(w)))
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.lcs == r.item_words for r in got if r.doc_id < 120)
+
+
 def test_test_tables_leak_what_they_hold(spark):
     d = "/root/testdata/sf0.01"
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
