@@ -36,9 +36,9 @@ def accepted(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("grade").isNull() | ~F.col("grade").isin(*REJECTED))
 
 
-def first_accepted(attempts: DataFrame, most: int = 10) -> DataFrame:
-    """``attempts(item, attempt, grade)``: the first attempt of each item that passes, among the first ``most``."""
-    return accepted(attempts.where(F.col("attempt") < most)).groupBy("item").agg(F.min("attempt").alias("attempt"))
+def first_accepted(attempts: DataFrame, most: int | None = None) -> DataFrame:
+    """``attempts(item, attempt, grade)``: the first attempt of each item that passes, among the first ``most`` if given."""
+    return accepted(attempts if most is None else attempts.where(F.col("attempt") < most)).groupBy("item").agg(F.min("attempt").alias("attempt"))
 
 
 def question_answer_pairs(turns: DataFrame) -> DataFrame:

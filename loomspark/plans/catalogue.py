@@ -13,6 +13,7 @@ from .session import ship
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+FORMS: dict = {}
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
 
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None):
             return f(Tables(spark, sf_dir))
 
         run.__name__ = name
-        QUERIES[name] = run
+        QUERIES[name], FORMS[name] = run, f
         if sql:
             SQL[name] = sql
         return f
@@ -30,9 +31,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def whole(name: str, *cuts: tuple[str, str]) -> None:
+    """Adds the query ``name`` as ``name_whole``, over all rows; its SQL has each of ``cuts`` replaced."""
+    sql = SQL[name]
+    for cut, instead in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, instead)
+
+    @query(f"{name}_whole", sql)
+    def form(t: Tables) -> DataFrame:
+        t.whole = True
+        return FORMS[name](t)
+
+
 class Tables:
     """The tables of one folder, and frames derived from them."""
 
+    whole = False  # no limits of ids
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = ship(spark), sf_dir
 
@@ -130,7 +146,8 @@ _L = "[{m: 'coherence', s: coherence, w: 1.0}, {m: 'factuality', s: factuality,
 for _how, _expr in (("mean", "list_avg(list_transform(h, lambda x: x.s))"), ("weighted_mean", "list_sum(list_transform(h, lambda x: x.s * x.w)) / list_sum(list_transform(h, lambda x: x.w))"), ("min", "list_min(list_transform(h, lambda x: x.s))")):
     query(f"a17_composite_{_how}", f"WITH {enrich.SQL}, h AS (SELECT conv_id, list_filter({_L}, lambda x: x.s IS NOT NULL) AS h FROM r), o AS (SELECT conv_id, round(coalesce({_expr}, 0.0), 6) AS overall, list_filter(h, lambda x: x.s = list_min(list_transform(h, lambda y: y.s)))[1].m AS worst FROM h) SELECT conv_id, overall, overall < 0.6 AS regenerate, worst, coalesce('improve_' || worst, 'general_improvement') AS strategy FROM o")(lambda t, how=_how: quality.composite(t.rows(), _WEIGHTS, how))
 query("f2_quality_gate", f"WITH {enrich.SQL} SELECT conv_id, grade FROM r WHERE grade IS NULL OR grade NOT IN ('not_acceptable', 'bad', 'needs_improvement')")(lambda t: quality.accepted(t.rows()).select("conv_id", "grade"))
-query("f3_first_accepted", f"WITH {enrich.SQL} SELECT conv_id % 10 AS item, min(conv_id // 10) AS attempt FROM r WHERE conv_id // 10 < 10 AND (grade IS NULL OR grade NOT IN ('not_acceptable', 'bad', 'needs_improvement')) GROUP BY 1")(lambda t: quality.first_accepted(t.rows().select((F.col("conv_id") % 10).alias("item"), F.floor(F.col("conv_id") / 10).alias("attempt"), "grade")))
+query("f3_first_accepted", f"WITH {enrich.SQL} SELECT conv_id % 10 AS item, min(conv_id // 10) AS attempt FROM r WHERE conv_id // 10 < 10 AND (grade IS NULL OR grade NOT IN ('not_acceptable', 'bad', 'needs_improvement')) GROUP BY 1")(lambda t: quality.first_accepted(t.rows().select((F.col("conv_id") % 10).alias("item"), F.floor(F.col("conv_id") / 10).alias("attempt"), "grade"), 10))
+query("f3_first_accepted_whole", f"WITH {enrich.SQL} SELECT conv_id // 10 AS item, min(conv_id % 10) AS attempt FROM r WHERE grade IS NULL OR grade NOT IN ('not_acceptable', 'bad', 'needs_improvement') GROUP BY 1")(lambda t: quality.first_accepted(t.rows().select(F.floor(F.col("conv_id") / 10).alias("item"), (F.col("conv_id") % 10).alias("attempt"), "grade")))
 query("a13_coherence", f"WITH {VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM tv), s AS (SELECT a.conv_id, avg({COS.format('a.vec', 'b.vec')}) AS s, count(*) AS n FROM o a JOIN o b ON a.conv_id = b.conv_id AND a.p % 2 = 0 AND b.p = a.p + 1 GROUP BY 1) SELECT conv_id, round(coalesce(s, 0.0), 6) AS score, coalesce(n, 0)::BIGINT AS pairs, round(coalesce(s, 0.0), 6) < 0.65 AS regenerate FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN s USING (conv_id)")(lambda t: quality.coherence(t.turn_vectors()))
 _CTX = f"WITH {VEC}, x AS (SELECT conv_id, embedding::DOUBLE[] AS cv FROM (SELECT DISTINCT conv_id FROM conversations) JOIN embeddings ON vec_id = conv_id * 13 % 500 WHERE conv_id % 4 <> 0), s AS (SELECT conv_id, avg({COS.format('vec', 'cv')}) AS s FROM tv JOIN x USING (conv_id) WHERE role = '{{0}}' GROUP BY 1), f AS (SELECT conv_id, round(CASE WHEN cv IS NULL THEN 1.0 ELSE coalesce(s, 0.0) END, 6) AS score FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN x USING (conv_id) LEFT JOIN s USING (conv_id)) SELECT conv_id, score, score < 0.55 AS regenerate FROM f"
 
@@ -215,11 +232,13 @@ query("f20_invalid_nodes", f"WITH {_N} SELECT n.factor_id, n.node_id, 'no parent
 
 
 def _games(t: Tables) -> DataFrame:
-    e = t.events.where("event_id < 300")
-    return e.select((F.col("event_id") % 10).alias("batch"), F.col("event_id").alias("ord"), (F.col("user_id") % 6).alias("winner"), (F.col("event_id") * 7 % 6).alias("loser"))
+    e = t.events if t.whole else t.events.where("event_id < 300")
+    batch = F.floor(F.col("event_id") / 30) if t.whole else F.col("event_id") % 10
+    return e.select(batch.alias("batch"), F.col("event_id").alias("ord"), (F.col("user_id") % 6).alias("winner"), (F.col("event_id") * 7 % 6).alias("loser"))
 
 
 query("a25_elo", "WITH RECURSIVE g AS (SELECT event_id % 10 AS batch, row_number() OVER (PARTITION BY event_id % 10 ORDER BY event_id) AS k, user_id % 6 AS w, event_id * 7 % 6 AS l FROM events WHERE event_id < 300 AND user_id % 6 <> event_id * 7 % 6), f(batch, k, s) AS (SELECT DISTINCT batch, 0::BIGINT, [1500.0::DOUBLE, 1500.0, 1500.0, 1500.0, 1500.0, 1500.0] FROM g UNION ALL SELECT f.batch, g.k, list_transform(range(6), lambda i: CASE WHEN i = w THEN s[w + 1] + 32 * (1 - 1 / (1 + pow(10, (s[l + 1] - s[w + 1]) / 400))) WHEN i = l THEN s[l + 1] - 32 * (1 - 1 / (1 + pow(10, (s[l + 1] - s[w + 1]) / 400))) ELSE s[i + 1] END) FROM f JOIN g ON g.batch = f.batch AND g.k = f.k + 1), e AS (SELECT batch, arg_max(s, k) AS s FROM f GROUP BY 1), u AS (SELECT DISTINCT batch, w AS item FROM g UNION SELECT DISTINCT batch, l FROM g) SELECT batch, item, round(s[item + 1], 6) AS rating FROM u JOIN e USING (batch)")(lambda t: taxonomy.elo(_games(t)))
+whole("a25_elo", ("event_id < 300 AND ", ""), ("event_id % 10", "event_id // 30"))
 
 
 def _results(t: Tables) -> DataFrame:
@@ -238,7 +257,7 @@ query("j8_compare_sides", f"WITH x AS (SELECT conv_id, {TOK} AS w FROM conversat
 
 def _traces(t: Tables) -> DataFrame:
     """Trajectories in thought-action-observation text, made from events."""
-    e = t.events.where("event_id < 2000").withColumn("conv_id", F.floor(F.col("event_id") / 4))
+    e = (t.events if t.whole else t.events.where("event_id < 2000")).withColumn("conv_id", F.floor(F.col("event_id") / 4))
     call = F.concat(F.lit("Thought: look up "), F.col("event_type"), F.lit("\nAction: app."), F.col("event_type"), F.lit('\nAction Input: {"user": "'), F.col("user_id").cast("string"), F.lit('"}'))
     seen = F.concat(F.lit("Observation: "), F.col("user_id").cast("string"))
     done = F.concat(F.lit("Thought: done\nFinal Answer: "), F.col("event_type"))
@@ -252,6 +271,8 @@ query("p15_openai_tools", f"WITH {_TR}, p AS (SELECT conv_id, event_id * 2 AS o,
 query("p17_hermes_tools", f"WITH {_TR}, p AS (SELECT conv_id, event_id * 2 AS o, 'assistant: look up ' || event_type || chr(10) || '<tool_call>' || chr(10) || '{{\"name\": \"app__' || event_type || '\", \"arguments\": {{\"user\": \"' || user_id || '\"}}}}' || chr(10) || '</tool_call>' AS m FROM c UNION ALL SELECT conv_id, event_id * 2 + 1, 'tool: <tool_response>' || chr(10) || user_id || chr(10) || '</tool_response>' FROM c UNION ALL SELECT conv_id, event_id * 2, 'assistant: done' || chr(10) || ' ' || event_type FROM e WHERE event_id % 4 = 3) SELECT conv_id, string_agg(m, chr(10) ORDER BY o) AS messages FROM p GROUP BY 1")(lambda t: traces.hermes_tools(_traces(t)).withColumn("messages", flat("messages")))
 query("p16_anthropic_tools", f"WITH {_TR}, p AS (SELECT conv_id, event_id * 2 AS o, 'assistant {{\"type\":\"text\",\"text\":\"look up ' || event_type || '\"}}{{\"type\":\"tool_use\",\"id\":\"toolu_' || id || '\",\"name\":\"app__' || event_type || '\",\"input\":{{\"user\":\"' || user_id || '\"}}}}' AS m FROM c UNION ALL SELECT conv_id, event_id * 2 + 1, 'user {{\"type\":\"tool_result\",\"tool_use_id\":\"toolu_' || id || '\",\"content\":\"' || user_id || '\"}}' FROM c UNION ALL SELECT conv_id, event_id * 2, 'assistant {{\"type\":\"text\",\"text\":\"done' || '\\n' || ' ' || event_type || '\"}}' FROM e WHERE event_id % 4 = 3) SELECT conv_id, string_agg(m, chr(10) ORDER BY o) AS messages FROM p GROUP BY 1")(lambda t: traces.anthropic_tools(_traces(t)).withColumn("messages", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(" "), F.array_join(m["content"], ""))), "\n")))
 query("a29_tool_statistics", f"WITH {_TR} SELECT 'app__' || event_type AS tool, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM c GROUP BY 1")(lambda t: traces.tool_statistics(traces.parsed(_traces(t)).where("kind = 'call'")))
+for _name in ("p15_openai_tools", "p16_anthropic_tools", "p17_hermes_tools", "a29_tool_statistics"):
+    whole(_name, (" WHERE event_id < 2000", ""))
 query("a32_least_used", "WITH t AS (SELECT 'tool_' || i AS tool, i AS reg_ord FROM range(20) t(i)), c AS (SELECT 'tool_' || (user_id % 17) AS tool, count(*) AS n FROM events GROUP BY 1) SELECT tool, reg_ord, coalesce(n, 0)::BIGINT AS n FROM t LEFT JOIN c USING (tool) ORDER BY coalesce(n, 0), reg_ord LIMIT 10")(lambda t: traces.least_used(t.spark.range(20).select(F.concat(F.lit("tool_"), F.col("id").cast("string")).alias("tool"), F.col("id").alias("reg_ord")), t.events.select(F.concat(F.lit("tool_"), (F.col("user_id") % 17).cast("string")).alias("tool"))))
 query("a33_ledger", "WITH s AS (SELECT event_id AS ord, user_id % 10 AS account, -round(value, 2) AS delta FROM events UNION ALL SELECT event_id, event_id % 10, round(value, 2) FROM events), r AS (SELECT *, sum(round(delta * 100)::BIGINT) OVER (PARTITION BY account ORDER BY ord, delta ROWS UNBOUNDED PRECEDING) AS b FROM s) SELECT account, ord, round(delta, 2) AS delta, round(b / 100.0, 2) AS balance FROM r")(lambda t: traces.ledger(t.events.select(F.col("event_id").alias("ord"), (F.col("user_id") % 10).alias("src"), (F.col("event_id") % 10).alias("dst"), F.round("value", 2).alias("amount"))))
 query("f13_hard_gate", "SELECT user_id AS traj_id, bool_or(event_type = 'error') OR bool_or(coalesce(json_extract_string(props, '$.error') IS NOT NULL, false)) AS rejected FROM events GROUP BY 1")(lambda t: traces.hard_gate(t.events.select(F.col("user_id").alias("traj_id"), F.col("event_type").alias("status"), F.col("props").alias("observation"))))

@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from loomspark.operators.quality import first_accepted
 from loomspark.plans.catalogue import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
@@ -46,3 +47,18 @@ def test_same_as_sql(spark, con, name):
 def test_stream_equals_batch(spark, con):
     key = lambda df: sorted(tuple(r) for r in df.select("start", "metric", "mean", "least", "most", "n").collect())
     assert key(QUERIES["t1_stream_windows"](spark, DIR)) == key(QUERIES["t1_windows"](spark, DIR))
+
+
+def test_whole_queries_use_every_row(spark):
+    d = "/root/testdata/sf0.01"
+    events = [r.event_id for r in spark.read.parquet(f"{d}/events.parquet").select("event_id").collect()]
+    assert max(events) >= 2000
+    assert sum(r.n for r in QUERIES["a29_tool_statistics_whole"](spark, d).collect()) == sum(i % 4 != 3 for i in events)
+    for name in ("p15_openai_tools", "p16_anthropic_tools", "p17_hermes_tools"):
+        assert QUERIES[f"{name}_whole"](spark, d).count() == len({i // 4 for i in events})
+    assert QUERIES["a25_elo_whole"](spark, d).select("batch").distinct().count() == len({i // 30 for i in events})
+
+
+def test_first_accepted_has_no_bound(spark):
+    rows = [(1, i, "bad") for i in range(40)] + [(1, 40, "good"), (2, 3, None)]
+    assert sorted(map(tuple, first_accepted(spark.createDataFrame(rows, "item long, attempt long, grade string")).collect())) == [(1, 40), (2, 3)]
