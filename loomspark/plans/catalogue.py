@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def whole(name: str, *cuts: tuple[str, str]) -> None:
-    """Adds the query ``name`` as ``name_whole``, over all rows; its SQL has each of ``cuts`` replaced."""
+    """Adds the query ``name`` as ``name_whole``, over all rows and whole texts; its SQL has each of ``cuts`` replaced."""
     sql = SQL[name]
     for cut, instead in cuts:
         assert cut in sql
@@ -47,7 +47,7 @@ def whole(name: str, *cuts: tuple[str, str]) -> None:
 class Tables:
     """The tables of one folder, and frames derived from them."""
 
-    whole = False  # no limits of ids
+    whole = False  # no limits of ids, no cut texts
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = ship(spark), sf_dir
@@ -164,12 +164,14 @@ query("o5_top_k", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id,
 
 
 def _hits(t: Tables) -> DataFrame:
-    return t.conversations.select(F.col("conv_id").alias("query_id"), F.col("role").alias("retriever"), (F.col("turn") % 4).alias("weight"), F.col("turn").alias("ord"), F.substring("text", 1, 30).alias("text"))
+    return t.conversations.select(F.col("conv_id").alias("query_id"), F.col("role").alias("retriever"), (F.col("turn") % 4).alias("weight"), F.col("turn").alias("ord"), (F.col("text") if t.whole else F.substring("text", 1, 30)).alias("text"))
 
 
 _H = "h AS (SELECT conv_id AS query_id, role AS retriever, turn % 4 AS weight, turn AS ord, substring(text, 1, 30) AS text FROM conversations)"
 query("o6_ensemble", f"WITH {_H}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, ord) AS rank FROM h WHERE weight > 0 AND text <> '') SELECT * FROM k WHERE rank <= 3")(lambda t: vectors.best_by_weight(_hits(t)))
 query("o7_chained", f"WITH {_H}, k AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM h WHERE text <> '') SELECT * FROM k WHERE before < 50")(lambda t: vectors.chained(_hits(t)))
+for _name in ("o6_ensemble", "o7_chained"):
+    whole(_name, ("substring(text, 1, 30) AS text", "text"))
 
 # ---- monitoring
 
@@ -284,7 +286,8 @@ query("s17_chunks", "SELECT doc_id, i::BIGINT AS chunk, substring(text, i * 500
 query("s18_overlapping_chunks", r"SELECT doc_id, i::BIGINT AS chunk, regexp_replace(substring(text, i * 900 + 1, 1000), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, text, unnest(range(((length(text) + 899) // 900)::BIGINT)) AS i FROM documents) WHERE regexp_replace(substring(text, i * 900 + 1, 1000), '^\s+|\s+$', '', 'g') <> ''")(lambda t: readers.chunked(t.documents, 1000, 100))
 query("s19_messages_as_document", "SELECT conv_id, string_agg('## Message ' || k || ': ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE trim(text) <> '' GROUP BY 1")(lambda t: readers.messages_as_document(t.conversations))
 query("s4_page", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")(lambda t: readers.page(t.orders, {"o_orderstatus": "F"}, [("o_orderdate", -1), ("o_orderkey", 1)], 20, 40).select("o_orderkey", "o_orderstatus"))
-query("s20_indexed", "SELECT vec_id, substring(text, 1, 100) AS text FROM embeddings JOIN documents ON vec_id = doc_id WHERE trim(text) <> '' AND len(embedding) = 64")(lambda t: readers.indexed(t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select("vec_id", "text", F.col("embedding").alias("vector")), 64, 100).select("vec_id", "text"))
+query("s20_indexed", "SELECT vec_id, substring(text, 1, 100) AS text FROM embeddings JOIN documents ON vec_id = doc_id WHERE trim(text) <> '' AND len(embedding) = 64")(lambda t: readers.indexed(t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select("vec_id", "text", F.col("embedding").alias("vector")), 64, *([] if t.whole else [100])).select("vec_id", "text"))
+whole("s20_indexed", ("substring(text, 1, 100)", "substring(text, 1, 120000)"))
 query("u6_not_in_train", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda t: t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti"))
 query("u4_trigram_overlap", f"WITH d AS (SELECT item_id, {TOK} AS w FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d) SELECT a.item_id AS a, b.item_id AS b, round({_SETS.format('a.g', 'b.g')}, 6) AS jaccard FROM g a JOIN g b ON b.item_id = a.item_id + 1")(lambda t: (lambda d: d.select(F.col("item_id").alias("a"), F.col("g").alias("ga")).join(d.select(F.col("item_id").alias("b"), F.col("g").alias("gb")), F.col("b") == F.col("a") + 1).select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb"), 0.0), 6).alias("jaccard")))(t.benchmark.select("item_id", T.ngrams(T.tokens(F.col("text")), 3).alias("g"))))
 query("x9_digests", "SELECT doc_id, sha256(trim(text)) AS digest FROM documents")(lambda t: t.documents.select("doc_id", F.sha2(F.trim("text"), 256).alias("digest")))

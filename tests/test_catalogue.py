@@ -62,3 +62,13 @@ def test_whole_queries_use_every_row(spark):
 def test_first_accepted_has_no_bound(spark):
     rows = [(1, i, "bad") for i in range(40)] + [(1, 40, "good"), (2, 3, None)]
     assert sorted(map(tuple, first_accepted(spark.createDataFrame(rows, "item long, attempt long, grade string")).collect())) == [(1, 40), (2, 3)]
+
+
+def test_whole_queries_use_whole_texts(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got = QUERIES["s20_indexed_whole"](spark, DIR).collect()
+    assert got and all(r.text == docs[r.vec_id][:120_000] for r in got) and max(len(r.text) for r in got) > 100
+    said = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{DIR}/conversations.parquet").collect()}
+    for name in ("o6_ensemble_whole", "o7_chained_whole"):
+        got = QUERIES[name](spark, DIR).collect()
+        assert got and all(r.text == said[r.query_id, r.ord] for r in got) and max(len(r.text) for r in got) > 30
