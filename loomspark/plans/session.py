@@ -26,8 +26,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "6g") ->
     )
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the Python workers this package, once per application, unless PYTHONPATH already does."""
+    """Give the Python workers this package, once per application, unless PYTHONPATH already does; where the session
+    has the usual limit of bytes for what they are sent at once, lower it, as a task holds several such batches."""
+    if spark.conf.get(BATCH, None) == "67108864b":
+        spark.conf.set(BATCH, "4m")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
