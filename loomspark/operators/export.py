@@ -110,10 +110,23 @@ def raw(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def agent_dpo(rows: DataFrame, refusal: str = "I cannot complete this task.") -> DataFrame:
+def _trajectory(rows: DataFrame) -> Column:
+    return (F.col("trajectory_id") if "trajectory_id" in rows.columns else F.lit(None)).cast("string").alias("trajectory_id")
+
+
+def agent_sft(rows: DataFrame) -> DataFrame:
+    """All messages of a trajectory and its id; empty ones are skipped."""
+    return rows.where(F.size(C) > 0).select("conv_id", F.transform(C, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).cast(MESSAGE).alias("messages"), _trajectory(rows))
+
+
+#: what stands as the rejected answer where there is nothing to cut: a fixed value of the format
+REFUSAL = "Unable to fulfill request."
+
+
+def agent_dpo(rows: DataFrame, refusal: str = REFUSAL) -> DataFrame:
     """The rest of a trajectory against its first half, or against a refusal if one message is all there is."""
     rest = F.transform(F.slice(C, 2, F.greatest(F.size(C) - 1, F.lit(0))), lambda x: x["content"])
-    return rows.where(F.size(C) > 0).select("conv_id", F.get(C, F.lit(0))["content"].alias("prompt"), F.array_join(rest, "\n").alias("chosen"), F.when(F.size(rest) > 1, F.array_join(F.slice(rest, 1, F.floor(F.size(rest) / 2).cast("int")), "\n")).otherwise(refusal).alias("rejected"))
+    return rows.where(F.size(C) > 0).select("conv_id", F.get(C, F.lit(0))["content"].alias("prompt"), F.array_join(rest, "\n").alias("chosen"), F.when(F.size(rest) > 1, F.array_join(F.slice(rest, 1, F.floor(F.size(rest) / 2).cast("int")), "\n")).otherwise(refusal).alias("rejected"), _trajectory(rows))
 
 
 def dpo(rows: DataFrame, min_gap: float = 0.2, system: str | None = None) -> DataFrame:
@@ -129,7 +142,7 @@ def dpo(rows: DataFrame, min_gap: float = 0.2, system: str | None = None) -> Dat
 
 FORMATS: dict[str, Callable[..., DataFrame]] = {
     "alpaca": alpaca, "alpaca_split": alpaca_split, "dpo": dpo, "llama_factory": llama_factory, "messages": messages,
-    "openai": messages, "oumi": messages_all, "raw": raw, "sharegpt": sharegpt, "agent_dpo": agent_dpo,
+    "openai": messages, "oumi": messages_all, "raw": raw, "sharegpt": sharegpt, "agent_dpo": agent_dpo, "agent_sft": agent_sft,
 }
 
 

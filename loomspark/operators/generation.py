@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..sources.shared import written
+
 Client = Callable[[list[str]], list[str]]
 
 
@@ -42,10 +44,12 @@ def generate(df: DataFrame, prompt: str, answer: str = "answer", factory: Callab
 
 def retried(df: DataFrame, prompt: str, accept: Callable[[str], str], attempts: int = 3, **how) -> DataFrame:
     """Generates again, at most ``attempts`` times, the rows whose answer does not pass ``accept`` (an SQL condition
-    made from the answer's column name). Adds ``answer`` and ``attempt`` (null if none passed)."""
+    made from the answer's column name). Adds ``answer`` and ``attempt`` (null if none passed). The answers of each
+    attempt are written in the shared folder before they are judged, so that no prompt is sent twice and the answer
+    that is kept is the one that passed."""
     left, out = df, None
     for i in range(attempts):
-        got = generate(left, prompt, "answer", **how)
+        got = written(generate(left, prompt, "answer", **how))
         ok = got.where(F.expr(accept("answer"))).withColumn("attempt", F.lit(i))
         out = ok if out is None else out.unionByName(ok)
         left = got.where(~F.coalesce(F.expr(accept("answer")), F.lit(False))).drop("answer")

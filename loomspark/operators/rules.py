@@ -12,6 +12,7 @@ DIFFICULTIES = ("easy", "medium", "hard")
 ACTIONS = ("read", "write", "mixed")
 FOCUS = ("single", "chain", "branch", "recover")
 RETRY_STATUS = (429, 500, 502, 503, 504)
+RETRY_MARKERS = ("resource_exhausted", "rate limit", "too many requests", "temporarily unavailable", "service unavailable")
 
 
 def doubly_accepted(correct: Column, incorrect: Column) -> Column:
@@ -40,7 +41,7 @@ def five_descriptions(lines: Column, width: int = 5) -> Column:
 
 
 def retryable(status: Column, message: Column) -> Column:
-    return F.coalesce(status.isin(*RETRY_STATUS), F.lit(False)) | F.coalesce(F.lower(message).rlike("timeout|timed out|rate limit|overloaded|temporarily|connection reset"), F.lit(False))
+    return F.coalesce(status.isin(*RETRY_STATUS), F.lit(False)) | F.coalesce(F.lower(message).rlike("|".join(RETRY_MARKERS)), F.lit(False))
 
 
 def backoff(attempt: Column, first: float = 1.0, most: float = 60.0) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 NODES = "factor_id string, node_id string, parent_id string, depth int, label string"
 
 
@@ -15,13 +17,15 @@ def level_coverage(nodes: DataFrame, assigned: DataFrame) -> DataFrame:
     return g.withColumn("coverage", F.round(F.col("covered") / F.col("nodes"), 6))
 
 
-def paths(nodes: DataFrame, most_depth: int = 32) -> DataFrame:
-    """Labels from the root to each node, joined by ``/``. A level a join; it stops at the first empty level."""
+def paths(nodes: DataFrame) -> DataFrame:
+    """Labels from the root to each node, joined by ``/``, at any depth. A level is a join of the last one, which is
+    written first, so that no plan repeats the levels before it; it stops at the first empty level. Nodes that no root
+    reaches (cycles too) have no path."""
     found = nodes.where("parent_id IS NULL").select("factor_id", "node_id", F.col("label").alias("path"))
     out, level = found, found
-    for _ in range(most_depth):
+    while True:
         child = nodes.alias("c").join(level.alias("p"), (F.col("c.factor_id") == F.col("p.factor_id")) & (F.col("c.parent_id") == F.col("p.node_id")))
-        level = child.select("c.factor_id", "c.node_id", F.concat("p.path", F.lit("/"), "c.label").alias("path"))
+        level = written(child.select("c.factor_id", "c.node_id", F.concat("p.path", F.lit("/"), "c.label").alias("path")))
         if level.isEmpty():
             break
         out = out.union(level)
@@ -29,7 +33,8 @@ def paths(nodes: DataFrame, most_depth: int = 32) -> DataFrame:
 
 
 def invalid_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes without their parent, at a wrong depth, or that are a second root of their factor."""
+    """Nodes without their parent, at a wrong depth, or that are a second root of their factor. A cycle shows as a wrong
+    depth, as depths cannot rise by one all along it; so a node without a problem is reached by a root."""
     p = nodes.select("factor_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("parent_depth"))
     roots = nodes.where("parent_id IS NULL").withColumn("k", F.row_number().over(Window.partitionBy("factor_id").orderBy("node_id"))).where("k > 1").select("factor_id", "node_id", F.lit("second root").alias("problem"))
     j = nodes.where("parent_id IS NOT NULL").join(p, ["factor_id", "parent_id"], "left")

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.vectors import cosine, dot, norm
+from ..functions.vectors import dot, norm
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0.5, most_queries: int = 10_000) -> DataFrame:
     """``queries(query_id, q)``, ``items(item_id, v)`` -> the k most similar items of each query above a threshold,
-    ties by id. Queries are a stated set: they are counted and sent to every partition of the items; each
-    partition keeps k of them before anything is shuffled (the window's group limit)."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search them in blocks")
+    ties by id. Queries are a stated set: they are counted and sent to every partition of the items, in blocks of about
+    ``most_queries``; each partition keeps k of them before anything is shuffled (the window's group limit)."""
+    blocks = -(-queries.count() // most_queries)
+    if blocks > 1:
+        parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+        return reduce(DataFrame.union, (top_k(x, items, k, threshold, 2 * most_queries) for x in parts))
     q = queries.select("query_id", "q", norm(F.col("q")).alias("qn"))
     i = items.select("item_id", "v", norm(F.col("v")).alias("vn"))
     s = F.round(F.when((F.col("qn") > 0) & (F.col("vn") > 0), dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn"))).otherwise(0.0), 6)
@@ -22,19 +29,41 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float, cells: int = 8) -> DataFrame:
-    """Pairs of one group whose cosine exceeds the threshold: ``vectors(group, id, v)``.
+def _close(threshold: float):
+    """Pairs of one pair of blocks (or of one block) that exceed the threshold, by a product of matrices."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        group, p, q = f["group"].iloc[0], f["p"].iloc[0], f["q"].iloc[0]
+        found = []
+        for _, same in f.groupby(f["v"].map(len)):
+            a, b = (same[same["c"] == c] for c in (p, q))
+            if not len(a) or not len(b):
+                continue
+            x, y = (np.stack(t["v"].to_numpy()).astype(np.float64) for t in (a, b))
+            size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+            score = np.round(np.divide(x @ y.T, size, out=np.zeros_like(size), where=size > 0), 6)
+            i, j = np.nonzero(score > threshold)
+            left, right, s = a["id"].to_numpy()[i], b["id"].to_numpy()[j], score[i, j]
+            keep = left < right if p == q else np.ones(len(i), bool)
+            found.append(pd.DataFrame({"group": group, "a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep], "score": s[keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"group": [], "a": [], "b": [], "score": []})
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """Pairs of one group whose cosine exceeds the threshold (not negative): ``vectors(group, id, v)``.
 
-    A large group does not meet in one task: its vectors are dealt to ``cells`` parts and each pair of parts is
-    a task of its own, so the work of the hottest group spreads over cells * (cells + 1) / 2 tasks.
+    A group is dealt to blocks of about ``block`` vectors, as many as its count asks for, and each pair of blocks is
+    a task of its own with two blocks in memory: a hot group is many small tasks. Vectors of different sizes, empty
+    and null ones have no partner; rows without a group or an id are left out.
     """
-    cell = F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")
-    v = vectors.select("group", "id", "v", cell.alias("c"))
-    a = v.withColumn("o", F.explode(F.sequence(F.col("c"), F.lit(cells - 1)))).select("group", F.col("c").alias("p"), F.col("o").alias("q"), F.col("id").alias("a"), F.col("v").alias("va"))
-    b = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c")))).select("group", F.col("o").alias("p"), F.col("c").alias("q"), F.col("id").alias("b"), F.col("v").alias("vb"))
-    both = a.join(b, ["group", "p", "q"]).where((F.col("p") != F.col("q")) | (F.col("a") < F.col("b")))
-    s = F.round(cosine(F.col("va"), F.col("vb")), 6)
-    return both.select("group", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), s.alias("score")).where(F.col("score") > threshold)
+    v = vectors.where("v IS NOT NULL AND id IS NOT NULL").select("group", "id", "v")
+    blocks = v.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = v.join(blocks, "group").withColumn("c", F.pmod(F.xxhash64("id"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = dealt.select("group", "id", "v", "c", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"))
+    kind = vectors.schema
+    return both.groupBy("group", "p", "q").applyInPandas(_close(threshold), StructType([StructField("group", kind["group"].dataType), StructField("a", kind["id"].dataType), StructField("b", kind["id"].dataType), StructField("score", DoubleType())]))
 
 
 def best_by_weight(hits: DataFrame, most: int = 3) -> DataFrame:

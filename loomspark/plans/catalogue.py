@@ -13,7 +13,6 @@ from .session import ship
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FORMS: dict = {}
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
 
@@ -23,7 +22,7 @@ def query(name: str, sql: str | None = None):
             return f(Tables(spark, sf_dir))
 
         run.__name__ = name
-        QUERIES[name], FORMS[name] = run, f
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return f
@@ -31,24 +30,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def whole(name: str, *cuts: tuple[str, str]) -> None:
-    """Adds the query ``name`` as ``name_whole``, over all rows and whole texts; its SQL has each of ``cuts`` replaced."""
-    sql = SQL[name]
-    for cut, instead in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, instead)
-
-    @query(f"{name}_whole", sql)
-    def form(t: Tables) -> DataFrame:
-        t.whole = True
-        return FORMS[name](t)
-
-
 class Tables:
     """The tables of one folder, and frames derived from them."""
 
-    whole = False  # no limits of ids, no cut texts
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = ship(spark), sf_dir
 
@@ -119,7 +103,7 @@ query("p4_messages", f"WITH {_BASE} SELECT conv_id, {FLAT.format('c')} AS said F
 query("p6_messages_all", f"WITH {_BASE} SELECT conv_id, 'system: Be brief.' || chr(10) || {FLAT.format('c')} AS said FROM r0")(lambda t: export.messages_all(t.base(), system="Be brief.").select("conv_id", flat("messages").alias("said")))
 query("p7_llama_factory", f"WITH {_PAIR}, m AS (SELECT conv_id, max(k) AS k FROM q GROUP BY 1) SELECT q.conv_id, q.u AS instruction, '' AS input, q.a AS output, coalesce((SELECT string_agg(x.u || '|' || x.a, chr(10) ORDER BY x.k) FROM q x WHERE x.conv_id = q.conv_id AND x.k < q.k), '') AS history FROM q JOIN m USING (conv_id, k)")(lambda t: export.llama_factory(t.base()).withColumn("history", F.array_join(F.transform("history", lambda h: F.array_join(h, "|")), "\n")))
 query("p10_warnings", f"WITH {_BASE} SELECT * FROM (SELECT conv_id, concat_ws('; ', CASE WHEN len(list_filter(c, lambda x: x.role = 'assistant')) = 0 THEN 'no assistant turn' END, CASE WHEN len(list_filter(c, lambda x: x.content = '')) > 0 THEN 'empty content' END, CASE WHEN c[1].role = 'assistant' THEN 'starts with assistant' END) AS warnings FROM r0) WHERE warnings <> ''")(lambda t: export.warnings(t.base()).withColumn("warnings", F.array_join("warnings", "; ")))
-query("p18_agent_dpo", f"WITH {_BASE}, s AS (SELECT conv_id, c[1].content AS prompt, list_transform(c[2:], lambda x: x.content) AS rest FROM r0) SELECT conv_id, prompt, array_to_string(rest, chr(10)) AS chosen, CASE WHEN len(rest) > 1 THEN array_to_string(rest[:len(rest) // 2], chr(10)) ELSE 'I cannot complete this task.' END AS rejected FROM s")(lambda t: export.agent_dpo(t.base()))
+query("p18_agent_dpo", f"WITH {_BASE}, s AS (SELECT conv_id, c[1].content AS prompt, list_transform(c[2:], lambda x: x.content) AS rest FROM r0) SELECT conv_id, prompt, array_to_string(rest, chr(10)) AS chosen, CASE WHEN len(rest) > 1 THEN array_to_string(rest[:len(rest) // 2], chr(10)) ELSE 'Unable to fulfill request.' END AS rejected, 'traj_' || conv_id AS trajectory_id FROM s")(lambda t: export.agent_dpo(t.base().withColumn("trajectory_id", F.concat(F.lit("traj_"), F.col("conv_id").cast("string")))))
 query("a20_dpo_pairs", f"WITH {enrich.SQL}, a AS (SELECT prompt, final_score AS s, conv_id, list_filter(c, lambda x: x.role = 'assistant')[-1].content AS response FROM r WHERE final_score IS NOT NULL AND len(c) >= 2), g AS (SELECT prompt, arg_max(struct_pack(r := response, s := s, i := conv_id), (s, -conv_id)) AS b, arg_min(struct_pack(r := response, s := s, i := conv_id), (s, -conv_id)) AS w, count(*) AS n FROM a WHERE response <> '' GROUP BY 1) SELECT prompt, b.r AS chosen, w.r AS rejected, b.i AS chosen_id, w.i AS rejected_id, round(b.s - w.s, 6) AS gap FROM g WHERE n >= 2 AND round(b.s - w.s, 6) >= 0.2")(lambda t: export.dpo(t.rows()))
 
 
@@ -131,7 +115,7 @@ def _pairs(t: Tables) -> DataFrame:
 
 
 _PP = f"{enrich.SQL}, a AS (SELECT prompt, final_score AS score, conv_id, 'temperature_0.' || (conv_id % 3 + 1) AS l, list_filter(c, lambda x: x.role = 'assistant')[-1].content AS content FROM r WHERE final_score IS NOT NULL), pp0 AS (SELECT prompt, arg_max(struct_pack(c := content, s := score, l := l), (score, -conv_id)) AS b, arg_min(struct_pack(c := content, s := score, l := l), (score, -conv_id)) AS w, count(*) AS n FROM a WHERE content IS NOT NULL GROUP BY 1), pp AS (SELECT *, round(b.s - w.s, 9) AS gap, round(b.s - w.s, 9) >= 0.1 AS valid FROM pp0 WHERE n >= 2)"
-query("a21_preference_statistics", f"WITH {_PP}, o AS (SELECT count(*) AS attempted, count_if(valid) AS valid, round(avg(b.s) FILTER (WHERE valid), 6) AS mean_chosen, round(avg(w.s) FILTER (WHERE valid), 6) AS mean_rejected, round(avg(gap) FILTER (WHERE valid), 6) AS mean_gap FROM pp), l AS (SELECT max(n) AS top FROM (SELECT b.l, count(*) AS n FROM pp WHERE valid GROUP BY 1)) SELECT attempted, valid, attempted - valid AS discarded, round((attempted - valid) / attempted, 6) AS discard_rate, mean_chosen, mean_rejected, mean_gap, round(top / valid, 6) >= 0.75 AS dominated, round((attempted - valid) / attempted, 6) > 0.4 AS many_discarded FROM o, l")(lambda t: preference.statistics(_pairs(t)))
+query("a21_preference_statistics", f"WITH {_PP}, o AS (SELECT count(*) AS attempted, count(*) FILTER (WHERE valid) AS valid, round(avg(b.s) FILTER (WHERE valid), 6) AS mean_chosen, round(avg(w.s) FILTER (WHERE valid), 6) AS mean_rejected, round(avg(gap) FILTER (WHERE valid), 6) AS mean_gap FROM pp), l AS (SELECT max(n) AS top FROM (SELECT b.l, count(*) AS n FROM pp WHERE valid GROUP BY 1)) SELECT attempted, valid, attempted - valid AS discarded, coalesce(round((attempted - valid) / nullif(attempted, 0), 6), 0.0) AS discard_rate, coalesce(mean_chosen, 0.0) AS mean_chosen, coalesce(mean_rejected, 0.0) AS mean_rejected, coalesce(mean_gap, 0.0) AS mean_gap, coalesce(round(top / nullif(valid, 0), 6), 0.0) >= 0.75 AS dominated, coalesce(round((attempted - valid) / nullif(attempted, 0), 6), 0.0) > 0.4 AS many_discarded FROM o, l")(lambda t: preference.statistics(_pairs(t)))
 query("a21_label_distribution", f"WITH {_PP} SELECT b.l AS label, count(*) AS n FROM pp WHERE valid GROUP BY 1")(lambda t: preference.label_distribution(_pairs(t)))
 query("p19_preference_dpo", f"WITH {_PP} SELECT prompt, b.c AS chosen, w.c AS rejected FROM pp WHERE valid")(lambda t: preference.as_dpo(_pairs(t)))
 query("p20_preference_chat", f"WITH {_PP} SELECT 'user: ' || prompt AS prompt, 'assistant: ' || b.c AS chosen, 'assistant: ' || w.c AS rejected FROM pp WHERE valid")(lambda t: preference.as_chat(_pairs(t)).select(*(flat(c).alias(c) for c in ("prompt", "chosen", "rejected"))))
@@ -146,8 +130,7 @@ _L = "[{m: 'coherence', s: coherence, w: 1.0}, {m: 'factuality', s: factuality,
 for _how, _expr in (("mean", "list_avg(list_transform(h, lambda x: x.s))"), ("weighted_mean", "list_sum(list_transform(h, lambda x: x.s * x.w)) / list_sum(list_transform(h, lambda x: x.w))"), ("min", "list_min(list_transform(h, lambda x: x.s))")):
     query(f"a17_composite_{_how}", f"WITH {enrich.SQL}, h AS (SELECT conv_id, list_filter({_L}, lambda x: x.s IS NOT NULL) AS h FROM r), o AS (SELECT conv_id, round(coalesce({_expr}, 0.0), 6) AS overall, list_filter(h, lambda x: x.s = list_min(list_transform(h, lambda y: y.s)))[1].m AS worst FROM h) SELECT conv_id, overall, overall < 0.6 AS regenerate, worst, coalesce('improve_' || worst, 'general_improvement') AS strategy FROM o")(lambda t, how=_how: quality.composite(t.rows(), _WEIGHTS, how))
 query("f2_quality_gate", f"WITH {enrich.SQL} SELECT conv_id, grade FROM r WHERE grade IS NULL OR grade NOT IN ('not_acceptable', 'bad', 'needs_improvement')")(lambda t: quality.accepted(t.rows()).select("conv_id", "grade"))
-query("f3_first_accepted", f"WITH {enrich.SQL} SELECT conv_id % 10 AS item, min(conv_id // 10) AS attempt FROM r WHERE conv_id // 10 < 10 AND (grade IS NULL OR grade NOT IN ('not_acceptable', 'bad', 'needs_improvement')) GROUP BY 1")(lambda t: quality.first_accepted(t.rows().select((F.col("conv_id") % 10).alias("item"), F.floor(F.col("conv_id") / 10).alias("attempt"), "grade"), 10))
-query("f3_first_accepted_whole", f"WITH {enrich.SQL} SELECT conv_id // 10 AS item, min(conv_id % 10) AS attempt FROM r WHERE grade IS NULL OR grade NOT IN ('not_acceptable', 'bad', 'needs_improvement') GROUP BY 1")(lambda t: quality.first_accepted(t.rows().select(F.floor(F.col("conv_id") / 10).alias("item"), (F.col("conv_id") % 10).alias("attempt"), "grade")))
+query("f3_first_accepted", f"WITH {enrich.SQL} SELECT conv_id // 10 AS item, min(conv_id % 10) AS attempt FROM r WHERE grade IS NULL OR grade NOT IN ('not_acceptable', 'bad', 'needs_improvement') GROUP BY 1")(lambda t: quality.first_accepted(t.rows().select(F.floor(F.col("conv_id") / 10).alias("item"), (F.col("conv_id") % 10).alias("attempt"), "grade")))
 query("a13_coherence", f"WITH {VEC}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM tv), s AS (SELECT a.conv_id, avg({COS.format('a.vec', 'b.vec')}) AS s, count(*) AS n FROM o a JOIN o b ON a.conv_id = b.conv_id AND a.p % 2 = 0 AND b.p = a.p + 1 GROUP BY 1) SELECT conv_id, round(coalesce(s, 0.0), 6) AS score, coalesce(n, 0)::BIGINT AS pairs, round(coalesce(s, 0.0), 6) < 0.65 AS regenerate FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN s USING (conv_id)")(lambda t: quality.coherence(t.turn_vectors()))
 _CTX = f"WITH {VEC}, x AS (SELECT conv_id, embedding::DOUBLE[] AS cv FROM (SELECT DISTINCT conv_id FROM conversations) JOIN embeddings ON vec_id = conv_id * 13 % 500 WHERE conv_id % 4 <> 0), s AS (SELECT conv_id, avg({COS.format('vec', 'cv')}) AS s FROM tv JOIN x USING (conv_id) WHERE role = '{{0}}' GROUP BY 1), f AS (SELECT conv_id, round(CASE WHEN cv IS NULL THEN 1.0 ELSE coalesce(s, 0.0) END, 6) AS score FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN x USING (conv_id) LEFT JOIN s USING (conv_id)) SELECT conv_id, score, score < 0.55 AS regenerate FROM f"
 
@@ -164,14 +147,12 @@ query("o5_top_k", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id,
 
 
 def _hits(t: Tables) -> DataFrame:
-    return t.conversations.select(F.col("conv_id").alias("query_id"), F.col("role").alias("retriever"), (F.col("turn") % 4).alias("weight"), F.col("turn").alias("ord"), (F.col("text") if t.whole else F.substring("text", 1, 30)).alias("text"))
+    return t.conversations.select(F.col("conv_id").alias("query_id"), F.col("role").alias("retriever"), (F.col("turn") % 4).alias("weight"), F.col("turn").alias("ord"), "text")
 
 
-_H = "h AS (SELECT conv_id AS query_id, role AS retriever, turn % 4 AS weight, turn AS ord, substring(text, 1, 30) AS text FROM conversations)"
+_H = "h AS (SELECT conv_id AS query_id, role AS retriever, turn % 4 AS weight, turn AS ord, text FROM conversations)"
 query("o6_ensemble", f"WITH {_H}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, ord) AS rank FROM h WHERE weight > 0 AND text <> '') SELECT * FROM k WHERE rank <= 3")(lambda t: vectors.best_by_weight(_hits(t)))
 query("o7_chained", f"WITH {_H}, k AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM h WHERE text <> '') SELECT * FROM k WHERE before < 50")(lambda t: vectors.chained(_hits(t)))
-for _name in ("o6_ensemble", "o7_chained"):
-    whole(_name, ("substring(text, 1, 30) AS text", "text"))
 
 # ---- monitoring
 
@@ -234,13 +215,10 @@ query("f20_invalid_nodes", f"WITH {_N} SELECT n.factor_id, n.node_id, 'no parent
 
 
 def _games(t: Tables) -> DataFrame:
-    e = t.events if t.whole else t.events.where("event_id < 300")
-    batch = F.floor(F.col("event_id") / 30) if t.whole else F.col("event_id") % 10
-    return e.select(batch.alias("batch"), F.col("event_id").alias("ord"), (F.col("user_id") % 6).alias("winner"), (F.col("event_id") * 7 % 6).alias("loser"))
+    return t.events.select(F.floor(F.col("event_id") / 30).alias("batch"), F.col("event_id").alias("ord"), (F.col("user_id") % 6).alias("winner"), (F.col("event_id") * 7 % 6).alias("loser"))
 
 
-query("a25_elo", "WITH RECURSIVE g AS (SELECT event_id % 10 AS batch, row_number() OVER (PARTITION BY event_id % 10 ORDER BY event_id) AS k, user_id % 6 AS w, event_id * 7 % 6 AS l FROM events WHERE event_id < 300 AND user_id % 6 <> event_id * 7 % 6), f(batch, k, s) AS (SELECT DISTINCT batch, 0::BIGINT, [1500.0::DOUBLE, 1500.0, 1500.0, 1500.0, 1500.0, 1500.0] FROM g UNION ALL SELECT f.batch, g.k, list_transform(range(6), lambda i: CASE WHEN i = w THEN s[w + 1] + 32 * (1 - 1 / (1 + pow(10, (s[l + 1] - s[w + 1]) / 400))) WHEN i = l THEN s[l + 1] - 32 * (1 - 1 / (1 + pow(10, (s[l + 1] - s[w + 1]) / 400))) ELSE s[i + 1] END) FROM f JOIN g ON g.batch = f.batch AND g.k = f.k + 1), e AS (SELECT batch, arg_max(s, k) AS s FROM f GROUP BY 1), u AS (SELECT DISTINCT batch, w AS item FROM g UNION SELECT DISTINCT batch, l FROM g) SELECT batch, item, round(s[item + 1], 6) AS rating FROM u JOIN e USING (batch)")(lambda t: taxonomy.elo(_games(t)))
-whole("a25_elo", ("event_id < 300 AND ", ""), ("event_id % 10", "event_id // 30"))
+query("a25_elo", "WITH RECURSIVE g AS (SELECT event_id // 30 AS batch, row_number() OVER (PARTITION BY event_id // 30 ORDER BY event_id) AS k, user_id % 6 AS w, event_id * 7 % 6 AS l FROM events WHERE user_id % 6 <> event_id * 7 % 6), f(batch, k, s) AS (SELECT DISTINCT batch, 0::BIGINT, [1500.0::DOUBLE, 1500.0, 1500.0, 1500.0, 1500.0, 1500.0] FROM g UNION ALL SELECT f.batch, g.k, list_transform(range(6), lambda i: CASE WHEN i = w THEN s[w + 1] + 32 * (1 - 1 / (1 + pow(10, (s[l + 1] - s[w + 1]) / 400))) WHEN i = l THEN s[l + 1] - 32 * (1 - 1 / (1 + pow(10, (s[l + 1] - s[w + 1]) / 400))) ELSE s[i + 1] END) FROM f JOIN g ON g.batch = f.batch AND g.k = f.k + 1), e AS (SELECT batch, arg_max(s, k) AS s FROM f GROUP BY 1), u AS (SELECT DISTINCT batch, w AS item FROM g UNION SELECT DISTINCT batch, l FROM g) SELECT batch, item, round(s[item + 1], 6) AS rating FROM u JOIN e USING (batch)")(lambda t: taxonomy.elo(_games(t)))
 
 
 def _results(t: Tables) -> DataFrame:
@@ -259,7 +237,7 @@ query("j8_compare_sides", f"WITH x AS (SELECT conv_id, {TOK} AS w FROM conversat
 
 def _traces(t: Tables) -> DataFrame:
     """Trajectories in thought-action-observation text, made from events."""
-    e = (t.events if t.whole else t.events.where("event_id < 2000")).withColumn("conv_id", F.floor(F.col("event_id") / 4))
+    e = t.events.withColumn("conv_id", F.floor(F.col("event_id") / 4))
     call = F.concat(F.lit("Thought: look up "), F.col("event_type"), F.lit("\nAction: app."), F.col("event_type"), F.lit('\nAction Input: {"user": "'), F.col("user_id").cast("string"), F.lit('"}'))
     seen = F.concat(F.lit("Observation: "), F.col("user_id").cast("string"))
     done = F.concat(F.lit("Thought: done\nFinal Answer: "), F.col("event_type"))
@@ -268,13 +246,11 @@ def _traces(t: Tables) -> DataFrame:
     return enrich.conversations(m)
 
 
-_TR = "e AS (SELECT *, event_id // 4 AS conv_id FROM events WHERE event_id < 2000), c AS (SELECT *, row_number() OVER (ORDER BY event_id) AS id FROM e WHERE event_id % 4 <> 3)"
+_TR = "e AS (SELECT *, event_id // 4 AS conv_id FROM events), c AS (SELECT *, row_number() OVER (ORDER BY event_id) AS id FROM e WHERE event_id % 4 <> 3)"
 query("p15_openai_tools", f"WITH {_TR}, p AS (SELECT conv_id, event_id * 2 AS o, '{{\"role\":\"assistant\",\"content\":\"look up ' || event_type || '\",\"tool_calls\":[{{\"id\":\"call_' || id || '\",\"type\":\"function\",\"function\":{{\"name\":\"app__' || event_type || '\",\"arguments\":\"{{\\\"user\\\": \\\"' || user_id || '\\\"}}\"}}}}]}}' AS m FROM c UNION ALL SELECT conv_id, event_id * 2 + 1, '{{\"role\":\"tool\",\"tool_call_id\":\"call_' || id || '\",\"content\":\"' || user_id || '\"}}' FROM c UNION ALL SELECT conv_id, event_id * 2, '{{\"role\":\"assistant\",\"content\":\"done' || '\\n' || ' ' || event_type || '\"}}' FROM e WHERE event_id % 4 = 3) SELECT conv_id, string_agg(m, chr(10) ORDER BY o) AS messages FROM p GROUP BY 1")(lambda t: traces.openai_tools(_traces(t)).withColumn("messages", F.array_join("messages", "\n")))
 query("p17_hermes_tools", f"WITH {_TR}, p AS (SELECT conv_id, event_id * 2 AS o, 'assistant: look up ' || event_type || chr(10) || '<tool_call>' || chr(10) || '{{\"name\": \"app__' || event_type || '\", \"arguments\": {{\"user\": \"' || user_id || '\"}}}}' || chr(10) || '</tool_call>' AS m FROM c UNION ALL SELECT conv_id, event_id * 2 + 1, 'tool: <tool_response>' || chr(10) || user_id || chr(10) || '</tool_response>' FROM c UNION ALL SELECT conv_id, event_id * 2, 'assistant: done' || chr(10) || ' ' || event_type FROM e WHERE event_id % 4 = 3) SELECT conv_id, string_agg(m, chr(10) ORDER BY o) AS messages FROM p GROUP BY 1")(lambda t: traces.hermes_tools(_traces(t)).withColumn("messages", flat("messages")))
 query("p16_anthropic_tools", f"WITH {_TR}, p AS (SELECT conv_id, event_id * 2 AS o, 'assistant {{\"type\":\"text\",\"text\":\"look up ' || event_type || '\"}}{{\"type\":\"tool_use\",\"id\":\"toolu_' || id || '\",\"name\":\"app__' || event_type || '\",\"input\":{{\"user\":\"' || user_id || '\"}}}}' AS m FROM c UNION ALL SELECT conv_id, event_id * 2 + 1, 'user {{\"type\":\"tool_result\",\"tool_use_id\":\"toolu_' || id || '\",\"content\":\"' || user_id || '\"}}' FROM c UNION ALL SELECT conv_id, event_id * 2, 'assistant {{\"type\":\"text\",\"text\":\"done' || '\\n' || ' ' || event_type || '\"}}' FROM e WHERE event_id % 4 = 3) SELECT conv_id, string_agg(m, chr(10) ORDER BY o) AS messages FROM p GROUP BY 1")(lambda t: traces.anthropic_tools(_traces(t)).withColumn("messages", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(" "), F.array_join(m["content"], ""))), "\n")))
 query("a29_tool_statistics", f"WITH {_TR} SELECT 'app__' || event_type AS tool, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM c GROUP BY 1")(lambda t: traces.tool_statistics(traces.parsed(_traces(t)).where("kind = 'call'")))
-for _name in ("p15_openai_tools", "p16_anthropic_tools", "p17_hermes_tools", "a29_tool_statistics"):
-    whole(_name, (" WHERE event_id < 2000", ""))
 query("a32_least_used", "WITH t AS (SELECT 'tool_' || i AS tool, i AS reg_ord FROM range(20) t(i)), c AS (SELECT 'tool_' || (user_id % 17) AS tool, count(*) AS n FROM events GROUP BY 1) SELECT tool, reg_ord, coalesce(n, 0)::BIGINT AS n FROM t LEFT JOIN c USING (tool) ORDER BY coalesce(n, 0), reg_ord LIMIT 10")(lambda t: traces.least_used(t.spark.range(20).select(F.concat(F.lit("tool_"), F.col("id").cast("string")).alias("tool"), F.col("id").alias("reg_ord")), t.events.select(F.concat(F.lit("tool_"), (F.col("user_id") % 17).cast("string")).alias("tool"))))
 query("a33_ledger", "WITH s AS (SELECT event_id AS ord, user_id % 10 AS account, -round(value, 2) AS delta FROM events UNION ALL SELECT event_id, event_id % 10, round(value, 2) FROM events), r AS (SELECT *, sum(round(delta * 100)::BIGINT) OVER (PARTITION BY account ORDER BY ord, delta ROWS UNBOUNDED PRECEDING) AS b FROM s) SELECT account, ord, round(delta, 2) AS delta, round(b / 100.0, 2) AS balance FROM r")(lambda t: traces.ledger(t.events.select(F.col("event_id").alias("ord"), (F.col("user_id") % 10).alias("src"), (F.col("event_id") % 10).alias("dst"), F.round("value", 2).alias("amount"))))
 query("f13_hard_gate", "SELECT user_id AS traj_id, bool_or(event_type = 'error') OR bool_or(coalesce(json_extract_string(props, '$.error') IS NOT NULL, false)) AS rejected FROM events GROUP BY 1")(lambda t: traces.hard_gate(t.events.select(F.col("user_id").alias("traj_id"), F.col("event_type").alias("status"), F.col("props").alias("observation"))))
@@ -286,11 +262,10 @@ query("s17_chunks", "SELECT doc_id, i::BIGINT AS chunk, substring(text, i * 500
 query("s18_overlapping_chunks", r"SELECT doc_id, i::BIGINT AS chunk, regexp_replace(substring(text, i * 900 + 1, 1000), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, text, unnest(range(((length(text) + 899) // 900)::BIGINT)) AS i FROM documents) WHERE regexp_replace(substring(text, i * 900 + 1, 1000), '^\s+|\s+$', '', 'g') <> ''")(lambda t: readers.chunked(t.documents, 1000, 100))
 query("s19_messages_as_document", "SELECT conv_id, string_agg('## Message ' || k || ': ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE trim(text) <> '' GROUP BY 1")(lambda t: readers.messages_as_document(t.conversations))
 query("s4_page", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")(lambda t: readers.page(t.orders, {"o_orderstatus": "F"}, [("o_orderdate", -1), ("o_orderkey", 1)], 20, 40).select("o_orderkey", "o_orderstatus"))
-query("s20_indexed", "SELECT vec_id, substring(text, 1, 100) AS text FROM embeddings JOIN documents ON vec_id = doc_id WHERE trim(text) <> '' AND len(embedding) = 64")(lambda t: readers.indexed(t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select("vec_id", "text", F.col("embedding").alias("vector")), 64, *([] if t.whole else [100])).select("vec_id", "text"))
-whole("s20_indexed", ("substring(text, 1, 100)", "substring(text, 1, 120000)"))
+query("s20_indexed", "SELECT vec_id, substring(text, 1, 120000) AS text FROM embeddings JOIN documents ON vec_id = doc_id WHERE trim(text) <> '' AND len(embedding) = 64")(lambda t: readers.indexed(t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select("vec_id", "text", F.col("embedding").alias("vector")), 64).select("vec_id", "text"))
 query("u6_not_in_train", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda t: t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti"))
 query("u4_trigram_overlap", f"WITH d AS (SELECT item_id, {TOK} AS w FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d) SELECT a.item_id AS a, b.item_id AS b, round({_SETS.format('a.g', 'b.g')}, 6) AS jaccard FROM g a JOIN g b ON b.item_id = a.item_id + 1")(lambda t: (lambda d: d.select(F.col("item_id").alias("a"), F.col("g").alias("ga")).join(d.select(F.col("item_id").alias("b"), F.col("g").alias("gb")), F.col("b") == F.col("a") + 1).select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb"), 0.0), 6).alias("jaccard")))(t.benchmark.select("item_id", T.ngrams(T.tokens(F.col("text")), 3).alias("g"))))
-query("x9_digests", "SELECT doc_id, sha256(trim(text)) AS digest FROM documents")(lambda t: t.documents.select("doc_id", F.sha2(F.trim("text"), 256).alias("digest")))
+query("x9_digests", r"SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM documents")(lambda t: t.documents.select("doc_id", F.sha2(T.strip(F.col("text")), 256).alias("digest")))
 query("x20_labels", "SELECT doc_id, CASE WHEN length(text) > 20 THEN substring(text, 1, 20) || '...' ELSE text END AS label FROM documents")(lambda t: t.documents.select("doc_id", T.short_label(F.col("text"), 20).alias("label")))
 query("x21_escaped", "SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS url FROM pages")(lambda t: t.pages.select("page_id", T.html_escaped(F.col("url")).alias("url")))
 query("a31_context_state", f"WITH {enrich.SQL} SELECT x AS context, count(*) AS n FROM (SELECT unnest(list_distinct([context_id] || context_ids)) AS x FROM r) GROUP BY 1")(lambda t: analytics.context_counts(t.rows(), dedup=True))
@@ -301,7 +276,7 @@ query("a31_context_state", f"WITH {enrich.SQL} SELECT x AS context, count(*) AS
 query("f9_multiple_choice", "SELECT doc_id, array_to_string((w || ['(placeholder)', '(placeholder)', '(placeholder)', '(placeholder)'])[1:4], '|') AS choices, CASE WHEN i >= 0 AND i < 4 THEN i ELSE 0 END::BIGINT AS correct_index FROM (SELECT doc_id, string_split(source, 'r') AS w, doc_id % 7 - 1 AS i FROM documents)")(lambda t: t.documents.select("doc_id", quality.multiple_choice(F.split("source", "r"), F.col("doc_id") % 7 - 1).alias("x")).select("doc_id", F.array_join("x.choices", "|").alias("choices"), "x.correct_index"))
 query("f15_rubric", "SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND NOT list_contains(list_transform(range(doc_id % 5), lambda i: (doc_id + i) % 3 > 0), false) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")(lambda t: t.documents.select("doc_id", quality.rubric(F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 5), lambda i: F.when(i < F.col("doc_id") % 5, (F.col("doc_id") + i) % 3 > 0)), lambda x: x.isNotNull())).alias("score")))
 query("f11_forbidden", "SELECT p_partkey, contains(lower(p_name || ' ' || p_brand), 'part') AND contains(lower(p_name || ' ' || p_brand), '#1') AS hit FROM part")(lambda t: t.part.select("p_partkey", rules.forbidden(F.array("p_name", "p_brand"), [("Part", "#1")]).alias("hit")))
-query("f18_retryable", "SELECT event_id, coalesce(event_id % 600 IN (429, 500, 502, 503, 504), false) OR regexp_matches(lower(event_type), 'timeout|timed out|rate limit|overloaded|temporarily|connection reset') AS retry FROM events")(lambda t: t.events.select("event_id", rules.retryable(F.col("event_id") % 600, F.col("event_type")).alias("retry")))
+query("f18_retryable", "SELECT event_id, coalesce(event_id % 600 IN (429, 500, 502, 503, 504), false) OR regexp_matches(lower(event_type), 'resource_exhausted|rate limit|too many requests|temporarily unavailable|service unavailable') AS retry FROM events")(lambda t: t.events.select("event_id", rules.retryable(F.col("event_id") % 600, F.col("event_type")).alias("retry")))
 query("x12_usage_weight", "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0.0 WHEN doc_id % 3 = 0 THEN 1.0 / (doc_id % 5 + 1) WHEN doc_id % 4 <= 0 THEN 0.0 ELSE greatest(doc_id % 4 - doc_id % 5, 0)::DOUBLE END::DOUBLE AS weight FROM documents")(lambda t: t.documents.select("doc_id", sampling.usage_weight(F.col("doc_id") % 5, F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 4), F.col("doc_id") % 11 == 0).alias("weight")))
 query("x14_auto_depth", "WITH d AS (SELECT i AS depth, (SELECT sum(pow(5, k + 1))::BIGINT FROM range(i + 1) r(k)) AS n FROM range(7) t(i)) SELECT DISTINCT o_custkey, arg_min(depth, (abs(n - o_custkey), depth))::BIGINT AS depth FROM (SELECT DISTINCT o_custkey FROM orders), d GROUP BY 1")(lambda t: t.orders.select("o_custkey").distinct().select("o_custkey", rules.auto_depth(F.col("o_custkey")).cast("long").alias("depth")))
 query("x17_backoff", "SELECT event_id, least(60.0, pow(2.0, event_id % 9))::DOUBLE AS seconds FROM events")(lambda t: t.events.select("event_id", rules.backoff(F.col("event_id") % 9).alias("seconds")))
@@ -315,9 +290,12 @@ query("j13_resolve_tool", "WITH t AS (SELECT 'app' || (n_regionkey) || '.' || lo
 query("l1_generation_stub", "SELECT conv_id, turn, 'answer ' || substr(md5(text), 1, 12) AS answer FROM conversations WHERE role = 'user'")(lambda t: generation.generate(t.conversations.where("role = 'user'").select("conv_id", "turn", "text"), "text").drop("text"))
 
 
-@query("t1_stream_windows")
+@query("t1_stream_windows", SQL["t1_windows"])
 def _stream(t: Tables) -> DataFrame:
     import uuid
 
     e = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
     return streaming.run_once(streaming.windowed(e.select(F.col("event_type").alias("metric"), "ts", "value"), 60), f"w{uuid.uuid4().hex}", "complete")
+
+
+from . import related  # noqa: E402, F401  (adds its queries)

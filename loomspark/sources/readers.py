@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunks, strip
 
+BAD = "__malformed"
 CONVERSATION = (
     "conversations array<struct<role:string,content:string,reasoning_content:string>>, metadata map<string,string>, instruction_context string, "
     "response_context string, persona string, evaluation string, final_score double"
@@ -16,17 +17,19 @@ CONVERSATION = (
 def conversation_jsonl(spark: SparkSession, path: str, limit: int = 0, offset: int = 0) -> DataFrame:
     """Conversations of JSON lines in file order (``row_ord``); a malformed line fails; limit 0 is no limit."""
     df = spark.read.schema(CONVERSATION).json(path, mode="FAILFAST")
-    if limit or offset:
-        df = df.withColumn("row_ord", F.monotonically_increasing_id()).orderBy("row_ord")
+    if limit or offset:  # splits of a file are numbered in the order of their starts only within the file
+        at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+        df = df.withColumn("row_ord", at).orderBy("row_ord")
         df = df.offset(offset) if offset else df
         df = df.limit(limit) if limit else df
     return df
 
 
 def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines without blank and malformed ones."""
+    """JSON lines without blank and malformed ones; ``conversation_jsonl`` fails on these instead."""
     t = spark.read.text(path).where(F.trim("value") != "")
-    return t.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("x"), "value").where("x IS NOT NULL").select("x.*")
+    read = F.from_json("value", f"{schema}, {BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    return t.select(read.alias("x")).where(f"x.{BAD} IS NULL").select("x.*").drop(BAD)
 
 
 def document_jsonl(spark: SparkSession, path: str, content_key: str = "text", preserve_ids: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from loomspark.operators.quality import first_accepted
 from loomspark.plans.catalogue import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -53,10 +54,10 @@ def test_whole_queries_use_every_row(spark):
     d = "/root/testdata/sf0.01"
     events = [r.event_id for r in spark.read.parquet(f"{d}/events.parquet").select("event_id").collect()]
     assert max(events) >= 2000
-    assert sum(r.n for r in QUERIES["a29_tool_statistics_whole"](spark, d).collect()) == sum(i % 4 != 3 for i in events)
+    assert sum(r.n for r in QUERIES["a29_tool_statistics"](spark, d).collect()) == sum(i % 4 != 3 for i in events)
     for name in ("p15_openai_tools", "p16_anthropic_tools", "p17_hermes_tools"):
-        assert QUERIES[f"{name}_whole"](spark, d).count() == len({i // 4 for i in events})
-    assert QUERIES["a25_elo_whole"](spark, d).select("batch").distinct().count() == len({i // 30 for i in events})
+        assert QUERIES[f"{name}"](spark, d).count() == len({i // 4 for i in events})
+    assert QUERIES["a25_elo"](spark, d).select("batch").distinct().count() == len({i // 30 for i in events})
 
 
 def test_first_accepted_has_no_bound(spark):
@@ -66,9 +67,9 @@ def test_first_accepted_has_no_bound(spark):
 
 def test_whole_queries_use_whole_texts(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
-    got = QUERIES["s20_indexed_whole"](spark, DIR).collect()
+    got = QUERIES["s20_indexed"](spark, DIR).collect()
     assert got and all(r.text == docs[r.vec_id][:120_000] for r in got) and max(len(r.text) for r in got) > 100
     said = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{DIR}/conversations.parquet").collect()}
-    for name in ("o6_ensemble_whole", "o7_chained_whole"):
+    for name in ("o6_ensemble", "o7_chained"):
         got = QUERIES[name](spark, DIR).collect()
         assert got and all(r.text == said[r.query_id, r.ord] for r in got) and max(len(r.text) for r in got) > 30

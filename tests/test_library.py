@@ -1,12 +1,13 @@
 """Operators on literal rows with answers worked out by hand."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import analytics, export, monitor, preference, quality, sampling, taxonomy, traces, vectors
+from loomspark.operators import analytics, export, generation, monitor, preference, quality, sampling, taxonomy, traces, vectors
 from loomspark.sources import readers
 
 ROWS = "conv_id long, conversations array<struct<role:string,content:string>>, persona string, context_id string, context_ids array<string>, depth int"
@@ -257,3 +258,68 @@ def test_order_by_ranges(spark):
     assert {r.k: r.s for r in running_sum_before(d, "k", "v", "s").collect()} == want
     assert {r.k: r.n for r in next_value(d, "k", "v", "n").collect()} == {k: (x % 7 + 1 if x else None) for k, x in zip(keys, [*keys[1:], None])}
     assert next_value(d.limit(0), "k", "v", "n").count() == 0
+
+
+def test_near_duplicates_by_blocks(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(g, i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60) for g in ("hot",)] + [("b", 100, [1.0, 0.0, 0.0]), ("b", 101, [2.0, 0.0, 0.0]), ("b", 102, [1.0]), ("b", 103, None), ("b", 104, []), ("b", 105, [0.0, 0.0, 0.0]), (None, 106, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "group string, id long, v array<double>")
+    norm = lambda x: math.sqrt(sum(t * t for t in x))
+    want = set()
+    for g, i, x in rows:
+        for h, j, y in rows:
+            if g and g == h and i < j and x and y and len(x) == len(y) and norm(x) * norm(y) > 0:
+                s = round(sum(p * q for p, q in zip(x, y)) / (norm(x) * norm(y)), 6)
+                if s > 0.9:
+                    want.add((g, i, j, s))
+    for block in (7, 2048):
+        assert {tuple(r) for r in vectors.near_duplicates(df, 0.9, block).collect()} == want
+    q = df.where("group = 'hot' AND id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    items = df.where("group = 'hot'").select(F.col("id").alias("item_id"), "v")
+    assert sorted(vectors.top_k(q, items, 2, 0.1, 3).collect()) == sorted(vectors.top_k(q, items, 2, 0.1).collect())
+
+
+def test_lenient_lines_and_order_over_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": \n{"x": null}\nnot json\n{"y": 2}\n')
+    assert [r.x for r in readers.lenient_jsonl(spark, str(tmp_path / "a.jsonl"), "x long").collect()] == [1, None, None]
+    for name in ("p1", "p2"):
+        (tmp_path / f"{name}.json").write_text("".join(f'{{"persona": "{name}{i}"}}\n' for i in range(5)))
+    got = readers.conversation_jsonl(spark, str(tmp_path / "p*.json"), limit=4, offset=3).collect()
+    assert [r.persona for r in got] == ["p13", "p14", "p20", "p21"]
+
+
+def test_paths_of_any_depth(spark):
+    rows = [("f", f"n{i}", f"n{i - 1}" if i else None, i, str(i)) for i in range(40)] + [("f", "x", "y", 1, "x"), ("f", "y", "x", 2, "y")]
+    df = spark.createDataFrame(rows, taxonomy.NODES)
+    assert {r.node_id: r.path for r in taxonomy.paths(df).collect()} == {f"n{i}": "/".join(map(str, range(i + 1))) for i in range(40)}
+    assert {r.node_id for r in taxonomy.invalid_nodes(df).collect()} == {"x"}
+
+
+def test_retries_send_each_prompt_once(spark, tmp_path):
+    def factory():
+        def client(prompts):
+            import uuid
+
+            (tmp_path / uuid.uuid4().hex).write_text("\n".join(prompts))
+            return ["bad" if p.startswith("no") else "good" for p in prompts]
+
+        return client
+
+    df = spark.createDataFrame([(i, f"{'no' if i % 2 else 'yes'}{i}") for i in range(10)], "i long, prompt string")
+    got = generation.retried(df, "prompt", lambda c: f"{c} = 'good'", attempts=4, factory=factory).collect()
+    assert {(r.i, r.attempt) for r in got} == {(i, None if i % 2 else 0) for i in range(10)}
+    asked = [line for p in tmp_path.iterdir() for line in p.read_text().split()]
+    assert sorted(asked) == sorted([f"yes{i}" for i in range(0, 10, 2)] + [f"no{i}" for i in range(1, 10, 2)] * 4)
+
+
+def test_fixed_values(spark):
+    from loomspark.operators import export, relations, rules
+
+    d = spark.createDataFrame([("RESOURCE_EXHAUSTED now", True), ("Too many requests", True), ("temporarily unavailable", True), ("temporarily", False), ("timeout", False), (None, False)], "m string, want boolean")
+    assert all(r.got == r.want for r in d.select("want", rules.retryable(F.lit(200), F.col("m")).alias("got")).collect())
+    one = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")], "t1")], "conv_id long, conversations array<struct<role:string,content:string>>, trajectory_id string")
+    assert tuple(export.agent_dpo(one).first()) == (1, "q", "a", "Unable to fulfill request.", "t1")
+    s = spark.createDataFrame([(1, 0.2), (2, 0.1), (3, 0.9)], "id long, score double")
+    assert relations.similarity_summary(s, 0.5, 1).first().examples == "2" and relations.similarity_summary(s.limit(0), 0.5).first().n == 0
