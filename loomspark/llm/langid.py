@@ -13,18 +13,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lattice import GROUP, LONG, Levels, Vocabulary, distinct_words, read_pieces
+from . import kernel as K
+from .lattice import GROUP, Levels, Vocabulary, distinct_words, read_pieces
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 2000  # texts of each language that probabilities are learned from, about
 SMOOTH = 0.05
 UNKNOWN = 1e-8  # of a character that no piece has
+SHORT = 24  # characters of a word whose probability stays in the range of doubles, as no piece has less than 1e-12
 
 
 def forward(words: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
-    """log probability of each word in each language, shape (words, languages); p: (pieces, languages)."""
+    """log probability of each word in each language, shape (words, languages); p: (pieces, languages).
+
+    Words of up to SHORT characters share a trie; longer ones are rescaled at every character. Both give the same."""
     out = np.zeros((len(words), p.shape[1]))
-    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    short = [i for i, w in enumerate(words) if len(w) <= SHORT]
     for g in range(0, len(short), GROUP):
         mine = short[g : g + GROUP]
         levels = Levels([words[i] for i in mine], vocabulary)
@@ -46,7 +50,7 @@ def forward(words: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarr
             total[done] = now[first[d][done]]
         out[mine] = levels.restore(np.log(np.maximum(total, 1e-300)))
     for i, w in enumerate(words):
-        if len(w) > LONG:
+        if len(w) > SHORT:
             out[i] = _forward_long(w, vocabulary, p)
     return out
 
@@ -79,6 +83,7 @@ def _piece_counts(path: str):
                 for piece in sp.encode(text.lower(), out_type=str, num_threads=1):
                     if (i := vocabulary.get(piece)) is not None:
                         got[lang, i] = got.get((lang, i), 0) + 1
+            K.release()
             yield pd.DataFrame([(a, b, c) for (a, b), c in got.items()], columns=["lang", "piece", "n"]).astype({"piece": "int64", "n": "int64"})
 
     return run
@@ -107,8 +112,9 @@ def identify(docs: DataFrame, held_out: Column, path: str = VOCABULARY, sample:
 
     Learns from rows where ``held_out`` is false and neither text nor lang is null; ``score`` is the posterior
     of the predicted language (equal priors). A text that is null or has no letter is ``und`` with score 0, as is
-    every text if nothing could be learned; ties go to the first language by name. Other columns are ignored;
-    an empty table gives an empty result. ``path`` must be readable on every executor.
+    every text if nothing could be learned; ties go to the first language by name. A null ``held_out`` (as of a null id)
+    is shown as it is, and such a row is not learned from; repeated rows give a row each. Other columns are ignored; an
+    empty table gives an empty result. ``path`` must be readable on every executor.
     """
     langs, p = learn(docs.where(~held_out), path, sample)
     table = docs.sparkSession.sparkContext.broadcast((langs, p.astype(np.float64)))  # languages x vocabulary
@@ -138,5 +144,6 @@ def identify(docs: DataFrame, held_out: Column, path: str = VOCABULARY, sample:
                     total = np.exp(total - total.max(axis=1, keepdims=True))
                     score = np.where(letter, total.max(axis=1) / total.sum(axis=1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([langs[b] if b >= 0 else "und" for b in best], pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        K.release()
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -59,6 +59,33 @@ def test_interrupted_pages_without_a_named_article():
     assert main_text(f"<body><h1>Head</h1>{ads}<p>{long[0]}</p>{ads}<p>End.</p></body>") == f"Head {long[0]} End."
 
 
+def test_what_surrounds_an_article_only_weighs():
+    long = [("word " * n).strip() for n in (40, 30)]
+    body = f"<h1>Head</h1><p>{long[0]}</p><p>Short.</p><p>{long[1]}</p>"
+    want = f"Head {long[0]} Short. {long[1]}"
+    assert main_text(f"<body><a name=top><p>x</p>{body}</body>") == "x " + want
+    assert main_text(f"<body><a href=#><div>{body}</div></body>").endswith(f"{long[0]} Short. {long[1]}")
+    assert main_text(f"<body><form action=x><nav><a href=#>menu</a></nav><article>{body}</article><div class=ad>buy</div></form></body>") == want
+    assert main_text(f"<body><form action=x><nav><a href=#>menu</a></nav>{body}<div class=ad>buy</div></form></body>") == want
+    assert main_text(f"<body><div class=legal><article>{body}</article></div><footer>f</footer></body>") == want
+    assert main_text(f"<main><ul>{'<li><a href=#>link</a></li>' * 12}</ul>{body}</main>") == want
+    assert main_text(f"<body><div class=ad><div>buy</div>now</div>{body}<div class=comments><article><p>{long[0]}</p></article></div></body>") == want
+    assert main_text(f"<article>{body}<section class=comments><p>{long[0]}</p></section></article>") == want
+    assert main_text(f"<article>{body}</article><form><p>sign up</p></form>") == want
+    assert main_text(f"<body>{body}<div class=comments><article><p>{long[0]}</p></article><p>{long[1]}</p></div></body>") == want
+    assert main_text(f"<article>{body}<aside><p>{long[0]}</p></article><p>after</p>") == want
+    assert main_text(f"<article>{body}<ul><li class=ad>x<li class=ad>y</ul><p>Last.</p></article>") == want + " Last."
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a '", '<a "', "<", "<!--", "<script>", "<title", "&amp", "</p", "<p>", "<div class=ad>", "<a href=x>", "<p '>", "<![CDATA[", "<div class=ad>x", "<div class=ad>x</p>", "<div class=ad><article></article>", "<li class=ad>x", "<form>x"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    t = time.perf_counter()
+    main_text(piece * 30_000)
+    assert time.perf_counter() - t < 20
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(i, None if i == 2 else "u", p, "x") for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = extract(df).collect()
@@ -177,6 +204,28 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(g, np.log(total(w))) and np.allclose(g, _forward_long(w, v, p))
 
 
+def test_forward_has_one_answer_at_every_length():
+    """Against exact fractions, with unknown characters and rare pieces, around the length where the way changes."""
+    from fractions import Fraction
+    from math import log
+
+    from loomspark.llm.langid import SHORT
+
+    pieces = ["a", "b", "ab", "▁", "▁t", "the"]
+    v = lattice.Vocabulary(pieces)
+    p = np.array([[5e-11, 0.3], [1e-3, 5e-11], [1e-9, 1e-2], [0.2, 0.1], [1e-4, 1e-11], [0.1, 0.01]])
+    said = ["▁" + w for n in (1, 5, SHORT - 2, SHORT - 1, SHORT, SHORT + 1, 63, 64, 65, 100) for w in ("x" * n, "a" * n, ("ab" * n)[:n], ("the" + "ß" * n)[:n])]
+    got = forward(said, v, p)
+    for w, g in zip(said, got):
+        for k in range(2):
+            total = [Fraction(1)]
+            for d in range(1, len(w) + 1):
+                now = sum((total[d - len(x)] * Fraction(p[i, k]) for i, x in enumerate(pieces) if w[:d].endswith(x)), Fraction(0))
+                total.append(now + (total[-1] * Fraction(1e-8) if w[d - 1] not in pieces else 0))
+            want = log(total[-1].numerator) - log(total[-1].denominator)
+            assert abs(g[k] - want) < 1e-9 * max(1, abs(want)), w
+
+
 def test_best_equals_word_by_word():
     v = lattice.Vocabulary(lattice.read_pieces(PATH))
     s = token_counts.piece_scores(len(v.ids))
