@@ -34,6 +34,7 @@ PER_SEGMENT = 3.0
 SLACK = 1.12
 OWN, NEXT = 0, 1
 BLOCK = 2048
+BUCKET_BYTES = 4 << 20  # of text, about, whose signatures meet in one bucket
 
 
 class Bands:
@@ -149,6 +150,7 @@ def _sets(k: int):
                 key2.append(b - (1 << 64) if b >> 63 else b)
                 sk.append(sketch(x) if len(x) else b"")
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n", "key", "key2", "sketch"])
+        K.release()
 
     return run
 
@@ -215,12 +217,14 @@ def _index(k: int, percent: int, parts: int):
                     held += len(s)
                 keys.append(key[0])
                 sizes.append(len(x))
-                if held > 3_000_000 or len(keys) >= 30_000:
-                    if (out := flush(keys, sizes, sigs, who)) is not None and out.num_rows:
-                        yield out
+                if held > 1_000_000 or len(keys) >= 30_000:
+                    if (out := flush(keys, sizes, sigs, who)) is not None:
+                        yield from K.sliced(out)
                     keys, sizes, sigs, who, seen, held = [], [], [], [], set(), 0
-        if sigs and (out := flush(keys, sizes, sigs, who)) is not None and out.num_rows:
-            yield out
+                    K.release()
+        if sigs and (out := flush(keys, sizes, sigs, who)) is not None:
+            yield from K.sliced(out)
+        K.release()
 
     return run
 
@@ -303,6 +307,7 @@ def _probe(percent: int, crowd: int):
             va.insert(0, names[pair // len(names)].view(np.int64))
             vb.insert(0, names[pair % len(names)].view(np.int64))
             blobs = [None] * len(pair) + blobs
+        K.release()
         if not kinds:
             return pd.DataFrame({"kind": np.zeros(0, np.int32), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "blob": []})
         return pd.DataFrame({"kind": np.concatenate(kinds), "a": np.concatenate(va), "b": np.concatenate(vb), "blob": blobs})
@@ -343,6 +348,7 @@ def _verify(k: int, percent: int):
                     left.append(ids[i])
                     right.append(b[i].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        K.release()
 
     return run
 
@@ -434,14 +440,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, crowd: int = 16
     ``docs(doc_id, text, ...)``; other columns are ignored. Returns one row per document: ``doc_id``,
     ``n_shingles`` (size of its set), ``component_id`` (smallest doc_id reachable by links). Texts that are
     null, empty or without a word have an empty set and stand alone. Equal sets form one class, so copies
-    are never expanded into pairs; repeated rows with one doc_id give one result row each. An empty table
-    gives an empty result. ``crowd`` only shifts work between the two exact ways; it drops nothing.
+    are never expanded into pairs; repeated rows with one doc_id give one result row each, and each of their texts
+    links. A row without an id gets the component of the rows with its set, null if none has an id; texts that only
+    such rows hold link nothing. An empty table gives an empty result. ``crowd`` only shifts work between the two exact ways; it drops nothing.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(docs.mapInArrow(_sets(k), SETS))
     classes = written(every.where("n > 0").groupBy("n", "key", "key2").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")))
-    parts = buckets(spark)
+    parts = max(buckets(spark), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     packed = docs.select("text").mapInArrow(_index(k, percent, parts), "bucket int, blob binary")
     found = written(packed.groupBy("bucket").applyInPandas(_probe(percent, crowd), FOUND))
 

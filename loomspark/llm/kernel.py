@@ -6,11 +6,13 @@ and cutting code points agree. Words and shingles are named by 64-bit hashes of
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ROLL = U64(0xD6E8FEB86659FD93)
 
@@ -18,6 +20,23 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker that is used again does not keep its largest batch."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def sliced(batch: pa.RecordBatch, most: int = 2 << 20):
+    """A batch in parts of about so many bytes, so that the other side needs no large buffers."""
+    step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = np.array(x, dtype=U64)

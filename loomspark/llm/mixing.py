@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import join_small, written
+from .store import held, join_small, let_go, written
 
 DIMS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,10 +28,14 @@ def default_topic(text: Column) -> Column:
     return F.when(n == 0, "empty").when(symbols * 20 > n, "symbols").when(digits * 50 > n, "numbers").when(n < 600, "short").when(n >= 6000, "long").otherwise("prose")
 
 
-def keyed(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` with the cell keys ``__source, __lang, __topic``; a null value is a category of its own."""
+def keys(topic: Column | None = None) -> list[Column]:
+    """The cell keys ``__source, __lang, __topic`` of a document; a null value is a category of its own."""
     topic = default_topic(F.col("text").cast("string")) if topic is None else topic
-    return docs.select("*", *(F.coalesce(F.col(d).cast("string"), F.lit("")).alias(f"__{d}") for d in DIMS[:2]), F.coalesce(topic, F.lit("")).alias("__topic"))
+    return [*(F.coalesce(F.col(d).cast("string"), F.lit("")).alias(f"__{d}") for d in DIMS[:2]), F.coalesce(topic, F.lit("")).alias("__topic")]
+
+
+def n_tokens() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens")
 
 
 def draw(seed: str = SEED) -> Column:
@@ -74,10 +78,6 @@ def _cells(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*(f"__{d}" for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"))
 
 
-def _counted(docs: DataFrame, topic: Column | None) -> DataFrame:
-    return keyed(docs, topic).withColumn("n_tokens", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
-
-
 def _joined(rows: DataFrame, cells: DataFrame) -> DataFrame:
     on = [f"__{d}" for d in DIMS]
     return join_small(rows, cells.select(*on, F.col("weight").alias("__weight"), F.col("p").alias("__p")), on, "left")
@@ -91,15 +91,16 @@ def mix_sources(docs: DataFrame, topic: Column | None = None, **how) -> DataFram
     language or topic: shown as an empty string and raked as a category. Repeated ids are drawn alike; other
     columns are ignored; an empty table gives an empty result.
     """
-    rows = written(_counted(docs.select("doc_id", "text", "source", "lang", *([topic.alias("__given")] if topic is not None else [])), None if topic is None else F.col("__given")).select("doc_id", *(f"__{d}" for d in DIMS), "n_tokens"))
+    rows = written(docs.select("doc_id", *keys(topic), n_tokens()))
     p = F.coalesce("__p", F.lit(0.0))
     return _joined(rows, calibrated(_cells(rows), **how)).select("doc_id", *(F.col(f"__{d}").alias(d) for d in DIMS), "n_tokens", F.coalesce("__weight", F.lit(0.0)).alias("cell_weight"), p.alias("p"), (draw() < p).alias("sampled"))
 
 
 def sample(docs: DataFrame, topic: Column | None = None, **how) -> DataFrame:
-    """The rows that ``mix_sources`` samples, with their columns as they are; texts are not shuffled."""
-    p = calibrated(_cells(_counted(docs, topic).select(*(f"__{d}" for d in DIMS), "n_tokens")), **how)
-    return _joined(keyed(docs, topic), p).where(draw() < F.coalesce("__p", F.lit(0.0))).select(*[F.col(c) for c in docs.columns])
+    """The rows that ``mix_sources`` samples, with their columns (of any name) as they are; texts are not shuffled."""
+    p = calibrated(_cells(docs.select(*keys(topic), n_tokens())), **how)
+    rows = held(docs, *keys(topic), draw().alias("__draw"))
+    return let_go(_joined(rows, p).where(F.col("__draw") < F.coalesce("__p", F.lit(0.0))))
 
 
 def _sql() -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernel as K
-from .store import join_small, written
+from .store import held, join_small, let_go, written
 
 U64 = np.uint64
 SYMBOL = np.zeros(256, bool)
@@ -89,6 +89,7 @@ def add_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             got = text_counts(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[:, i]) for i in range(5))], names=[*batch.schema.names, *names])
+        K.release()
 
     schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in names)])
     return docs.mapInArrow(run, schema)
@@ -114,7 +115,7 @@ def host_verdicts(failures: DataFrame, limit: float = 0.6) -> DataFrame:
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).select("m", F.when(F.col("v") > 1e-9, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0))).otherwise(1e9).alias("k"))
     shrunk = (F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))
-    return hosts.join(F.broadcast(prior)).withColumn("shrunk", shrunk).withColumn("host_rejected", shrunk > limit).drop("m", "k")  # prior: one row
+    return hosts.crossJoin(F.broadcast(prior)).withColumn("shrunk", shrunk).withColumn("host_rejected", shrunk > limit).drop("m", "k")  # prior: one row
 
 
 def quality_rules(docs: DataFrame, host: Column | None = None, limit: float = 0.6) -> DataFrame:
@@ -131,10 +132,22 @@ def quality_rules(docs: DataFrame, host: Column | None = None, limit: float = 0.
     return out.select("doc_id", *COUNTS, "base_failed", F.round("shrunk", 9).alias("host_rate"), (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
 
 
+def _verdict(col: pa.Array) -> pa.Array:
+    """2 for a text that fails the base rules, 1 for one that fails another rule that hosts are judged by, else 0."""
+    n_words, chars, symbols, _, repeat = text_counts(col).T
+    base = (n_words < 10) | (100 * repeat > 20 * n_words)
+    K.release()
+    return pa.array(np.where(base, 2, ((symbols > 0.5 * n_words) | (chars > 20 * n_words)).astype(int)), pa.int32())
+
+
 def keep_good(docs: DataFrame, limit: float = 0.6) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with their columns as they are. Texts are not shuffled:
-    the counts are made again beside the verdicts of the hosts."""
-    rows = add_counts(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host")))
-    bad = host_verdicts(rows.select("host", any_failed().alias("failed")), limit).where("host_rejected").select(F.col("host").alias("__host"))
-    good = add_counts(docs).where(~base_failed()).withColumn("__host", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    return join_small(good, bad, "__host", "left_anti").select(*docs.columns)
+    """The documents that ``quality_rules`` keeps, with their columns as they are.
+
+    Only the text goes to Python, and one number comes back; texts are not shuffled: the rules are tried again
+    beside the verdicts of the hosts. Nulls, repeated rows and empty tables as in ``quality_rules``; columns of any name
+    stay as they are, as they are held in one struct meanwhile.
+    """
+    verdict = F.arrow_udf(_verdict, "int")(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    bad = host_verdicts(docs.select(host.alias("host"), (verdict > 0).alias("failed")), limit).where("host_rejected").select("host")
+    return let_go(join_small(held(docs, verdict.alias("verdict"), host.alias("host")).where("verdict < 2"), bad, "host", "left_anti"))

@@ -52,13 +52,15 @@ def place(docs: DataFrame, shards: list[str] | None = None, slots: int = SLOTS,
     """All columns of ``docs`` and ``slot`` (long), ``shard_id`` (long), ``shard`` (name).
 
     The key is ``doc_id`` unless given; equal keys go to one shard, a null key goes to the slot of the empty
-    key; columns of these names that ``docs`` has already are replaced; an empty table stays empty. Rows are
-    not shuffled: the table (``slots`` rows) is broadcast.
+    key; columns of these names (in any case) that ``docs`` has already are replaced; texts of any length and
+    repeated rows are placed by their key alone; an empty table stays empty. Rows are not shuffled: the table
+    (``slots`` rows) is broadcast.
     """
     shards = [f"shard-{i:03d}" for i in range(SHARDS)] if shards is None else shards
     table = docs.sparkSession.createDataFrame([(s, i, shards[i]) for s, i in enumerate(lookup_table(shards, slots))], "slot long, shard_id long, shard string")
     key = F.col("doc_id") if key is None else key
-    return docs.withColumn("slot", slot_of(key, slots)).drop("shard_id", "shard").join(F.broadcast(table), "slot").select(*[c for c in docs.columns if c not in ("slot", "shard_id", "shard")], "slot", "shard_id", "shard")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in table.columns]
+    return docs.select(*own, slot_of(key, slots).alias("slot")).join(F.broadcast(table), "slot").select(*own, "slot", "shard_id", "shard")
 
 
 #: The same table and placement in SQL: one claim or one step along a permutation per recursion.

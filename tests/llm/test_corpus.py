@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from common import awkward, words
+from common import awkward, without_ids, words
 from loomspark.llm import mixing, sharding
 from loomspark.llm.decontaminate import drop_leaks, lcs, leaks
 from loomspark.llm.queries import ORACLE, QUERIES
@@ -130,6 +130,43 @@ def test_leaks_of_awkward_rows(spark):
     assert drop_leaks(df, bench).columns == df.columns
 
 
+def test_stages_stand_null_and_repeated_ids(spark, tmp_path):
+    """All columns, of any name and case, come back as they were; a row is judged by what it holds."""
+    df = without_ids(spark)
+    bench = spark.createDataFrame([(4, " ".join(f"word{i}" for i in range(20, 50)))], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda rows: sorted(map(repr, rows))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for rows in (df, df.limit(0)):
+            path = str(tmp_path / f"{name}{rows is df}")
+            stage(spark, rows, str(tmp_path)).write.parquet(path)
+            out = spark.read.parquet(path)
+            if name != "sharding":
+                assert out.columns == df.columns
+                assert not set(key(out.collect())) - set(key(rows.collect()))
+            else:
+                assert out.count() == rows.count() and {"slot", "shard_id", "shard"} <= set(out.columns)
+    base = " ".join(f"word{i}" for i in range(60))
+    kept = spark.read.parquet(str(tmp_path / "decontaminateTrue")).collect()
+    assert key(kept) == key(r for r in df.collect() if not (r.text or "").startswith(base))
+    assert {r.item_id for r in leaks(df, bench).collect()} == {4} and leaks(df, bench).where("doc_id IS NULL").count() == 2
+
+
+def test_terms_are_exact(monkeypatch):
+    import numpy as np
+
+    from loomspark.llm import decontaminate as D
+
+    rng = np.random.default_rng(3)
+    for bits in (4, 20):
+        monkeypatch.setattr(D, "SLOT_BITS", bits)
+        monkeypatch.setattr(D, "SHIFT", np.uint64(64 - bits))
+        h = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+        terms = D.Terms([h[:700], h[500:1000]])
+        names = {int(w): i for i, w in enumerate(terms.word)}
+        assert terms.size == len(set(h[:1000].tolist())) and terms.of(h).tolist() == [names.get(int(x), -1) for x in h]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(5, 60), rng.choice(["en", "de"]), "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
