@@ -9,33 +9,50 @@ Nothing is looked up row by row. Every text's pairs go to the part of the table
 very frequent words are spread by the whole pair). There the pair counts and word counts meet all uses of
 them, and the score splits into sums per text: log counts, how many pairs have each discounted count, log
 p(w) of unseen pairs. Only contexts travel once more, to form the backoff weights.
+
+Frequent keys are known before anything is dealt out. Words and pairs that make up a HEAVYth part of all tokens
+are at most HEAVY each: such a pair is scored where the text is read, and the weight of such a context is summed
+apart and sent to all, so that its unseen pairs may lie anywhere. The number of buckets follows the bytes of text.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import buckets, written
+from .store import written
 
 U64 = np.uint64
 END, START = U64(0x13198A2E03707344), U64(0x243F6A8885A308D3)
+ALL = U64(0xA4093822299F31D0)  # where the counts of counts stand among the sums of contexts
 KMAX = 5
 KEEP = 1e-4
-HEAVY = 2000  # words with at least 1/HEAVY of all training tokens, so at most HEAVY of them, are spread
-FLUSH = 800_000  # tokens a task holds before it packs them
-SUB = 6  # a bucket is worked through in so many parts, which bounds the memory of its task
+HEAVY = 1000
+FLUSH, FLUSH_WORDS = 800_000, 2_000_000  # tokens a task holds before it packs their pairs, or counts them
+BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 72  # of text, about, whose pairs meet in one bucket; so many of these at least
+SUB = 12  # a bucket is worked through in so many parts, which bounds the memory of its task
+PAIRS, TEXTS, CONTEXTS, UNSEEN, WEIGHED, SUMS, ROWS = range(7)  # kinds of packed rows
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with a small header, compressed."""
-    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    """Arrays with a small header, compressed; rising whole numbers as their steps."""
+    head, body = [], []
+    for a in arrays:
+        first = ""
+        if a.dtype == np.int64 and len(a) and int(a[-1]) - int(a[0]) < 1 << 63 and (a[1:] >= a[:-1]).all():
+            first, a = str(a[0]), small(np.diff(a))
+        head.append(f"{a.dtype.str},{len(a)},{first}")
+        body.append(np.ascontiguousarray(a).tobytes())
+    said = ";".join(head).encode()
+    return zstandard.ZstdCompressor(level=1).compress(len(said).to_bytes(4, "little") + said + b"".join(body))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -43,9 +60,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     n = int.from_bytes(raw[:4], "little")
     at, out = 4 + n, []
     for part in raw[4 : 4 + n].decode().split(";"):
-        kind, size = part.split(",")
-        out.append(np.frombuffer(raw, np.dtype(kind), int(size), at))
-        at += out[-1].nbytes
+        kind, size, first = part.split(",")
+        a = np.frombuffer(raw, np.dtype(kind), int(size), at)
+        at += a.nbytes
+        out.append(np.cumsum(np.append(np.int64(first), a.astype(np.int64))) if first else a)
     return out
 
 
@@ -66,58 +84,109 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _batch(kinds, parts, blobs):
+def found(x: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of x is among the sorted names, and its place there."""
+    at = np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))
+    return (names[at] == x if len(names) else np.zeros(len(x), bool)), at
+
+
+def pair_key(w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return K.mix(w ^ K.mix(h))
+
+
+def _batch(rows):
+    """Packed rows (kind, bucket, blob) as a record batch."""
+    kinds, parts, blobs = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
 
 
 PACKED = "kind int, bucket int, blob binary"
 
 
+def by_bucket(df: DataFrame, run, schema: str) -> DataFrame:
+    """``run(bucket, kinds, blobs)`` for the packed rows of each bucket; it gives record batches. Rows come in short batches
+    and go in short batches, so that only the task that works on a bucket holds it whole, and holds it once."""
+
+    def go(batches):
+        now, kinds, blobs = None, [], []
+        for batch in batches:
+            for kind, bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
+                    if blobs:
+                        yield from run(now, kinds, blobs)
+                    now, kinds, blobs = bucket, [], []
+                    K.release()
+                kinds.append(kind)
+                blobs.append(blob)
+        if blobs:
+            yield from run(now, kinds, blobs)
+        K.release()
+
+    return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(go, schema)
+
+
+def _of(kind: int, kinds: list[int], blobs: list[bytes]) -> list[list[np.ndarray]]:
+    return [unpack(b) for k, b in zip(kinds, blobs) if k == kind]
+
+
+def _spread(parts: int, kind: int, key: np.ndarray, *columns):
+    """Columns packed by the bucket of their key."""
+    b = (K.mix(key) % U64(parts)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    at = np.searchsorted(b[order], np.arange(parts + 1))
+    for p in np.flatnonzero(at[1:] > at[:-1]):
+        x = order[at[p] : at[p + 1]]
+        yield kind, int(p), pack(*(c[x] for c in columns))
+
+
 def _words(parts: int):
-    """Training words, counted per task and packed by bucket."""
+    """Words of all texts, and of the training texts among them, counted per task and packed by bucket."""
 
     def run(batches):
-        held, n, ends = [], 0, 0
+        held, flags, n, ends = [], [], 0, [0, 0]
 
         def flush():
-            w, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, int))
-            if ends:
-                w, c = np.append(w, END), np.append(c, ends)
-            b = (K.mix(w) % U64(parts)).astype(np.int64)
-            order = np.lexsort((w, b))
-            w, c, b = w[order], c[order], b[order]
-            at = np.searchsorted(b, np.arange(parts + 1))
-            own = [p for p in range(parts) if at[p + 1] > at[p]]
-            return _batch([0] * len(own), own, [pack(w[at[p] : at[p + 1]], small(c[at[p] : at[p + 1]])) for p in own])
+            w = np.concatenate([*held, np.full(sum(ends), END)])
+            t = np.concatenate([*flags, np.arange(sum(ends)) < ends[1]])
+            names, inv = np.unique(w, return_inverse=True)
+            every, train = np.bincount(inv, minlength=len(names)), np.bincount(inv[t], minlength=len(names))
+            return _batch(list(_spread(parts, 0, names, names, small(train), small(every))))
 
         for batch in batches:
-            for _, rows, h, _ in K.words(batch.column(0)):
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, rows, h, row in K.words(batch.column(0)):
+                mine = train[first : first + rows]
                 held.append(h)
-                n, ends = n + len(h), ends + rows
-                if n > FLUSH:
-                    yield flush()
-                    held, n, ends = [], 0, 0
-        if held:
-            yield flush()
+                flags.append(mine[row])
+                n, ends = n + len(h), [ends[0] + int((~mine).sum()), ends[1] + int(mine.sum())]
+                if n > FLUSH_WORDS:
+                    yield from K.sliced(flush())
+                    held, flags, n, ends = [], [], 0, [0, 0]
+                    K.release()
+        if sum(ends):
+            yield from K.sliced(flush())
+        K.release()
 
     return run
 
 
-STATS = "n long, v long, r array<long>, word long, c long"
+STATS = "n long, total long, v long, r array<long>, word long, c long, c_all long"
 
 
 def _word_stats(frame: pd.DataFrame) -> pd.DataFrame:
     """One row of sums of a bucket, and a row for each of its frequent words."""
-    got = [unpack(b) for b in frame["blob"]]
-    w = np.concatenate([x[0] for x in got])
-    c = np.concatenate([x[1].astype(np.int64) for x in got])
+    w, c, every = (np.concatenate(x) for x in zip(*map(unpack, frame["blob"])))
     order = np.argsort(w, kind="stable")
-    w, c = w[order], c[order]
+    w, c, every = w[order], c[order].astype(np.int64), every[order].astype(np.int64)
     at = runs(w)
-    c, w = np.add.reduceat(c, at), w[at]
-    big = np.flatnonzero(c * HEAVY >= c.sum())
+    c, every, w = np.add.reduceat(c, at), np.add.reduceat(every, at), w[at]
+    big = np.flatnonzero(every * HEAVY >= every.sum())
     r = np.bincount(np.minimum(c, KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]
-    return pd.DataFrame({"n": [int(c.sum())] + [0] * len(big), "v": [len(w)] + [0] * len(big), "r": [r.tolist()] + [[0] * (KMAX + 1)] * len(big), "word": [0, *w[big].view(np.int64).tolist()], "c": [0, *c[big].tolist()]})
+    none = [0] * len(big)
+    return pd.DataFrame({
+        "n": [int(c.sum()), *none], "total": [int(every.sum()), *none], "v": [int((c > 0).sum()), *none], "r": [r.tolist()] + [[0] * (KMAX + 1)] * len(big),
+        "word": [0, *w[big].view(np.int64).tolist()], "c": [0, *c[big].tolist()], "c_all": [0, *every[big].tolist()],
+    })
 
 
 def discounts(r: list[int]) -> np.ndarray:
@@ -132,210 +201,295 @@ def discounts(r: list[int]) -> np.ndarray:
     return d
 
 
-def _pairs(parts: int, heavy: np.ndarray):
-    """Pairs of every text, packed by the bucket that owns their word."""
+def neighbours(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, the token before it, and row: the words of each row and one end."""
+    size = np.bincount(row, minlength=rows)
+    last = np.cumsum(size)
+    token = np.insert(h, last, END)  # the end of each text follows its last word
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[np.concatenate(([0], (last + np.arange(1, rows + 1))[:-1]))] = START
+    return token, before, np.insert(row, last, np.arange(rows))
+
+
+def _frequent_pairs(shared):
+    """Pairs of frequent words, counted per task: at most HEAVY * (HEAVY + 1) of them."""
+
+    def run(batches):
+        words = shared.value
+        n = len(words)
+        keys, count = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        for batch in batches:
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, rows, h, row in K.words(batch.column(0)):
+                w, b, own = neighbours(h, row, rows)
+                ok, at = found(w, words)
+                ok_b, at_b = found(b, words)
+                start = b == START
+                ok &= ok_b | start
+                key = at[ok] * (n + 1) + np.where(start[ok], n, at_b[ok])
+                got, inv = np.unique(np.concatenate((keys, key)), return_inverse=True)
+                t = train[first : first + rows][own[ok]]
+                new = np.stack((np.bincount(inv[len(keys) :][t], minlength=len(got)), np.bincount(inv[len(keys) :], minlength=len(got))), 1)
+                new[inv[: len(keys)]] += count
+                keys, count = got, new
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count[:, 0]), pa.array(count[:, 1])], names=["pair", "c", "c_all"])
+        K.release()
+
+    return run
+
 
-    def flush(docs, train, w, h, d):
+class Hot(NamedTuple):
+    """Frequent words (sorted), and the frequent pairs: key (sorted), what a use adds to the base and the score, how
+    often it was seen in training (at most KMAX + 1), whether its word is known, its context."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    base: np.ndarray
+    score: np.ndarray
+    level: np.ndarray
+    known: np.ndarray
+    context: np.ndarray
+
+
+def _unseen(parts: int, heavy: np.ndarray, h: np.ndarray, who: np.ndarray, c: np.ndarray):
+    """Uses of unseen pairs, packed by context; those of a frequent context by text as well."""
+    key = np.where(found(h, heavy)[0] | (h == START), pair_key(h, who.view(U64)), h)
+    return _spread(parts, UNSEEN, key, h, who, small(c))
+
+
+def _sums(d: np.ndarray, k: int, base, score, times, known, level):
+    """What TEXTS holds of each text: base, score, known tokens, and pairs by how often they were seen."""
+    out = [np.bincount(d, weights=x * times, minlength=k).astype(float) for x in (base, score)]
+    for x in (known * times, *(times * (level == r) for r in range(1, KMAX + 2))):
+        out.append(small(np.bincount(d, weights=x, minlength=k).astype(np.int64)))
+    return out
+
+
+def _pairs(parts: int, shared):
+    """Pairs of every text, packed by the bucket that owns their word; frequent pairs are scored at once.
+
+    A row is named by its partition and its number there; names, ids and sizes of the rows are packed too (ROWS).
+    """
+
+    def flush(base, ids, train, w, h, d):
+        hot: Hot = shared.value
         w, h, d = (np.concatenate(x) for x in (w, h, d))
-        b = K.mix(w) % U64(parts * SUB)
-        spread = np.isin(w, heavy)
-        b[spread] = K.mix(w[spread] ^ K.mix(h[spread])) % U64(parts * SUB)
-        b = b.astype(np.int64)
-        order = np.lexsort((d, h, w, b))
-        w, h, d, b = w[order], h[order], d[order], b[order]
-        at = runs(b, w, h, d)
-        count = np.diff(np.append(at, len(w)))
-        w, h, d, b = w[at], h[at], d[at], b[at]
-        cut = np.searchsorted(b, np.arange(parts * SUB + 1))
-        own, blobs = [], []
-        docs, train = np.array(docs, np.int64), np.array(train, bool)
-        for p in range(parts):
-            at = cut[p * SUB : (p + 1) * SUB + 1]
-            x = slice(at[0], at[-1])
-            if at[-1] == at[0]:
-                continue
-            ws = runs(b[x], w[x])
-            ctx, hi = np.unique(h[x], return_inverse=True)
-            who, di = np.unique(d[x], return_inverse=True)
-            own.append(p)
-            blobs.append(pack(at - at[0], w[x][ws], small(np.diff(np.append(ws, at[-1] - at[0]))), ctx, small(hi), docs[who], train[who], small(di), small(count[x])))
-        return _batch([0] * len(own), own, blobs)
+        names = base + np.arange(len(ids))
+        null = np.array([x is None for x in ids], bool)
+        train = np.array(train, bool)
+        yield from _spread(parts, ROWS, names.view(U64), names, np.array([x or 0 for x in ids], np.int64), null, train, small(np.bincount(d, minlength=len(ids))))
+        ok, at = found(pair_key(w, h), hot.pairs)
+        if ok.any():
+            at, who = at[ok], d[ok]
+            texts, inv = np.unique(who, return_inverse=True)
+            own = names[texts]
+            yield from _spread(parts, TEXTS, own.view(U64), own, *_sums(inv, len(texts), hot.base[at], hot.score[at], np.ones(len(at)), hot.known[at], hot.level[at]))
+            never = hot.level[at] == 0
+            if never.any():
+                yield from _unseen(parts, hot.words, hot.context[at[never]], names[who[never]], np.ones(int(never.sum()), np.int64))
+            w, h, d = w[~ok], h[~ok], d[~ok]
+        del ok, at
+        b = (K.mix(w) % U64(parts * SUB)).astype(np.int32)
+        spread = found(w, hot.words)[0]
+        b[spread] = pair_key(w[spread], h[spread]) % U64(parts * SUB)
+        order = np.argsort(b, kind="stable").astype(np.int32)
+        cut = np.searchsorted(b[order], np.arange(0, (parts + 1) * SUB, SUB))
+        for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            x = order[cut[p] : cut[p + 1]]
+            x = x[np.lexsort((d[x], h[x], w[x], b[x]))]
+            ws, hs, ds, bs = w[x], h[x], d[x], b[x]
+            at = runs(bs, ws, hs, ds)
+            count = np.diff(np.append(at, len(ws)))
+            ws, hs, ds, bs = ws[at], hs[at], ds[at], bs[at]
+            word = runs(bs, ws)
+            ctx, hi = np.unique(hs, return_inverse=True)
+            who, di = np.unique(ds, return_inverse=True)
+            sub = np.searchsorted(bs, np.arange(p * SUB, (p + 1) * SUB + 1))
+            yield PAIRS, p, pack(sub, ws[word], np.append(word, len(ws)), ctx, small(hi), np.array([base]), small(who), train[who], small(di), small(count))
 
     def run(batches):
-        docs, train, w, h, d, n = [], [], [], [], [], 0
+        base = TaskContext.get().partitionId() << 33
+        ids, train, w, h, d, n = [], [], [], [], [], 0
         for batch in batches:
-            ids, flag = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            own, flag = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, rows, word, row in K.words(batch.column(0)):
-                size = np.bincount(row, minlength=rows)
-                last = np.cumsum(size)
-                nxt = np.insert(word, last, END)  # the end of each text follows its last word
-                own = np.insert(row, last, np.arange(rows))
-                prev = np.empty_like(nxt)
-                prev[1:] = nxt[:-1]
-                prev[np.concatenate(([0], (last + np.arange(1, rows + 1))[:-1]))] = START
-                w.append(nxt)
-                h.append(prev)
-                d.append(own + len(docs))
-                docs += ids[first : first + rows]
+                token, before, at = neighbours(word, row, rows)
+                w.append(token)
+                h.append(before)
+                d.append((at + len(ids)).astype(np.int32))
+                ids += own[first : first + rows]
                 train += flag[first : first + rows]
-                n += len(nxt)
+                n += len(token)
                 if n > FLUSH:
-                    yield flush(docs, train, w, h, d)
-                    docs, train, w, h, d, n = [], [], [], [], [], 0
+                    yield from K.sliced(_batch(list(flush(base, ids, train, w, h, d))))
+                    base += len(ids)
+                    ids, train, w, h, d, n = [], [], [], [], [], 0
+                    K.release()
         if n:
-            yield flush(docs, train, w, h, d)
+            yield from K.sliced(_batch(list(flush(base, ids, train, w, h, d))))
+        K.release()
 
     return run
 
 
-def _table(parts: int, n: int, v: int, unigram: np.ndarray, left: float, heavy: dict[int, int]):
-    """One bucket of the pair table: counts, then what each text, context and unseen pair takes from it.
+def _context_sums(key, p1, count):
+    """By context: probability of the words seen after it, pairs seen 1 to KMAX times, uses of those seen more often."""
+    ctx, inv = np.unique(key, return_inverse=True)
+    k = len(ctx)
+    cols = [np.bincount(inv[count == r], minlength=k) for r in range(1, KMAX + 1)]
+    return ctx, [np.bincount(inv, weights=p1, minlength=k).astype(float), *cols, np.bincount(inv, weights=np.where(count > KMAX, count, 0), minlength=k).astype(np.int64)]
 
-    kind 1: sums of texts, by text; 2: sums of contexts, by context; 3: unseen pairs, by context; 4: counts of counts.
-    """
 
-    def spread(kind, key, *columns):
-        b = (K.mix(key) % U64(parts)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        at = np.searchsorted(b[order], np.arange(parts + 1))
-        for p in range(parts):
-            if at[p + 1] > at[p]:
-                x = order[at[p] : at[p + 1]]
-                yield kind, p, pack(*(c[x] for c in columns))
+def _table(parts: int, n: int, v: int, unigram: np.ndarray, left: float, heavy: np.ndarray, heavy_count: np.ndarray):
+    """One bucket of the pair table: counts, then what each text, context and unseen pair takes from it. Rows of other
+    kinds than PAIRS pass through."""
 
-    def part(blobs, sub):
+    def part(opened, sub):
         """Sums by text, sums by context, unseen pairs and counts of counts of one part of the bucket."""
-        w, h, d, c, ids, train, base = [], [], [], [], [], [], 0
-        for blob in blobs:
-            cut, word, size, ctx, hi, who, flag, di, count = unpack(blob)
-            x = slice(cut[sub], cut[sub + 1])
-            w.append(np.repeat(word, size)[x].copy())
-            h.append(ctx[hi[x]])
-            d.append(di[x].astype(np.int32) + np.int32(base))
-            c.append(count[x].astype(np.int32))
-            ids.append(who)
-            train.append(flag)
-            base += len(who)
-        ids, train = np.concatenate(ids), np.concatenate(train)
-        w, h, d, c = (np.concatenate(x) for x in (w, h, d, c))
-        if not len(w):
+        w, h, d, c, names, train, base = [], [], [], [], [], [], 0
+        for cut, word, begin, ctx, hi, first, who, flag, di, count in opened:
+            if cut[sub + 1] > cut[sub]:
+                x = slice(cut[sub], cut[sub + 1])
+                have, mine = np.unique(di[x], return_inverse=True)
+                a, b = np.searchsorted(begin, cut[sub : sub + 2])  # no word lies in two parts
+                w.append(np.repeat(word[a:b], np.diff(begin[a : b + 1])))
+                h.append(ctx[hi[x]])
+                d.append((mine + base).astype(np.int32))
+                c.append(count[x].astype(np.int32))
+                names.append(first[0] + who[have].astype(np.int64))
+                train.append(flag[have])
+                base += len(have)
+        if not w:
             return None
+        names, train = np.concatenate(names), np.concatenate(train)
+        w, h, d, c = (np.concatenate(x) for x in (w, h, d, c))
         order = np.lexsort((h, w))
         w, h, d, c = w[order], h[order], d[order], c[order]
         learn = np.where(train[d], c, 0)
-        texts, d = np.unique(ids[d], return_inverse=True)
-        d = d.astype(np.int32)
+        texts, inv = np.unique(names, return_inverse=True)
+        d = inv[d].astype(np.int32)
         pair = runs(w, h)
         each = np.diff(np.append(pair, len(w)))
-        seen = np.add.reduceat(learn, pair)  # c(h, w)
+        seen = np.add.reduceat(learn, pair).astype(np.int64)  # c(h, w)
         word = runs(w[pair])
-        total = np.add.reduceat(seen, word).astype(np.int64)  # c(w)
-        names = w[pair][word]
-        for i in np.flatnonzero(np.isin(names, np.array([*heavy], U64))):
-            total[i] = heavy[int(names[i])]
+        total = np.add.reduceat(seen, word)  # c(w)
+        ok, at = found(w[pair][word], heavy)
+        total[ok] = heavy_count[at[ok]]
         p1 = np.where(total > 0, unigram[np.minimum(total, KMAX + 1)] * total / max(n, 1), left)
         owner = np.repeat(np.arange(len(word)), np.diff(np.append(word, len(pair))))
-        k = len(texts)
-
-        def by_text(weight):
-            """Sums of a weight of each pair times its uses, by text."""
-            return np.bincount(d, weights=np.repeat(weight, each) * c, minlength=k)
-
-        known, end = total[owner] > 0, names[owner] == END
+        known, end = total[owner] > 0, w[pair] == END
         context = np.where(known & ~end, -np.log10(np.maximum(total[owner], 1)), 0.0)  # of the token that follows
-        score = by_text(np.where(seen > 0, np.log10(np.maximum(seen, 1)), np.log10(p1[owner])) + context)
-        level = np.repeat(np.minimum(seen, KMAX + 1), each)
-        sums = [by_text(np.log10((total[owner] + 1) / (n + v + 1))), score, np.bincount(d, weights=c, minlength=k), by_text(known.astype(float)), *(np.bincount(d[level == r], weights=c[level == r], minlength=k) for r in range(1, KMAX + 2))]
-        new = np.flatnonzero(level == 0)
-        unseen = (h[new], texts[d[new]], c[new])
+        score = np.where(seen > 0, np.log10(np.maximum(seen, 1)), np.log10(p1[owner])) + context
+        level = np.minimum(seen, KMAX + 1)
+        use = np.repeat(np.arange(len(pair)), each)
+        sums = _sums(d, len(texts), np.log10((total[owner] + 1) / (n + v + 1))[use], score[use], c, known[use], level[use])
+        new = np.flatnonzero(level[use] == 0)
         kept = np.flatnonzero(seen > 0)
-        ctx, inv = np.unique(h[pair[kept]], return_inverse=True)
-        got = seen[kept]
-        big = np.where(got > KMAX, got, 0)
-        of = [np.bincount(inv, weights=p1[owner[kept]], minlength=len(ctx)), *(np.bincount(inv[got == r], minlength=len(ctx)) for r in range(1, KMAX + 1)), np.bincount(inv, weights=big, minlength=len(ctx))]
-        return texts, sums[:2] + [small(x.astype(np.int64)) for x in sums[2:]], ctx, of[:1] + [small(x.astype(np.int64)) for x in of[1:]], unseen, np.bincount(np.minimum(got, KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]
+        of = _context_sums(h[pair[kept]], p1[owner[kept]], seen[kept])
+        return (texts, sums), of, (h[new], texts[d[new]], c[new]), np.bincount(np.minimum(seen[kept], KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]
 
-    def joined(keys, columns):
+    def joined(got):
         """Sums of the parts by key."""
-        key, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        key, inv = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
         out = []
-        for c in zip(*columns):
-            x = np.bincount(inv, weights=np.concatenate(c), minlength=len(key))
-            out.append(x if c[0].dtype.kind == "f" else small(x.astype(np.int64)))
+        for c in zip(*(c for _, c in got)):
+            c = np.concatenate(c)
+            x = np.bincount(inv, weights=c, minlength=len(key))
+            out.append(x if c.dtype.kind == "f" else small(x.astype(np.int64)))
         return key, out
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        got = [x for x in (part(frame["blob"], s) for s in range(SUB)) if x]
-        texts, sums = joined([x[0] for x in got], [x[1] for x in got])
-        out = list(spread(1, texts.view(U64), texts, *sums))
-        ctx, of = joined([x[2] for x in got], [x[3] for x in got])
-        out += spread(2, ctx, ctx, *of)
-        h, d, c = (np.concatenate([x[4][i] for x in got]) for i in range(3))
-        if len(h):
-            order = np.lexsort((d, h))
-            h, d, c = h[order], d[order], c[order]
-            at = runs(h, d)
-            out += spread(3, h[at], h[at], d[at], small(np.add.reduceat(c, at)))
-        out.append((4, 0, pack(sum(x[5] for x in got))))
-        return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
+    def run(bucket, kinds, blobs):
+        out = [(k, bucket, b) for k, b in zip(kinds, blobs) if k != PAIRS]
+        opened = _of(PAIRS, kinds, blobs)
+        blobs.clear()
+        got = [x for x in (part(opened, s) for s in range(SUB)) if x]
+        del opened
+        if got:
+            texts, sums = joined([x[0] for x in got])
+            out += _spread(parts, TEXTS, texts.view(U64), texts, *sums)
+            ctx, of = joined([x[1] for x in got])
+            often = found(ctx, heavy)[0] | (ctx == START)
+            out += _spread(parts, CONTEXTS, ctx[~often], ctx[~often], *(x[~often] for x in of))
+            r = sum(x[3] for x in got)
+            out.append((SUMS, 0, pack(np.append(ctx[often], ALL), np.append(of[0][often], 0.0), *(np.append(x[often].astype(np.int64), y) for x, y in zip(of[1:], r)))))
+            h, who, c = (np.concatenate([x[2][i] for x in got]) for i in range(3))
+            if len(h):
+                order = np.lexsort((who, h))
+                h, who, c = h[order], who[order], c[order]
+                at = runs(h, who)
+                out += _unseen(parts, heavy, h[at], who[at], np.add.reduceat(c, at))
+        return K.sliced(_batch(out))
 
     return run
 
 
-def _backoff(parts: int, d: np.ndarray):
-    """Backoff weights of the contexts of one bucket, and what unseen pairs take from them, by text."""
+def _open_sums(frames):
+    for f in frames:
+        for blob in f["blob"]:
+            ctx, *cols = unpack(blob)
+            yield pd.DataFrame({"ctx": ctx.view(np.int64), **{f"s{i}": c for i, c in enumerate(cols)}})
+
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ask = [unpack(b) for b in frame.loc[frame["kind"] == 3, "blob"]]
+def weights(d: np.ndarray, mass: np.ndarray, by: list[np.ndarray]) -> np.ndarray:
+    """log10 of a(h) c(h); 0 for a context that was not seen."""
+    held = sum(by[r - 1].astype(float) * r for r in range(1, KMAX + 1)) + by[KMAX]
+    keep = sum(by[r - 1].astype(float) * r * d[r] for r in range(1, KMAX + 1)) + by[KMAX] * d[KMAX + 1]
+    out = np.zeros(len(mass))
+    ok = held > 0
+    out[ok] = np.log10((held - keep)[ok] / np.maximum(1 - mass[ok], 1e-300))
+    return out
+
+
+def _backoff(parts: int, d: np.ndarray, heavy: dict[int, float]):
+    """What unseen pairs take from the weights of the contexts of one bucket, by text."""
+
+    def run(_, kinds, blobs):
+        ask = _of(UNSEEN, kinds, blobs)
         if not ask:
-            return pd.DataFrame({"kind": [], "bucket": [], "blob": []})
+            return
         h, who, c = (np.concatenate([x[i] for x in ask]) for i in range(3))
         wanted = np.unique(h)
-        mass, held, left_sum = np.zeros(len(wanted)), np.zeros(len(wanted)), np.zeros(len(wanted))
-        for b in frame.loc[frame["kind"] == 2, "blob"]:
-            ctx, m, *by = unpack(b)
-            at = np.minimum(np.searchsorted(wanted, ctx), len(wanted) - 1)
-            ok = wanted[at] == ctx
-            at = at[ok]
-            sums = sum(by[r - 1][ok].astype(float) * r for r in range(1, KMAX + 1)) + by[KMAX][ok]
-            keep = sum(by[r - 1][ok].astype(float) * r * d[r] for r in range(1, KMAX + 1)) + by[KMAX][ok] * d[KMAX + 1]
-            np.add.at(mass, at, m[ok])
-            np.add.at(held, at, sums)
-            np.add.at(left_sum, at, sums - keep)
-        known = held > 0
-        weight = np.zeros(len(wanted))  # log10 a(h) + log10 c(h): the context's count was taken already
-        weight[known] = np.log10(left_sum[known] / np.maximum(1 - mass[known], 1e-300))
-        i = np.searchsorted(wanted, h)
+        mass, by = np.zeros(len(wanted)), [np.zeros(len(wanted)) for _ in range(KMAX + 1)]
+        for kind, b in zip(kinds, blobs):
+            if kind != CONTEXTS:
+                continue
+            ctx, m, *cols = unpack(b)
+            ok, at = found(ctx, wanted)
+            np.add.at(mass, at[ok], m[ok])
+            for x, y in zip(by, cols):
+                np.add.at(x, at[ok], y[ok])
+        weight = weights(d, mass, by)
+        for i in np.flatnonzero(np.isin(wanted, np.array([*heavy], U64))):
+            weight[i] = heavy[int(wanted[i])]
         texts, inv = np.unique(who, return_inverse=True)
-        score = np.bincount(inv, weights=c * weight[i])
-        b = (K.mix(texts.view(U64)) % U64(parts)).astype(np.int64)
-        out = [(5, p, pack(texts[b == p], score[b == p])) for p in np.unique(b)]
-        return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
+        score = np.bincount(inv, weights=c * weight[np.searchsorted(wanted, h)])
+        yield from K.sliced(_batch(list(_spread(parts, WEIGHED, texts.view(U64), texts, score))))
 
     return run
 
 
-SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _scores(d: np.ndarray, start: float):
     """Sums of the texts of one bucket."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        one = [unpack(b) for b in frame.loc[frame["kind"] == 1, "blob"]]
-        if not one:
-            return pd.DataFrame({"doc_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        ids = np.concatenate([x[0] for x in one])
-        texts, inv = np.unique(ids, return_inverse=True)
-        k = len(texts)
-        base, score, tokens, known = (np.bincount(inv, weights=np.concatenate([x[i] for x in one]), minlength=k) for i in range(1, 5))
-        for r in range(1, KMAX + 2):
-            score += np.log10(d[r]) * np.bincount(inv, weights=np.concatenate([x[4 + r] for x in one]), minlength=k)
-        score += start
-        for b in frame.loc[frame["kind"] == 5, "blob"]:
-            who, s = unpack(b)
-            np.add.at(score, np.searchsorted(texts, who), s)
-        return pd.DataFrame({"doc_id": texts, "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score})
+    def run(_, kinds, blobs):
+        name, ids, null, train, tokens = (np.concatenate(x) for x in zip(*_of(ROWS, kinds, blobs)))
+        order = np.argsort(name)
+        name, ids, null, train, tokens = (x[order] for x in (name, ids, null, train, tokens))
+        sums = np.zeros((3 + KMAX + 1, len(name)))
+        for key, *cols in _of(TEXTS, kinds, blobs):
+            at = np.searchsorted(name, key)
+            for x, y in zip(sums, cols):
+                np.add.at(x, at, y)
+        for key, more in _of(WEIGHED, kinds, blobs):
+            np.add.at(sums[1], np.searchsorted(name, key), more)
+        score = sums[1] + np.log10(d[1 : KMAX + 2]) @ sums[3:] + start
+        columns = {"doc_id": pa.array(ids, mask=null), "held_out": pa.array(~train), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[0]), "score": pa.array(score)}
+        yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -343,27 +497,53 @@ def _scores(d: np.ndarray, start: float):
 def katz_scores(docs: DataFrame, held_out) -> DataFrame:
     """Scores every text of ``docs(doc_id, text, ...)``; learns from rows where the Column ``held_out`` is false.
 
-    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per doc_id; tokens
-    are lower-cased (A-Z) words and one end for each text. A null text counts as empty: one token, its end.
-    Ids are distinct and not null, as scores are summed by them; other columns are ignored. Without a training
-    row every token is unknown and has probability 1. An empty table gives an empty result.
+    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per row; tokens
+    are lower-cased (A-Z) words and one end for each text. A null text counts as empty: one token, its end. Null
+    ids and repeated ids keep a row each; a null ``held_out`` counts as true. Other columns are ignored. Without a
+    training row every token is unknown and has probability 1. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), (~held_out).alias("train"))
-    parts = max(1, -(-2 * buckets(spark) // 3))
-    counted = written(docs.where("train").select("text").mapInArrow(_words(parts), PACKED).groupBy("bucket").applyInPandas(_word_stats, STATS))
-    total = counted.agg(F.sum("n"), F.sum("v"), *[F.sum(F.col("r")[i]) for i in range(KMAX + 1)]).first()
-    n, v, r = total[0] or 0, total[1] or 0, [x or 0 for x in total[2:]]
-    heavy = {row[0] % (1 << 64): row[1] for row in counted.where(F.col("c") * HEAVY >= max(n, 1)).select("word", "c").collect()}  # at most HEAVY rows
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), (~F.coalesce(held_out, F.lit(True))).alias("train"))
+    texts = docs.select("text", "train")
+    size, starts = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    parts = max(LEAST_BUCKETS, -(-(size or 0) // BUCKET_BYTES))
+    counted = written(texts.mapInArrow(_words(parts), PACKED).groupBy("bucket").applyInPandas(_word_stats, STATS))
+    n, every, v, *r = (x or 0 for x in counted.agg(F.sum("n"), F.sum("total"), F.sum("v"), *[F.sum(F.col("r")[i]) for i in range(KMAX + 1)]).first())
+    rows = counted.where(F.col("c_all") * HEAVY >= max(every, 1)).select("word", "c").collect()  # at most HEAVY rows
+    heavy = np.array([x[0] for x in rows], np.int64).view(U64)
+    heavy_count = np.array([x[1] for x in rows], np.int64)[np.argsort(heavy)]
+    heavy = np.sort(heavy)
     d1 = discounts(r)
-    left = 1 - sum(r[k - 1] * k * d1[k] for k in range(1, KMAX + 1)) / n - (n - sum(r[k - 1] * k for k in range(1, KMAX + 1))) * d1[KMAX + 1] / n if n else 1.0
-    names = np.array([*heavy], U64)
-    found = written(docs.mapInArrow(_pairs(parts, names), PACKED).groupBy("bucket").applyInPandas(_table(parts, n, v, d1, left, heavy), PACKED))
-    r2 = np.zeros(KMAX + 1, np.int64)
-    for row in found.where("kind = 4").select("blob").collect():  # one short row a bucket
-        r2 += unpack(row[0])[0]
-    d2 = discounts(r2.tolist())
-    starts = docs.where("train").count()
-    more = found.where("kind in (2, 3)").groupBy("bucket").applyInPandas(_backoff(parts, d2), PACKED)
-    scores = found.where("kind = 1").union(more).groupBy("bucket").applyInPandas(_scores(d2, -float(np.log10(starts)) if starts else 0.0), SCORES)
-    return scores.join(docs.select("doc_id", "train"), "doc_id").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    low = sum(r[k - 1] * k for k in range(1, KMAX + 1))
+    left = 1 - (sum(r[k - 1] * k * d1[k] for k in range(1, KMAX + 1)) + (n - low) * d1[KMAX + 1]) / n if n else 1.0
+
+    shared = spark.sparkContext.broadcast(heavy)  # at most HEAVY words
+    often = texts.mapInArrow(_frequent_pairs(shared), "pair long, c long, c_all long").groupBy("pair").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
+    got = np.array(often.where(F.col("c_all") * HEAVY >= max(every, 1)).select("pair", "c").collect(), np.int64).reshape(-1, 2)  # at most HEAVY rows
+    word, seen = got[:, 0] // (len(heavy) + 1), got[:, 1]
+    h = np.append(heavy, START)[got[:, 0] % (len(heavy) + 1)]
+    c, w = (heavy_count[word], heavy[word]) if len(heavy) else (seen, h)
+    p1 = np.where(c > 0, d1[np.minimum(c, KMAX + 1)] * c / max(n, 1), left)
+    score = np.where(seen > 0, np.log10(np.maximum(seen, 1)), np.log10(p1)) + np.where((c > 0) & (w != END), -np.log10(np.maximum(c, 1)), 0.0)
+    keys = pair_key(w, h)
+    columns = keys, np.log10((c + 1) / (n + v + 1)), score, np.minimum(seen, KMAX + 1), c > 0, h
+    hot = spark.sparkContext.broadcast(Hot(heavy, *(x[np.argsort(keys)] for x in columns)))  # at most HEAVY words and pairs
+
+    table = written(by_bucket(docs.mapInArrow(_pairs(parts, hot), PACKED), _table(parts, n, v, d1, left, heavy, heavy_count), PACKED))
+    names = ["m", *(f"s{i}" for i in range(KMAX + 1))]
+    opened = table.where(F.col("kind") == SUMS).mapInPandas(_open_sums, "ctx long, s0 double, " + ", ".join(f"s{i} long" for i in range(1, KMAX + 2))).toDF("ctx", *names)
+    sums = opened.groupBy("ctx").agg(*[F.sum(x).alias(x) for x in names]).collect()  # at most HEAVY + 2 rows
+    ctx = np.array([x[0] for x in sums], np.int64).view(U64)
+    sums = np.array([list(x)[1:] for x in sums], float).reshape(-1, len(names))
+    own, of = _context_sums(h[seen > 0], p1[seen > 0], seen[seen > 0])
+    ctx, inv = np.unique(np.concatenate((ctx, own, [ALL])), return_inverse=True)
+    both = np.zeros((len(ctx), len(names)))
+    np.add.at(both, inv[: len(sums)], sums)
+    np.add.at(both, inv[len(sums) : -1], np.stack(of, 1))
+    at = int(np.searchsorted(ctx, ALL))
+    d2 = discounts((both[at, 1:] + np.bincount(np.minimum(seen[seen > 0], KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]).tolist())
+    weight = dict(zip(ctx.tolist(), weights(d2, both[:, 0], list(both[:, 1:].T)).tolist()))
+
+    more = by_bucket(table.where(F.col("kind").isin(CONTEXTS, UNSEEN)), _backoff(parts, d2, weight), PACKED)
+    scores = by_bucket(table.where(F.col("kind").isin(TEXTS, ROWS)).union(more), _scores(d2, -float(np.log10(starts)) if starts else 0.0), SCORES)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

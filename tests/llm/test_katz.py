@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from common import awkward, rest, words
@@ -37,14 +38,18 @@ def model(texts):
 
 
 def check(spark, df):
+    """Rows in order of id, tokens and score, so that null and repeated ids are held to their own rows."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    got = {r.doc_id: r for r in katz.katz_scores(df, held).collect()}
+    out = lambda i: i is None or rest(i, 7) == 2
     rows = [(r.doc_id, words(r.text)) for r in df.collect()]
-    uni, n, p, _ = model([w for i, w in rows if rest(i, 7) != 2])
-    assert got.keys() == {i for i, _ in rows}
-    for i, w in rows:
-        s, g = ["<s>", *w, "</s>"], got[i]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (rest(i, 7) == 2, len(s) - 1, sum(x in uni for x in s[1:]), n)
+    uni, n, p, _ = model([w for i, w in rows if not out(i)])
+    score = lambda w: sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w], [*w, "</s>"]))
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), score(x[1])))
+    got = sorted(katz.katz_scores(df, held).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.score))
+    assert [g.doc_id for g in got] == [i for i, _ in rows]
+    for (i, w), g in zip(rows, got):
+        s = ["<s>", *w, "</s>"]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (out(i), len(s) - 1, sum(x in uni for x in s[1:]), n)
         assert math.isclose(g.base_score, sum(math.log10((uni[x] + 1) / (n + len(uni) + 1)) for x in s[1:]), rel_tol=1e-9)
         assert math.isclose(g.score, sum(math.log10(p(h, x)) for h, x in zip(s, s[1:])), rel_tol=1e-7)
     return uni, p
@@ -58,6 +63,23 @@ def test_equals_definition(spark):
         assert abs(seen + p(h, "unknown word") - 1) < 1e-9
 
 
+def test_null_and_repeated_ids(spark):
+    texts = ["a b c", "a b c", "a b a b", None, "", "c c c a", "a b", "b a c d", "only here", "a b c"]
+    ids = [None, 1, 1, 1, 2, 2, None, None, 3, 4]
+    check(spark, spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3))
+
+
+@pytest.mark.parametrize("heavy", [3, 20, 10**9])
+def test_any_number_of_frequent_words(spark, monkeypatch, heavy):
+    """Which pairs are scored where they are read, and which contexts are sent to all, changes no score."""
+    monkeypatch.setattr(katz, "HEAVY", heavy)
+    monkeypatch.setattr(katz, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(katz, "LEAST_BUCKETS", 1)
+    monkeypatch.setattr(katz, "FLUSH", 300)
+    texts = [" ".join(["the"] * (i % 3) + [f"w{(i * j) % 11}" for j in range(1, 9 + i % 7)] + [f"rare{i}"] * (i % 2) + ["the", "end"]) for i in range(60)]
+    check(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+
+
 def test_awkward_rows(spark):
     check(spark, awkward(spark))
     empty = awkward(spark).limit(0)
