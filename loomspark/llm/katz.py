@@ -43,14 +43,15 @@ PAIRS, TEXTS, CONTEXTS, UNSEEN, WEIGHED, SUMS, ROWS = range(7)  # kinds of packe
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with a small header, compressed; rising whole numbers as their steps."""
+    """Arrays with a small header, compressed; rising whole numbers as their steps, wide items with their first bytes
+    together, then their second, and so on: hashes in order and sums of like size share their high bytes."""
     head, body = [], []
     for a in arrays:
         first = ""
         if a.dtype == np.int64 and len(a) and int(a[-1]) - int(a[0]) < 1 << 63 and (a[1:] >= a[:-1]).all():
             first, a = str(a[0]), small(np.diff(a))
         head.append(f"{a.dtype.str},{len(a)},{first}")
-        body.append(np.ascontiguousarray(a).tobytes())
+        body.append((a if a.itemsize < 8 else np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T).tobytes())
     said = ";".join(head).encode()
     return zstandard.ZstdCompressor(level=1).compress(len(said).to_bytes(4, "little") + said + b"".join(body))
 
@@ -61,7 +62,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     at, out = 4 + n, []
     for part in raw[4 : 4 + n].decode().split(";"):
         kind, size, first = part.split(",")
-        a = np.frombuffer(raw, np.dtype(kind), int(size), at)
+        kind, size = np.dtype(kind), int(size)
+        if kind.itemsize < 8:
+            a = np.frombuffer(raw, kind, size, at)
+        else:
+            a = np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T.copy().reshape(-1).view(kind)
         at += a.nbytes
         out.append(np.cumsum(np.append(np.int64(first), a.astype(np.int64))) if first else a)
     return out
