@@ -36,9 +36,10 @@ ALL = U64(0xA4093822299F31D0)  # where the counts of counts stand among the sums
 KMAX = 5
 KEEP = 1e-4
 HEAVY = 1000
-FLUSH, FLUSH_WORDS = 800_000, 2_000_000  # tokens a task holds before it packs their pairs, or counts them
+FLUSH, FLUSH_WORDS = 640_000, 1_500_000  # tokens a task holds before it packs their pairs, or counts them
 BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 72  # of text, about, whose pairs meet in one bucket; so many of these at least
 SUB = 12  # a bucket is worked through in so many parts, which bounds the memory of its task
+JOIN = 3  # the sums of so many parts are kept before they become one
 PAIRS, TEXTS, CONTEXTS, UNSEEN, WEIGHED, SUMS, ROWS = range(7)  # kinds of packed rows
 
 
@@ -108,9 +109,10 @@ def _batch(rows):
 PACKED = "kind int, bucket int, blob binary"
 
 
-def by_bucket(df: DataFrame, run, schema: str) -> DataFrame:
+def by_bucket(df: DataFrame, parts: int, run, schema: str) -> DataFrame:
     """``run(bucket, kinds, blobs)`` for the packed rows of each bucket; it gives record batches. Rows come in short batches
-    and go in short batches, so that only the task that works on a bucket holds it whole, and holds it once."""
+    and go in short batches, so that only the task that works on a bucket holds it whole, and holds it once. There
+    are as many tasks as buckets: small ones are not put together, as each task sorts and fetches all that it has."""
 
     def go(batches):
         now, kinds, blobs = None, [], []
@@ -127,7 +129,7 @@ def by_bucket(df: DataFrame, run, schema: str) -> DataFrame:
             yield from run(now, kinds, blobs)
         K.release()
 
-    return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(go, schema)
+    return df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(go, schema)
 
 
 def _of(kind: int, kinds: list[int], blobs: list[bytes]) -> list[list[np.ndarray]]:
@@ -343,8 +345,8 @@ def _context_sums(key, p1, count):
     """By context: probability of the words seen after it, pairs seen 1 to KMAX times, uses of those seen more often."""
     ctx, inv = np.unique(key, return_inverse=True)
     k = len(ctx)
-    cols = [np.bincount(inv[count == r], minlength=k) for r in range(1, KMAX + 1)]
-    return ctx, [np.bincount(inv, weights=p1, minlength=k).astype(float), *cols, np.bincount(inv, weights=np.where(count > KMAX, count, 0), minlength=k).astype(np.int64)]
+    cols = [small(np.bincount(inv[count == r], minlength=k)) for r in range(1, KMAX + 1)]
+    return ctx, [np.bincount(inv, weights=p1, minlength=k).astype(float), *cols, small(np.bincount(inv, weights=np.where(count > KMAX, count, 0), minlength=k).astype(np.int64))]
 
 
 def _table(parts: int, n: int, v: int, unigram: np.ndarray, left: float, heavy: np.ndarray, heavy_count: np.ndarray):
@@ -409,17 +411,25 @@ def _table(parts: int, n: int, v: int, unigram: np.ndarray, left: float, heavy:
         out = [(k, bucket, b) for k, b in zip(kinds, blobs) if k != PAIRS]
         opened = _of(PAIRS, kinds, blobs)
         blobs.clear()
-        got = [x for x in (part(opened, s) for s in range(SUB)) if x]
+        by_text, by_context, new, levels = [], [], [], 0
+        for x in filter(None, (part(opened, s) for s in range(SUB))):
+            by_text.append(x[0])
+            by_context.append(x[1])
+            new.append(x[2])
+            levels = levels + x[3]
+            if len(by_text) > JOIN:
+                by_text, by_context = [joined(by_text)], [joined(by_context)]
         del opened
-        if got:
-            texts, sums = joined([x[0] for x in got])
+        if by_text:
+            texts, sums = joined(by_text)
+            del by_text
             out += _spread(parts, TEXTS, texts.view(U64), texts, *sums)
-            ctx, of = joined([x[1] for x in got])
+            ctx, of = joined(by_context)
+            del by_context, sums
             often = found(ctx, heavy)[0] | (ctx == START)
             out += _spread(parts, CONTEXTS, ctx[~often], ctx[~often], *(x[~often] for x in of))
-            r = sum(x[3] for x in got)
-            out.append((SUMS, 0, pack(np.append(ctx[often], ALL), np.append(of[0][often], 0.0), *(np.append(x[often].astype(np.int64), y) for x, y in zip(of[1:], r)))))
-            h, who, c = (np.concatenate([x[2][i] for x in got]) for i in range(3))
+            out.append((SUMS, 0, pack(np.append(ctx[often], ALL), np.append(of[0][often], 0.0), *(np.append(x[often].astype(np.int64), y) for x, y in zip(of[1:], levels)))))
+            h, who, c = (np.concatenate(x) for x in zip(*new))
             if len(h):
                 order = np.lexsort((who, h))
                 h, who, c = h[order], who[order], c[order]
@@ -534,7 +544,7 @@ def katz_scores(docs: DataFrame, held_out) -> DataFrame:
     columns = keys, np.log10((c + 1) / (n + v + 1)), score, np.minimum(seen, KMAX + 1), c > 0, h
     hot = spark.sparkContext.broadcast(Hot(heavy, *(x[np.argsort(keys)] for x in columns)))  # at most HEAVY words and pairs
 
-    table = written(by_bucket(docs.mapInArrow(_pairs(parts, hot), PACKED), _table(parts, n, v, d1, left, heavy, heavy_count), PACKED))
+    table = written(by_bucket(docs.mapInArrow(_pairs(parts, hot), PACKED), parts, _table(parts, n, v, d1, left, heavy, heavy_count), PACKED))
     names = ["m", *(f"s{i}" for i in range(KMAX + 1))]
     opened = table.where(F.col("kind") == SUMS).mapInPandas(_open_sums, "ctx long, s0 double, " + ", ".join(f"s{i} long" for i in range(1, KMAX + 2))).toDF("ctx", *names)
     sums = opened.groupBy("ctx").agg(*[F.sum(x).alias(x) for x in names]).collect()  # at most HEAVY + 2 rows
@@ -549,6 +559,6 @@ def katz_scores(docs: DataFrame, held_out) -> DataFrame:
     d2 = discounts((both[at, 1:] + np.bincount(np.minimum(seen[seen > 0], KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]).tolist())
     weight = dict(zip(ctx.tolist(), weights(d2, both[:, 0], list(both[:, 1:].T)).tolist()))
 
-    more = by_bucket(table.where(F.col("kind").isin(CONTEXTS, UNSEEN)), _backoff(parts, d2, weight), PACKED)
-    scores = by_bucket(table.where(F.col("kind").isin(TEXTS, ROWS)).union(more), _scores(d2, -float(np.log10(starts)) if starts else 0.0), SCORES)
+    more = by_bucket(table.where(F.col("kind").isin(CONTEXTS, UNSEEN)), parts, _backoff(parts, d2, weight), PACKED)
+    scores = by_bucket(table.where(F.col("kind").isin(TEXTS, ROWS)).union(more), parts, _scores(d2, -float(np.log10(starts)) if starts else 0.0), SCORES)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
