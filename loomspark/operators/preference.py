@@ -39,18 +39,30 @@ def as_orpo(pairs: DataFrame) -> DataFrame:
     return pairs.where("valid").select("prompt", F.col("chosen.content").alias("chosen"), F.col("rejected.content").alias("rejected"), F.col("chosen.score").alias("chosen_score"), F.col("rejected.score").alias("rejected_score"))
 
 
+def _prefix(pairs: DataFrame):
+    """The turns before the prompt: ``shared_prefix array<struct<role, content>>`` if there is such a column."""
+    kind = "array<struct<role:string,content:string>>"
+    return F.coalesce(F.col("shared_prefix").cast(kind), F.array().cast(kind)) if "shared_prefix" in pairs.columns else F.array().cast(kind)
+
+
 def as_chat(pairs: DataFrame, system: str | None = None) -> DataFrame:
-    """Messages before the answer, and both answers as messages."""
+    """Messages before the answer (system, shared turns, prompt), and both answers as messages."""
     say = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    before = [say("system", F.lit(system))] if system else []
-    return pairs.where("valid").select(F.array(*before, say("user", F.col("prompt"))).alias("prompt"), F.array(say("assistant", F.col("chosen.content"))).alias("chosen"), F.array(say("assistant", F.col("rejected.content"))).alias("rejected"))
+    before = F.concat(F.array(say("system", F.lit(system))), _prefix(pairs)) if system else _prefix(pairs)
+    return pairs.where("valid").select(F.concat(before, F.array(say("user", F.col("prompt")))).alias("prompt"), F.array(say("assistant", F.col("chosen.content"))).alias("chosen"), F.array(say("assistant", F.col("rejected.content"))).alias("rejected"))
 
 
 def as_ultrafeedback(pairs: DataFrame) -> DataFrame:
+    """All scored answers where ``all_scores array<struct<response, overall_score, model>>`` holds any, else the two."""
     one = lambda c: F.struct(F.col(f"{c}.content").alias("response"), F.col(f"{c}.score").alias("overall_score"), F.col(f"{c}.variation_label").alias("model"))
-    return pairs.where("valid").select(F.col("prompt").alias("instruction"), F.array(one("chosen"), one("rejected")).alias("completions"))
+    both = F.array(one("chosen"), one("rejected"))
+    scored = F.when(F.size("all_scores") > 0, F.col("all_scores")).otherwise(both) if "all_scores" in pairs.columns else both
+    return pairs.where("valid").select(F.col("prompt").alias("instruction"), scored.alias("completions"))
 
 
 def as_anthropic_hh(pairs: DataFrame) -> DataFrame:
-    text = lambda c: F.concat(F.lit("Human: "), F.col("prompt"), F.lit("\n\nAssistant: "), F.col(f"{c}.content"))
+    """Shared turns, prompt and answer as one text; turns of other roles than user and assistant are left out."""
+    turn = lambda x: F.concat(F.when(x["role"] == "user", "Human: ").otherwise("Assistant: "), F.coalesce(x["content"], F.lit("")))
+    before = F.transform(F.filter(_prefix(pairs), lambda x: x["role"].isin("user", "assistant")), turn)
+    text = lambda c: F.array_join(F.concat(before, F.array(F.concat(F.lit("Human: "), F.col("prompt")), F.concat(F.lit("Assistant: "), F.col(f"{c}.content")))), "\n\n")
     return pairs.where("valid").select(text("chosen").alias("chosen"), text("rejected").alias("rejected"))

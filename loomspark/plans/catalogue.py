@@ -298,4 +298,4 @@ def _stream(t: Tables) -> DataFrame:
     return streaming.run_once(streaming.windowed(e.select(F.col("event_type").alias("metric"), "ts", "value"), 60), f"w{uuid.uuid4().hex}", "complete")
 
 
-from . import related  # noqa: E402, F401  (adds its queries)
+from . import prompted, related  # noqa: E402, F401  (add their queries)
