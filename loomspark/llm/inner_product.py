@@ -100,7 +100,7 @@ class _Best:
 
     def add(self, query: np.ndarray, item: np.ndarray, score: np.ndarray) -> None:
         query, item, score = (np.concatenate(p) for p in ((self.query, query), (self.item, item), (self.score, score)))
-        order = np.lexsort((item, -score.astype(np.float64) if score.dtype == object else -score, query))
+        order = np.lexsort((item, ~score, query))
         query, item, score = query[order], item[order], score[order]
         start = np.searchsorted(query, np.arange(len(self.ids)))
         keep = np.arange(len(query)) - start[query] < self.k

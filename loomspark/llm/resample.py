@@ -29,7 +29,8 @@ def n_grams(found: Column, most: int) -> Column:
     """All runs of 1 to ``most`` consecutive words, joined by one space."""
     out = found
     for n in range(2, most + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(found) - n + 1), lambda i, n=n: F.array_join(F.slice(found, i, F.lit(n)), " "))
+        size = F.lit(n)
+        runs = F.transform(F.sequence(F.lit(1), F.size(found) - n + 1), lambda i: F.array_join(F.slice(found, i, size), " "))  # noqa: B023
         out = F.concat(out, F.when(F.size(found) >= n, runs).otherwise(F.array().cast("array<string>")))
     return out
 
