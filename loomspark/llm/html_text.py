@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ NAME = re.compile(r"<(/?)([A-Za-z][\w:-]*)")
 ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul video audio input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROP = frozenset("nav footer aside menu dialog button head fieldset label datalist audio video map".split())
+DROP = frozenset("nav footer aside menu dialog button head datalist".split())
+HOLDS = frozenset("form fieldset label audio video map".split())  # hold what surrounds an article, or all of it
 IMPLIED = frozenset("p li dd dt tr td th option".split())
 HOLDERS = frozenset("ul ol dl table tbody section select".split())
 MAIN = frozenset("article main".split())
@@ -39,6 +40,8 @@ AROUND = re.compile(
 )
 
 
+#: names that only look like one of these
+OWN = re.compile(r"side-by-side|related[_-]works?", re.I)
 NO, SURE, UNLESS = range(3)  # a region stays, goes, or goes unless it turns out to hold the article
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion)(?=$|[\s_-])", re.I)
 
@@ -47,7 +50,7 @@ def _around(name: str, attrs: str, inside: bool) -> int:
     """Whether an element holds what surrounds an article."""
     if name in DROP or (name == "header" and not inside):
         return SURE
-    if name == "form":
+    if name in HOLDS:
         return UNLESS
     if not attrs.strip() or name in ("html", "body", "article", "main", "h1"):
         return NO
@@ -56,6 +59,10 @@ def _around(name: str, attrs: str, inside: bool) -> int:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value.lower() == "true":
             return SURE
+        if key in ("class", "id"):
+            value = OWN.sub(" ", value)
+            if inside and name == "section" and value.strip().lower() == "discussion":  # a part of a paper
+                continue
         if key == "role" and value.lower() in ROLE or key in ("class", "id") and AROUND.search(value):
             out = max(out, SURE if READERS.search(value) else UNLESS, key=lambda x: (x == SURE, x))
     if out == NO and re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)):
@@ -114,7 +121,8 @@ def _next(page: str, at: int) -> int:
 
 
 class Line(NamedTuple):
-    """A block: its text, characters outside links (of an h1 all), in a named article, h1, the region right around it."""
+    """A block: its text, characters outside links (all those of an h1, and of a paragraph of a named article), in a
+    named article, h1, the region right around it."""
 
     text: str
     size: int
@@ -195,14 +203,14 @@ def lines(page: str) -> list[Line]:
     """The blocks of the page, without those in regions that hold what surrounds an article."""
     out: list[Line] = []
     text: list[str] = []
-    plain, link, main, title = 0, False, 0, False
+    plain, link, main, title, block = 0, False, 0, False, ""
     regions = Regions()
 
     def close():
         nonlocal plain
         said = " ".join(_html.unescape("".join(text)).split())
         if said:
-            out.append(Line(said, len(said) if title else min(plain, len(said)), main > 0, title, regions.top()))
+            out.append(Line(said, len(said) if title or main and block == "p" else min(plain, len(said)), main > 0, title, regions.top()))
         text.clear()
         plain = 0
 
@@ -221,6 +229,7 @@ def lines(page: str) -> list[Line]:
             continue
         if name in BLOCK or regions.named[name]:
             close()
+            block = "" if shut else name
         if shut:
             if name in BLOCK:
                 link = False  # a link that was not closed ends with its block
@@ -288,9 +297,10 @@ def extract(pages: DataFrame) -> DataFrame:
     length, however broken its markup is.
     """
 
-    def run(frames):
-        for f in frames:
-            text = [main_text(h) for h in f["html"]]
-            yield pd.DataFrame({"page_id": f["page_id"].astype("Int64"), "url": f["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def run(batches):
+        for b in batches:
+            text = [main_text(h) for h in b.column("html").to_pylist()]
+            size = pa.array([len(t) for t in text], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), size], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

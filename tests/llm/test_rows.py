@@ -1,8 +1,10 @@
 """Operators that work a row at a time, against plain forms."""
 
+import base64
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -269,3 +271,57 @@ def test_language_of_awkward_rows(spark):
             assert got[r.doc_id].lang_pred == "en"
     assert identify(df.limit(0), F.lit(False)).count() == 0
     assert {r.lang_pred for r in identify(df, F.lit(True)).collect()} == {"und"}
+
+
+# ---- what a review found
+
+
+def test_large_ids_beside_nulls(spark):
+    ids = [2**60 + 1, None, 2**53 + 1, -5]
+    pages = spark.createDataFrame([(i, None, "<p>x</p>") for i in ids], "page_id long, url string, html string").coalesce(1)
+    assert [r.page_id for r in extract(pages).collect()] == ids
+    docs = spark.createDataFrame([(i, "password=abcdefgh1") for i in ids], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in secret_spans(docs).collect()] == ids
+
+
+def test_hostile_tokens(spark):
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 50_000).decode().rstrip("=")
+    good = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    token = f"{deep}.{good}.{'s' * 20}"
+    assert token.startswith("eyJ") and [k for _, _, k in scan(token)] == []
+    docs = spark.createDataFrame([(1, token), (2, f"{good}.{good}.{'s' * 20}")], "doc_id long, text string")
+    assert {r.doc_id: [x.kind for x in r.spans] for r in secret_spans(docs).collect()} == {1: [], 2: ["jwt"]}
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJaaaaaaaaaa.", "eyJ.", "token ", "token=", "AKIA", "xoxb-1", "-----BEGIN A ", "sk_live_", "ghp_", "AIza", "github_pat_", "npm_a"])
+def test_scan_is_linear(piece):
+    def took(n):
+        t = time.process_time()
+        scan(piece * n)
+        return time.process_time() - t
+
+    n = 400_000 // len(piece)
+    took(1000)
+    assert took(n) < 6 * max(took(n // 4), 0.05)
+
+
+def test_base_spans_within_runs_of_tokens():
+    good = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    jwt = f"{good}.{good}.{'s' * 20}"
+    for before in ("eyJ", "eyJeyJ.", "eyJaaaaaaaaa.", "x eyJ-"):
+        assert [(s, k) for s, _, k in scan(f"{before} {jwt}") if k == "jwt"] == [(len(before) + 1, "jwt")]
+    assert [s for s, _, k in scan(f"{good}.{jwt}") if k == "jwt"] == [0]
+
+
+def test_parts_of_an_article_stay():
+    a, b, c = (f"{w} " * 30 for w in ("first", "second", "third"))
+    want = " ".join((a + b + c).split())
+    plain = f"<p>{a}</p><p>{b}</p><p>{c}</p>"
+    assert main_text(f"<article><p>{a}</p><section class=discussion><p>{b}</p><p>{c}</p></section></article>") == want
+    assert main_text(f"<body><fieldset>{plain}</fieldset></body>") == want
+    assert main_text(f"<body><label>{plain}</label></body>") == want
+    assert main_text(f"<article><p>{a}</p><div class='side-by-side'><p>{b}</p></div><section id=related-work><p>{c}</p></section></article>") == want
+    linked = "".join(f"<p><a href=#>{x}</a></p>" for x in ("One.", "Two.", "Three."))
+    assert main_text(f"<article><p>{a}</p>{linked}<p>{b}</p></article>") == " ".join((a + "One. Two. Three. " + b).split())
+    assert main_text(f"<article><p>{a}</p><div class='discussion'><p>{b}</p></div><div class='related-posts'><p>{c}</p></div></article>") == " ".join(a.split())
+    assert main_text(f"<article>{plain}<fieldset><label>mail</label></fieldset></article>") == want
