@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 C = "conversations"
 SHAREGPT = {"user": "human", "assistant": "gpt"}
+CONTEXT = "instruction_context"
 MESSAGE = "array<struct<role:string,content:string>>"
 
 
@@ -24,6 +25,12 @@ def _empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def _if(condition: Column, row: Column) -> Column:
+    """One output row, or none."""
+    one = F.array(row)
+    return F.when(condition, one).otherwise(F.slice(one, 1, 0))
+
+
 def _system(text: str | None, role: str, content: str) -> Column:
     kind = f"array<struct<{role}:string,{content}:string>>"
     return F.array(F.struct(F.lit("system").alias(role), F.lit(text).alias(content))).cast(kind) if text else _empty(kind)
@@ -46,8 +53,7 @@ def pairs() -> Column:
     return F.transform(hit, lambda i: F.struct(i.alias("at"), F.get(C, i)["content"].alias("u"), F.get(C, i + 1)["content"].alias("a")))
 
 
-def sharegpt(rows: DataFrame, system: str | None = None) -> DataFrame:
-    """Neighbouring turns of one role become one, joined by a line end; empty conversations are skipped."""
+def _sharegpt(system: str | None = None) -> Column:
     kind = "array<struct<from:string,value:string>>"
 
     def step(acc, x):
@@ -57,7 +63,12 @@ def sharegpt(rows: DataFrame, system: str | None = None) -> DataFrame:
         return F.when((F.size(acc) > 0) & (last["from"] == role), merged).otherwise(F.concat(acc, F.array(F.struct(role.alias("from"), x["content"].alias("value"))).cast(kind)))
 
     turns = F.aggregate(C, _empty(kind), step)
-    return rows.where(F.size(C) > 0).select("conv_id", F.concat(_system(system, "from", "value"), turns).alias(C))
+    return _if(F.size(C) > 0, F.struct(F.concat(_system(system, "from", "value"), turns).alias(C)))
+
+
+def sharegpt(rows: DataFrame, system: str | None = None) -> DataFrame:
+    """Neighbouring turns of one role become one, joined by a line end; empty conversations are skipped."""
+    return rows.select("conv_id", F.inline(_sharegpt(system)))
 
 
 def sharegpt_plain(rows: DataFrame) -> DataFrame:
@@ -65,11 +76,18 @@ def sharegpt_plain(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.transform(C, lambda x: F.struct(_renamed(x["role"]).alias("from"), x["content"].alias("value"))).alias(C))
 
 
-def alpaca(rows: DataFrame, context: str | None = "response_context") -> DataFrame:
-    """First user and assistant texts; rows without either are skipped."""
-    given = F.coalesce(F.col(context), F.lit("")) if context and context in rows.columns else F.lit("")
-    out = rows.select("conv_id", first_content("user").alias("instruction"), given.alias("input"), first_content("assistant").alias("output"))
-    return out.where("instruction IS NOT NULL AND output IS NOT NULL")
+def _given(rows: DataFrame, context: str | None) -> Column:
+    return F.coalesce(F.col(context), F.lit("")) if context and context in rows.columns else F.lit("")
+
+
+def _alpaca(given: Column) -> Column:
+    asked, said = first_content("user"), first_content("assistant")
+    return _if(asked.isNotNull() & said.isNotNull(), F.struct(asked.alias("instruction"), given.alias("input"), said.alias("output")))
+
+
+def alpaca(rows: DataFrame, context: str | None = CONTEXT) -> DataFrame:
+    """First user and assistant texts and the context of the instruction; rows without either text are skipped."""
+    return rows.select("conv_id", F.inline(_alpaca(_given(rows, context))))
 
 
 def alpaca_all(rows: DataFrame) -> DataFrame:
@@ -77,20 +95,36 @@ def alpaca_all(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.coalesce(first_content("user"), F.lit("")).alias("instruction"), F.lit("").alias("input"), F.coalesce(first_content("assistant"), F.lit("")).alias("output"))
 
 
-def alpaca_split(rows: DataFrame, context: str | None = "response_context") -> DataFrame:
-    """A row for each pair; the pairs before it are its input's history."""
-    p = rows.withColumn("p", pairs())
-    told = F.array_join(F.transform(F.slice("p", 1, F.col("k")), lambda x: F.concat(F.lit("User: "), x["u"], F.lit("\nAssistant: "), x["a"])), "\n")
-    history = F.when(F.col("k") > 0, F.concat(F.lit("Previous conversation:\n"), told)).otherwise("")
-    given = F.coalesce(F.col(context), F.lit("")) if context and context in rows.columns else F.lit("")
-    given = F.when(given != "", F.concat(F.lit("Context: "), given)).otherwise("")
-    both = F.array_join(F.filter(F.array(history, given), lambda x: x != ""), "\n\n")
-    return p.select("*", F.posexplode("p").alias("k", "x")).select("conv_id", F.col("k").cast("long").alias("pair"), F.col("x.u").alias("instruction"), both.alias("input"), F.col("x.a").alias("output"))
+def _alpaca_split(given: Column) -> Column:
+    p = pairs()
+
+    def row(x, k):
+        told = F.array_join(F.transform(F.slice(p, 1, k), lambda y: F.concat(F.lit("User: "), y["u"], F.lit("\nAssistant: "), y["a"])), "\n")
+        history = F.when(k > 0, F.concat(F.lit("Previous conversation:\n"), told)).otherwise("")
+        about = F.when(given != "", F.concat(F.lit("Context: "), given)).otherwise("")
+        both = F.array_join(F.filter(F.array(history, about), lambda t: t != ""), "\n\n")
+        return F.struct(x["u"].alias("instruction"), both.alias("input"), x["a"].alias("output"))
+
+    return F.transform(p, row)
+
+
+def alpaca_split(rows: DataFrame, context: str | None = CONTEXT) -> DataFrame:
+    """A row for each pair; the pairs before it are its input's history, then comes the context."""
+    out = rows.select("conv_id", F.posexplode(_alpaca_split(_given(rows, context))).alias("pair", "x"))
+    return out.select("conv_id", F.col("pair").cast("long").alias("pair"), "x.*")
+
+
+def _plain_messages() -> Column:
+    return F.transform(C, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).cast(MESSAGE)
+
+
+def _messages(system: str | None = None, need_assistant: bool = True) -> Column:
+    wanted = F.exists(C, lambda x: x["role"] == "assistant") if need_assistant else F.lit(True)
+    return _if(wanted, F.struct(F.concat(_system(system, "role", "content"), _plain_messages()).alias("messages")))
 
 
 def messages(rows: DataFrame, system: str | None = None, need_assistant: bool = True) -> DataFrame:
-    out = rows.where(F.exists(C, lambda x: x["role"] == "assistant")) if need_assistant else rows
-    return out.select("conv_id", F.concat(_system(system, "role", "content"), F.transform(C, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).cast(MESSAGE)).alias("messages"))
+    return rows.select("conv_id", F.inline(_messages(system, need_assistant)))
 
 
 def messages_all(rows: DataFrame, system: str | None = None) -> DataFrame:
@@ -98,12 +132,17 @@ def messages_all(rows: DataFrame, system: str | None = None) -> DataFrame:
     return messages(rows, system, need_assistant=False)
 
 
-def llama_factory(rows: DataFrame, system: str | None = None) -> DataFrame:
-    """The last pair asks and answers; the pairs before it are the history."""
-    p = rows.withColumn("p", pairs()).where(F.size("p") > 0)
-    last = F.element_at("p", -1)
-    out = p.select("conv_id", last["u"].alias("instruction"), F.lit("").alias("input"), last["a"].alias("output"), F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.array(x["u"], x["a"])).alias("history"))
-    return out.withColumn("system", F.lit(system)) if system else out
+def _llama_factory(given: Column, system: str | None = None) -> Column:
+    p = pairs()
+    last = F.try_element_at(p, F.lit(-1))
+    history = F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.array(x["u"], x["a"]))
+    fields = [last["u"].alias("instruction"), given.alias("input"), last["a"].alias("output"), history.alias("history")]
+    return _if(F.size(p) > 0, F.struct(*fields, *([F.lit(system).alias("system")] if system else [])))
+
+
+def llama_factory(rows: DataFrame, system: str | None = None, context: str | None = CONTEXT) -> DataFrame:
+    """The last pair asks and answers, with the context as input; the pairs before it are the history."""
+    return rows.select("conv_id", F.inline(_llama_factory(_given(rows, context), system)))
 
 
 def raw(rows: DataFrame) -> DataFrame:
@@ -114,19 +153,29 @@ def _trajectory(rows: DataFrame) -> Column:
     return (F.col("trajectory_id") if "trajectory_id" in rows.columns else F.lit(None)).cast("string").alias("trajectory_id")
 
 
+def _agent_sft(trajectory: Column) -> Column:
+    return F.array(F.struct(_plain_messages().alias("messages"), trajectory))
+
+
 def agent_sft(rows: DataFrame) -> DataFrame:
-    """All messages of a trajectory and its id; empty ones are skipped."""
-    return rows.where(F.size(C) > 0).select("conv_id", F.transform(C, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).cast(MESSAGE).alias("messages"), _trajectory(rows))
+    """All messages of a trajectory and its id; empty ones stay."""
+    return rows.select("conv_id", F.inline(_agent_sft(_trajectory(rows))))
 
 
 #: what stands as the rejected answer where there is nothing to cut: a fixed value of the format
 REFUSAL = "Unable to fulfill request."
 
 
+def _agent_dpo(trajectory: Column, refusal: str = REFUSAL) -> Column:
+    rest = F.transform(F.slice(C, 2, F.greatest(F.size(C) - 1, F.lit(0))), lambda x: x["content"])
+    half = F.array_join(F.slice(rest, 1, F.floor(F.size(rest) / 2).cast("int")), "\n")
+    rejected = F.when(F.size(rest) > 1, half).otherwise(refusal)
+    return _if(F.size(C) > 0, F.struct(F.get(C, F.lit(0))["content"].alias("prompt"), F.array_join(rest, "\n").alias("chosen"), rejected.alias("rejected"), trajectory))
+
+
 def agent_dpo(rows: DataFrame, refusal: str = REFUSAL) -> DataFrame:
     """The rest of a trajectory against its first half, or against a refusal if one message is all there is."""
-    rest = F.transform(F.slice(C, 2, F.greatest(F.size(C) - 1, F.lit(0))), lambda x: x["content"])
-    return rows.where(F.size(C) > 0).select("conv_id", F.get(C, F.lit(0))["content"].alias("prompt"), F.array_join(rest, "\n").alias("chosen"), F.when(F.size(rest) > 1, F.array_join(F.slice(rest, 1, F.floor(F.size(rest) / 2).cast("int")), "\n")).otherwise(refusal).alias("rejected"), _trajectory(rows))
+    return rows.select("conv_id", F.inline(_agent_dpo(_trajectory(rows), refusal)))
 
 
 def dpo(rows: DataFrame, min_gap: float = 0.2, system: str | None = None) -> DataFrame:
@@ -140,6 +189,25 @@ def dpo(rows: DataFrame, min_gap: float = 0.2, system: str | None = None) -> Dat
     return g.select(prompt.alias("prompt"), F.col("best.response").alias("chosen"), F.col("worst.response").alias("rejected"), F.col("best.conv_id").alias("chosen_id"), F.col("worst.conv_id").alias("rejected_id"), gap.alias("gap")).where(F.col("gap") >= min_gap)
 
 
+def output_rows(rows: DataFrame, name: str, system: str | None = None) -> Column:
+    """The output rows of a format that works row by row, as an array; empty where the row is skipped."""
+    given, trajectory = _given(rows, CONTEXT), _trajectory(rows)
+    made = {
+        "alpaca": lambda: _alpaca(given),
+        "alpaca_split": lambda: _alpaca_split(given),
+        "llama_factory": lambda: _llama_factory(given, system),
+        "messages": lambda: _messages(system),
+        "openai": lambda: _messages(system),
+        "oumi": lambda: _messages(system, need_assistant=False),
+        "sharegpt": lambda: _sharegpt(system),
+        "agent_sft": lambda: _agent_sft(trajectory),
+        "agent_dpo": lambda: _agent_dpo(trajectory),
+    }
+    if name not in made:
+        raise ValueError(f"{name!r} is not a format of single rows; there are {', '.join(sorted(made))}")
+    return made[name]()
+
+
 FORMATS: dict[str, Callable[..., DataFrame]] = {
     "alpaca": alpaca, "alpaca_split": alpaca_split, "dpo": dpo, "llama_factory": llama_factory, "messages": messages,
     "openai": messages, "oumi": messages_all, "raw": raw, "sharegpt": sharegpt, "agent_dpo": agent_dpo, "agent_sft": agent_sft,

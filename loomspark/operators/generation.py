@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -27,19 +27,23 @@ def offline() -> Client:
 def generate(df: DataFrame, prompt: str, answer: str = "answer", factory: Callable[[], Client] = offline, batch: int = 64, partitions: int | None = None) -> DataFrame:
     """Adds ``answer``; null prompts get null. ``partitions`` is how many clients work at once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = [x for x in df.schema.fields if x.name != answer]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = factory()
-        for f in frames:
-            out: list[str | None] = [None] * len(f)
-            have = [i for i, p in enumerate(f[prompt]) if isinstance(p, str)]
+        for b in batches:
+            prompts = b.column(prompt).to_pylist()
+            out: list[str | None] = [None] * len(prompts)
+            have = [i for i, p in enumerate(prompts) if p is not None]
             for k in range(0, len(have), batch):
                 part = have[k : k + batch]
-                for i, a in zip(part, client([f[prompt].iloc[i] for i in part]), strict=True):
+                for i, a in zip(part, client([prompts[i] for i in part]), strict=True):
                     out[i] = a
-            yield f.assign(**{answer: out})
+            # the other columns pass as they are: no number is changed beside a null
+            yield pa.RecordBatch.from_arrays([*(b.column(x.name) for x in kept), pa.array(out, pa.string())], [*(x.name for x in kept), answer])
 
     df = df.repartition(partitions) if partitions else df
-    return df.mapInPandas(run, StructType([*[x for x in df.schema.fields if x.name != answer], StructField(answer, StringType())]))
+    return df.mapInArrow(run, StructType([*kept, StructField(answer, StringType())]))
 
 
 def retried(df: DataFrame, prompt: str, accept: Callable[[str], str], attempts: int = 3, **how) -> DataFrame:

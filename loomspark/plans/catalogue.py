@@ -43,7 +43,7 @@ class Tables:
         return enrich.rows(self.spark, self.dir)
 
     def base(self) -> DataFrame:
-        return enrich.conversations(self.conversations)
+        return enrich.with_context(enrich.conversations(self.conversations))
 
     def metrics(self) -> DataFrame:
         e = self.events
@@ -96,12 +96,22 @@ _GPT = "CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role
 query("p1_sharegpt", f"WITH a AS (SELECT *, {_GPT} AS f FROM conversations), b AS (SELECT *, CASE WHEN f = lag(f) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM a), c AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM b), d AS (SELECT conv_id, g, any_value(f) AS f, string_agg(text, chr(10) ORDER BY turn) AS v FROM c GROUP BY 1, 2) SELECT conv_id, string_agg(f || ': ' || v, chr(10) ORDER BY g) AS said, count(*) AS n FROM d GROUP BY 1")(lambda t: export.sharegpt(t.base()).select("conv_id", flat("conversations", "from", "value").alias("said"), F.size("conversations").cast("long").alias("n")))
 query("p11_sharegpt_plain", f"SELECT conv_id, string_agg({_GPT} || ': ' || text, chr(10) ORDER BY turn) AS said FROM conversations GROUP BY 1")(lambda t: export.sharegpt_plain(t.base()).select("conv_id", flat("conversations", "from", "value").alias("said")))
 _FIRST = "arg_min(text, turn) FILTER (WHERE role = '{0}' AND text <> '')"
-query("p2_alpaca", f"WITH f AS (SELECT conv_id, {_FIRST.format('user')} AS instruction, {_FIRST.format('assistant')} AS output FROM conversations GROUP BY 1) SELECT conv_id, instruction, '' AS input, output FROM f WHERE instruction IS NOT NULL AND output IS NOT NULL")(lambda t: export.alpaca(t.base()))
+query("p2_alpaca", f"WITH f AS (SELECT conv_id, {_FIRST.format('user')} AS instruction, {_FIRST.format('assistant')} AS output FROM conversations GROUP BY 1) SELECT conv_id, instruction, coalesce({enrich.CONTEXT_SQL}, '') AS input, output FROM f WHERE instruction IS NOT NULL AND output IS NOT NULL")(lambda t: export.alpaca(t.base()))
 query("p12_alpaca_all", f"SELECT conv_id, coalesce({_FIRST.format('user')}, '') AS instruction, '' AS input, coalesce({_FIRST.format('assistant')}, '') AS output FROM conversations GROUP BY 1")(lambda t: export.alpaca_all(t.base()))
-query("p3_alpaca_split", f"WITH {_PAIR} SELECT q.conv_id, q.k AS pair, q.u AS instruction, coalesce((SELECT 'Previous conversation:' || chr(10) || string_agg('User: ' || x.u || chr(10) || 'Assistant: ' || x.a, chr(10) ORDER BY x.k) FROM q x WHERE x.conv_id = q.conv_id AND x.k < q.k), '') AS input, q.a AS output FROM q")(lambda t: export.alpaca_split(t.base()))
+query(
+    "p3_alpaca_split",
+    f"""
+WITH {_PAIR}, h AS (
+  SELECT q.conv_id, q.k, q.u, q.a, (SELECT string_agg('User: ' || x.u || chr(10) || 'Assistant: ' || x.a, chr(10) ORDER BY x.k) FROM q x WHERE x.conv_id = q.conv_id AND x.k < q.k) AS told FROM q
+)
+SELECT conv_id, k AS pair, u AS instruction, a AS output,
+  concat_ws(chr(10) || chr(10), 'Previous conversation:' || chr(10) || told, 'Context: ' || {enrich.CONTEXT_SQL}) AS input
+FROM h
+""",
+)(lambda t: export.alpaca_split(t.base()))
 query("p4_messages", f"WITH {_BASE} SELECT conv_id, {FLAT.format('c')} AS said FROM r0 WHERE len(list_filter(c, lambda x: x.role = 'assistant')) > 0")(lambda t: export.messages(t.base()).select("conv_id", flat("messages").alias("said")))
 query("p6_messages_all", f"WITH {_BASE} SELECT conv_id, 'system: Be brief.' || chr(10) || {FLAT.format('c')} AS said FROM r0")(lambda t: export.messages_all(t.base(), system="Be brief.").select("conv_id", flat("messages").alias("said")))
-query("p7_llama_factory", f"WITH {_PAIR}, m AS (SELECT conv_id, max(k) AS k FROM q GROUP BY 1) SELECT q.conv_id, q.u AS instruction, '' AS input, q.a AS output, coalesce((SELECT string_agg(x.u || '|' || x.a, chr(10) ORDER BY x.k) FROM q x WHERE x.conv_id = q.conv_id AND x.k < q.k), '') AS history FROM q JOIN m USING (conv_id, k)")(lambda t: export.llama_factory(t.base()).withColumn("history", F.array_join(F.transform("history", lambda h: F.array_join(h, "|")), "\n")))
+query("p7_llama_factory", f"WITH {_PAIR}, m AS (SELECT conv_id, max(k) AS k FROM q GROUP BY 1) SELECT q.conv_id, q.u AS instruction, coalesce({enrich.CONTEXT_SQL.replace('conv_id', 'q.conv_id')}, '') AS input, q.a AS output, coalesce((SELECT string_agg(x.u || '|' || x.a, chr(10) ORDER BY x.k) FROM q x WHERE x.conv_id = q.conv_id AND x.k < q.k), '') AS history FROM q JOIN m USING (conv_id, k)")(lambda t: export.llama_factory(t.base()).withColumn("history", F.array_join(F.transform("history", lambda h: F.array_join(h, "|")), "\n")))
 query("p10_warnings", f"WITH {_BASE} SELECT * FROM (SELECT conv_id, concat_ws('; ', CASE WHEN len(list_filter(c, lambda x: x.role = 'assistant')) = 0 THEN 'no assistant turn' END, CASE WHEN len(list_filter(c, lambda x: x.content = '')) > 0 THEN 'empty content' END, CASE WHEN c[1].role = 'assistant' THEN 'starts with assistant' END) AS warnings FROM r0) WHERE warnings <> ''")(lambda t: export.warnings(t.base()).withColumn("warnings", F.array_join("warnings", "; ")))
 query("p18_agent_dpo", f"WITH {_BASE}, s AS (SELECT conv_id, c[1].content AS prompt, list_transform(c[2:], lambda x: x.content) AS rest FROM r0) SELECT conv_id, prompt, array_to_string(rest, chr(10)) AS chosen, CASE WHEN len(rest) > 1 THEN array_to_string(rest[:len(rest) // 2], chr(10)) ELSE 'Unable to fulfill request.' END AS rejected, 'traj_' || conv_id AS trajectory_id FROM s")(lambda t: export.agent_dpo(t.base().withColumn("trajectory_id", F.concat(F.lit("traj_"), F.col("conv_id").cast("string")))))
 query("a20_dpo_pairs", f"WITH {enrich.SQL}, a AS (SELECT prompt, final_score AS s, conv_id, list_filter(c, lambda x: x.role = 'assistant')[-1].content AS response FROM r WHERE final_score IS NOT NULL AND len(c) >= 2), g AS (SELECT prompt, arg_max(struct_pack(r := response, s := s, i := conv_id), (s, -conv_id)) AS b, arg_min(struct_pack(r := response, s := s, i := conv_id), (s, -conv_id)) AS w, count(*) AS n FROM a WHERE response <> '' GROUP BY 1) SELECT prompt, b.r AS chosen, w.r AS rejected, b.i AS chosen_id, w.i AS rejected_id, round(b.s - w.s, 6) AS gap FROM g WHERE n >= 2 AND round(b.s - w.s, 6) >= 0.2")(lambda t: export.dpo(t.rows()))
@@ -298,4 +308,4 @@ def _stream(t: Tables) -> DataFrame:
     return streaming.run_once(streaming.windowed(e.select(F.col("event_type").alias("metric"), "ts", "value"), 60), f"w{uuid.uuid4().hex}", "complete")
 
 
-from . import prompted, related  # noqa: E402, F401  (add their queries)
+from . import prompted, related, stored  # noqa: E402, F401  (add their queries)

@@ -22,6 +22,11 @@ def conversations(turns_df: DataFrame) -> DataFrame:
     return turns_df.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("t")).select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("conversations"))
 
 
+def with_context(df: DataFrame) -> DataFrame:
+    """Adds ``instruction_context``, null for every third conversation."""
+    return df.withColumn("instruction_context", F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("about doc_"), (F.col("conv_id") * 13 % 200).cast("string"))))
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 0.88, "perfect").when(score >= 0.72, "good").when(score >= 0.52, "needs_improvement").when(score >= 0.32, "bad").when(score.isNotNull(), "not_acceptable")
 
@@ -45,14 +50,16 @@ def attributes(df: DataFrame) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attributes(conversations(turns(spark, sf_dir)))
+    return attributes(with_context(conversations(turns(spark, sf_dir))))
 
 
+CONTEXT_SQL = "CASE WHEN conv_id % 3 <> 0 THEN 'about doc_' || (conv_id * 13 % 200) END"
 _CTX = "'doc_' || (conv_id * 13 % 200), 'doc_' || (conv_id * 29 % 200)"
 #: The same rows in SQL, as CTEs
 SQL = (
     "r0 AS (SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS c FROM conversations GROUP BY conv_id), "
     "r1 AS (SELECT *, CASE WHEN conv_id % 11 <> 0 THEN 'persona_' || (conv_id % 7) END AS persona, conv_id % 3 AS depth, "
+    f"{CONTEXT_SQL} AS instruction_context, "
     f"'doc_' || (conv_id * 13 % 200) AS context_id, [{_CTX}] AS context_ids, 'prompt_' || (conv_id % 20) AS prompt, "
     + ", ".join(f"CASE WHEN conv_id % 5 <> 0 THEN ((conv_id * 37 + {k * 11}) % 101) / 100.0 END AS {m}" for k, m in enumerate(METRICS))
     + " FROM r0), r2 AS (SELECT *, round((coherence + factuality + grounding + helpfulness + relevance) / 5.0, 9) AS final_score FROM r1), "
