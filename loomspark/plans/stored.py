@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import exports
-from ..sources import enrich
+from ..sources import enrich, points
 from ..sources.shared import new_path
 from .catalogue import _PAIR, Tables, query
 
@@ -54,3 +54,13 @@ def k3_export_counts(t: Tables) -> DataFrame:
     out = exports.as_table(t.spark, exports.export_lines(conversation_lines(t), path, formats))
     exports.remove(t.spark, path)
     return out
+
+
+# ---- points of a vector store
+
+
+@query("s10_points", "SELECT vec_id AS id, label, len(embedding)::INTEGER AS size FROM embeddings WHERE label = 3 AND vec_id >= 10")
+def s10_points(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    points.index_points(t.embeddings.select(F.col("vec_id").alias("id"), "label", F.size("embedding").alias("size")), path)
+    return points.scan_points(t.spark, path, "id long, label int, size int", page=64).where("label = 3 AND id >= 10")
