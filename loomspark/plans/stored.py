@@ -63,4 +63,4 @@ def k3_export_counts(t: Tables) -> DataFrame:
 def s10_points(t: Tables) -> DataFrame:
     path = new_path(t.spark)
     points.index_points(t.embeddings.select(F.col("vec_id").alias("id"), "label", F.size("embedding").alias("size")), path)
-    return points.scan_points(t.spark, path, "id long, label int, size int", page=64).where("label = 3 AND id >= 10")
+    return points.scan_points(t.spark, path, "id long, label int, size int", {"label": 3}, low=10, page=64)

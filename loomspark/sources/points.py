@@ -2,7 +2,10 @@
 
 The keys are split into ranges, one for each partition of the scan; inside a range pages follow one another by key
 (``id`` greater than the last one seen), so that every point comes once, whatever the page size and whatever is added
-behind the scan. Equality of payload fields and bounds of the key are pushed down to the store.
+behind the scan. What the store shall filter (payload fields that equal a value, bounds of the key) is stated in the
+scan. Spark can push filters into a Python source by itself, but in 4.1 it keeps them with the table and not with the
+scan: two differently filtered scans of one table in one query would both get the rows of the last one. So
+the source takes none of them, and what a query filters besides is done by Spark.
 
 A store is reached through a client with ``splits`` and ``scroll``; vendors' clients are not part of the library. The
 one here keeps a collection as Parquet files in a folder that all executors reach.
@@ -11,6 +14,7 @@ one here keeps a collection as Parquet files in a folder that all executors reac
 from __future__ import annotations
 
 import importlib
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -20,14 +24,13 @@ import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import strip
 
 PAGE, ROW_GROUP = 500, 1 << 20
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -89,33 +92,14 @@ class Range(InputPartition):
 class PointReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.options, self.schema = dict(options), schema
-        self.low, self.high, self.equal = LEAST, MOST, {}
+        self.low, self.high = int(options.get("low", LEAST)), int(options.get("high", MOST))
+        self.equal = json.loads(options.get("equal", "{}"))
 
     def client(self) -> Client:
         """Made anew where it is used: on the driver for the ranges, in every task for the pages."""
         module, _, name = self.options.get("client", f"{__name__}:FolderClient").partition(":")
         return getattr(importlib.import_module(module), name)(self.options["collection"])
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        same = {f.attribute for f in filters if isinstance(f, EqualTo)}
-        for f in filters:
-            name, value = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
-            if isinstance(f, IsNotNull) and (name == "id" or f.attribute in same):
-                continue  # no point is without an id, and nothing null equals a value
-            if name == "id" and isinstance(value, int):
-                if isinstance(f, EqualTo):
-                    self.low, self.high = max(self.low, value), min(self.high, value)
-                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, value + isinstance(f, GreaterThan))
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.high = min(self.high, value - isinstance(f, LessThan))
-                else:
-                    yield f
-            elif isinstance(f, EqualTo) and value is not None and name in self.schema.fieldNames() and self.equal.get(name, value) == value:
-                self.equal[name] = value
-            else:
-                yield f
-
     def partitions(self) -> list[Range]:
         parts = int(self.options.get("parts", "8"))
         return [Range(a, b) for a, b in (self.client().splits(self.low, self.high, parts) if self.low <= self.high else [])]
@@ -136,7 +120,8 @@ class PointReader(DataSourceReader):
 
 
 class PointSource(DataSource):
-    """Format ``points``; options ``collection``, ``client`` (``module:class``), ``page`` and ``parts``."""
+    """Format ``points``; options ``collection``, ``client`` (``module:class``), ``page``, ``parts``, ``low``, ``high``
+    and ``equal`` (JSON)."""
 
     @classmethod
     def name(cls) -> str:
@@ -149,12 +134,15 @@ class PointSource(DataSource):
         return PointReader(self.options, schema)
 
 
-def scan_points(spark: SparkSession, collection: str, schema: str, page: int = PAGE, parts: int = 8, client: str | None = None) -> DataFrame:
-    """The points of a collection with ``id`` and the payload fields of ``schema``."""
-    spark.conf.set(PUSHDOWN, "true")
+def scan_points(spark: SparkSession, collection: str, schema: str, equal: dict | None = None, low: int = LEAST, high: int = MOST, page: int = PAGE, parts: int = 8, client: str | None = None) -> DataFrame:
+    """The points of a collection with ``id`` and the payload fields of ``schema``: of ids from ``low`` to ``high``,
+    and with the payload values of ``equal`` (fields of ``schema``; null is no value)."""
+    kind = StructType.fromDDL(schema)
+    if unknown := {*(equal or {})} - {*kind.fieldNames()} or {k for k, v in (equal or {}).items() if v is None}:
+        raise ValueError(f"no field to filter by, or no value: {sorted(unknown)}")
     spark.dataSource.register(PointSource)
-    given = {"collection": collection, "page": str(page), "parts": str(parts)} | ({"client": client} if client else {})
-    return spark.read.format("points").schema(schema).options(**given).load()
+    given = {"collection": collection, "page": str(page), "parts": str(parts), "low": str(low), "high": str(high), "equal": json.dumps(equal or {})}
+    return spark.read.format("points").schema(kind).options(**given, **({"client": client} if client else {})).load()
 
 
 def point_documents(points: DataFrame, content: str = "text") -> DataFrame:
