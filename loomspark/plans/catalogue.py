@@ -178,7 +178,10 @@ for _n in (10, 5):
 
 
 def _usage(t: Tables) -> DataFrame:
-    e = t.events
+    return usage_of(t.events)
+
+
+def usage_of(e: DataFrame) -> DataFrame:
     return e.select(F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("model_"), (F.col("user_id") % 5).cast("string"))).alias("model"), (F.col("event_id") % 100).alias("prompt_tokens"), (F.col("event_id") % 37).alias("completion_tokens"), (F.col("event_id") % 100 + F.col("event_id") % 37).alias("total_tokens"))
 
 
@@ -305,7 +308,7 @@ def _stream(t: Tables) -> DataFrame:
     import uuid
 
     e = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
-    return streaming.run_once(streaming.windowed(e.select(F.col("event_type").alias("metric"), "ts", "value"), 60), f"w{uuid.uuid4().hex}", "complete")
+    return streaming.reported(streaming.windowed(e.select(F.col("event_type").alias("metric"), "ts", "value"), 60))
 
 
 from . import prompted, related, stored  # noqa: E402, F401  (add their queries)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import exports
-from ..sources import enrich, points
+from ..operators import exports, monitor
+from ..sources import checkpoint, enrich, logs, points
 from ..sources.shared import new_path
-from .catalogue import _PAIR, Tables, query
+from ..streaming import metrics, weights
+from .catalogue import _PAIR, SQL, Tables, _nodes, query, usage_of
 
 # ---- exports
 
@@ -64,3 +65,69 @@ def s10_points(t: Tables) -> DataFrame:
     path = new_path(t.spark)
     points.index_points(t.embeddings.select(F.col("vec_id").alias("id"), "label", F.size("embedding").alias("size")), path)
     return points.scan_points(t.spark, path, "id long, label int, size int", {"label": 3}, low=10, page=64)
+
+
+# ---- checkpoints
+
+_TREE = """
+SELECT 'geo' AS factor_id, 'root' AS node_id, NULL::VARCHAR AS parent_id, 0 AS depth, 'all' AS label
+UNION ALL SELECT 'geo', 'r' || r_regionkey, 'root', 1, r_name FROM region
+UNION ALL SELECT 'geo', 'n' || n_nationkey, 'r' || n_regionkey, 2, n_name FROM nation
+UNION ALL SELECT 'geo', 'c' || c_custkey, 'n' || c_nationkey, 3, c_name FROM customer
+"""
+
+
+def tree(t: Tables) -> DataFrame:
+    """Regions, nations and customers as one taxonomy."""
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    leaves = t.customer.select(F.lit("geo"), key("c", "c_custkey"), key("n", "c_nationkey"), F.lit(3), "c_name")
+    return _nodes(t).union(leaves)
+
+
+@query("s13_checkpoint", _TREE)
+def s13_checkpoint(t: Tables) -> DataFrame:
+    root = new_path(t.spark)
+    checkpoint.save(t.spark, root, {"taxonomy": tree(t), "strategy": t.region}, {"instruction": "all places"})
+    return checkpoint.load(t.spark, root).tables["taxonomy"]
+
+
+# ---- metrics
+
+
+@query("s11_metric_lines", "SELECT event_type AS metric, ts, round(value, 6) AS value, 'model_' || (user_id % 5) AS model FROM events")
+def s11_metric_lines(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    logs.append_lines(t.metrics().select("metric", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "value", F.col("model").alias("model_name")), path)
+    return logs.metric_lines(t.spark, path).select("metric", "ts", F.round("value", 6).alias("value"), "model")
+
+
+@query("k6_metric_export", "SELECT event_type AS metric, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1")
+def k6_metric_export(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    logs.export_metrics(t.metrics(), path, "csv", since="2024-01-15 12:00:00")
+    got = t.spark.read.schema("event_id long, ts string, value double, model string, metric string").csv(path, header=True)
+    return got.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("t5_token_report", SQL["a23_token_usage"])
+def t5_token_report(t: Tables) -> DataFrame:
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
+    return metrics.reported(monitor.token_usage(usage_of(events)))
+
+
+@query(
+    "t7_adaptive_weights",
+    """
+SELECT user_id::VARCHAR AS doc_id, count_if(event_id % 13 <> 0) AS used, bool_or(event_id % 13 = 0 AND user_id % 11 = 0) AS covered,
+  CASE WHEN bool_or(event_id % 13 = 0 AND user_id % 11 = 0) THEN 0.0 WHEN user_id % 3 = 0 THEN 1.0 / (count_if(event_id % 13 <> 0) + 1)
+    ELSE greatest(user_id % 9 * 5 - count_if(event_id % 13 <> 0), 0) END::DOUBLE AS weight
+FROM events WHERE event_id % 13 <> 0 OR user_id % 11 = 0 GROUP BY user_id
+""",
+)
+def t7_adaptive_weights(t: Tables) -> DataFrame:
+    """The last weight of each document after all its uses."""
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
+    kind = F.when(F.col("event_id") % 13 != 0, "use").otherwise("cover")
+    said = events.where("event_id % 13 <> 0 OR user_id % 11 = 0").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), kind.alias("event"), F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 9 * 5).alias("target"))
+    last = F.max_by(F.struct("used", "covered", "weight"), "ord").alias("x")
+    return metrics.appended(weights.adaptive_weights(said)).groupBy("doc_id").agg(last).select("doc_id", "x.*")
