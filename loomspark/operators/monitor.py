@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import rolling_mean
+
 #: metric, operator, limit, level
 RULES = (
     ("success_rate", "<", 0.8, "warning"),
@@ -43,8 +45,8 @@ def alerts(stats: DataFrame, rules=RULES) -> DataFrame:
 
 def rolling(metrics: DataFrame, events: int = 10) -> DataFrame:
     """Mean of the last events of a metric, at each event; fewer at its start."""
-    w = Window.partitionBy("metric", "model").orderBy("ts", "event_id").rowsBetween(-(events - 1), 0)
-    return metrics.select("event_id", "metric", "model", F.round(F.avg("value").over(w), 6).alias("rolling"))
+    m = rolling_mean(metrics.select("event_id", "metric", "model", "ts", "value"), ["metric", "model"], ["ts", "event_id"], "value", events, "rolling")
+    return m.select("event_id", "metric", "model", F.round("rolling", 6).alias("rolling"))
 
 
 def token_usage(usage: DataFrame) -> DataFrame:

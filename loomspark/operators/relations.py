@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import rolling_mean
+
 
 def usage_counts(docs: DataFrame, uses: DataFrame) -> DataFrame:
     """``docs(doc_id)``, ``uses(doc_id)`` -> every document with how often it was used, 0 if never."""
@@ -135,5 +137,5 @@ def rolling_within(metrics: DataFrame, metric: str, as_of: str, hours: int = 1,
     """Mean of the last events of one metric, at each of its events in the hours up to ``as_of``."""
     t = F.lit(as_of).cast("timestamp_ntz")
     m = metrics.where((F.col("metric") == metric) & (F.col("ts") > t - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") <= t))
-    w = Window.partitionBy("metric").orderBy("ts", "event_id").rowsBetween(-(events - 1), 0)  # the events of the lookback only
-    return m.select("event_id", F.round(F.avg("value").over(w), 6).alias("rolling"))
+    m = rolling_mean(m.select("event_id", "metric", "ts", "value"), ["metric"], ["ts", "event_id"], "value", events, "rolling")  # the events of the lookback only
+    return m.select("event_id", F.round("rolling", 6).alias("rolling"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import running_sums
 from ..functions.text import hash_unit
+from ..sources.shared import written
 
 
 def usage_weight(used: Column, target: Column | None = None, covered: Column | None = None) -> Column:
@@ -22,16 +26,27 @@ def weighted_sample(items: DataFrame, k: int, seed: str = "42") -> DataFrame:
     return items.where("weight > 0").withColumn("key", -F.ln(u) / F.col("weight")).orderBy("key", "id").limit(k).drop("key")
 
 
-def weighted_choice(draws: DataFrame, options: DataFrame, seed: str = "42") -> DataFrame:
+def weighted_choice(draws: DataFrame, options: DataFrame, seed: str = "42", few: int = 100_000) -> DataFrame:
     """One option for each draw, in proportion to weight: ``draws(draw_id)``, ``options(ord, option, weight)``.
-    Options are a small set; they are checked and broadcast as ranges."""
-    if options.limit(100_001).count() > 100_000:
-        raise ValueError("too many options to choose from")
-    up = Window.orderBy("ord")
-    o = options.where("weight > 0").withColumn("hi", F.sum("weight").over(up)).withColumn("lo", F.col("hi") - F.col("weight"))
-    o = o.join(o.agg(F.max("hi").alias("all")))
-    x = hash_unit(seed, F.col("draw_id"))
-    return draws.withColumn("x", x).join(F.broadcast(o), (F.col("x") * F.col("all") >= F.col("lo")) & (F.col("x") * F.col("all") < F.col("hi"))).select(*draws.columns, "option")
+
+    Options own ranges of the summed weight. Up to ``few`` of them are sent to all tasks. Of more, only those that own a
+    thousandth or more of all weight are (a thousand at most); the others are laid on a grid of as many cells of equal
+    width as there are options: a draw looks in its own cell only, at the options that reach into it, and cells meet
+    draws by an ordinary shuffled join.
+    """
+    o = running_sums(options.where("weight > 0").withColumn("__all", F.lit(1)), ["__all"], ["ord"], {"hi": F.col("weight").cast("double")})
+    o = written(o.select("option", "hi", (F.col("hi") - F.col("weight")).alias("lo")))
+    n, total = o.agg(F.count("*"), F.max("hi")).first()
+    x = draws.withColumn("__x", hash_unit(seed, F.col("draw_id")) * F.lit(total))
+    hit = (F.col("__x") >= F.col("lo")) & (F.col("__x") < F.col("hi"))
+    if n <= few:
+        return x.join(F.broadcast(o), hit).select(*draws.columns, "option")
+    large = o.where((F.col("hi") - F.col("lo")) * 1000 >= F.lit(total))
+    rest = x.join(F.broadcast(large.select("lo", "hi")), hit, "left_anti")
+    cell = lambda v: F.least(F.floor(v / F.lit(total) * n), F.lit(n - 1)).cast("long")
+    grid = o.where((F.col("hi") - F.col("lo")) * 1000 < F.lit(total)).withColumn("__cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    found = rest.withColumn("__cell", cell(F.col("__x"))).join(grid, "__cell").where(hit)
+    return x.join(F.broadcast(large), hit).select(*draws.columns, "option").union(found.select(*draws.columns, "option"))
 
 
 def split(df: DataFrame, key: Column, val_ratio: float, seed: str = "42") -> DataFrame:
@@ -54,8 +69,43 @@ def split(df: DataFrame, key: Column, val_ratio: float, seed: str = "42") -> Dat
 
 def budget_stop(items: DataFrame, cost: str, limit: float) -> DataFrame:
     """``items(stream, ord, cost)``: the first item of each stream at which the running cost reaches the limit."""
-    run = F.sum(cost).over(Window.partitionBy("stream").orderBy("ord"))
-    return items.withColumn("spent", run).where(F.col("spent") >= limit).groupBy("stream").agg(F.min("ord").alias("ord"), F.round(F.min("spent"), 6).alias("spent"))
+    run = running_sums(items, ["stream"], ["ord"], {"spent": F.col(cost)})
+    return run.where(F.col("spent") >= limit).groupBy("stream").agg(F.min("ord").alias("ord"), F.round(F.min("spent"), 6).alias("spent"))
+
+
+def running_state(items: DataFrame) -> DataFrame:
+    """``items(stream, ord, cost, failed, value)`` with what stop rules look at, after each item: ``generated`` (items
+    that did not fail), ``spent`` (cost), ``events`` and ``failures``, ``distinct`` (values that have occurred)."""
+    first = items.where("value IS NOT NULL").groupBy("stream", "value").agg(F.min("ord").alias("ord")).groupBy("stream", "ord").agg(F.count("*").alias("__new"))
+    d = items.join(first, ["stream", "ord"], "left")
+    failed = F.coalesce(F.col("failed"), F.lit(False))
+    sums = {"generated": (~failed).cast("long"), "spent": F.col("cost"), "events": F.lit(1), "failures": failed.cast("long"), "distinct": F.col("__new")}
+    return running_sums(d, ["stream"], ["ord"], sums).drop("__new")
+
+
+def spent_at_least(limit: float) -> Column:
+    return F.col("spent") >= limit
+
+
+def generated_at_least(n: int) -> Column:
+    return F.col("generated") >= n
+
+
+def distinct_at_least(n: int) -> Column:
+    return F.col("distinct") >= n
+
+
+def error_rate_at_least(most: float = 0.5, min_samples: int = 10) -> Column:
+    """Not before ``min_samples`` items were generated."""
+    return (F.col("generated") >= min_samples) & (F.col("failures") >= most * F.col("events"))
+
+
+def first_stop(state: DataFrame, *rules: Column, every: bool = False) -> DataFrame:
+    """``stream, ord``: the first item of each stream after which any of the rules holds, or ``every`` one at once."""
+    if not rules:
+        raise ValueError("no rule to stop by")
+    held = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), (F.coalesce(r, F.lit(False)) for r in rules))
+    return state.where(held).groupBy("stream").agg(F.min("ord").alias("ord"))
 
 
 def distinct_stop(items: DataFrame, value: str, n: int) -> DataFrame:

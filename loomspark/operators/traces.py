@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import running_sum_before
+from ..functions.order import running_sum_before, running_sums
 from ..functions.text import strip
 
 
@@ -109,8 +109,8 @@ def resolve_tool(names: DataFrame, tools: DataFrame) -> DataFrame:
 def ledger(transfers: DataFrame) -> DataFrame:
     """``transfers(ord, src, dst, amount)`` -> balance of each account after each of its transfers, in cents' precision."""
     sides = transfers.select("ord", F.explode(F.array(F.struct(F.col("src").alias("account"), (-F.col("amount")).alias("delta")), F.struct(F.col("dst").alias("account"), F.col("amount").alias("delta")))).alias("x")).select("ord", "x.*")
-    run = F.sum(F.round(F.col("delta") * 100).cast("long")).over(Window.partitionBy("account").orderBy("ord", "delta").rowsBetween(Window.unboundedPreceding, 0))
-    return sides.select("account", "ord", F.round(F.col("delta"), 2).alias("delta"), F.round(run / F.lit(100.0), 2).alias("balance"))
+    run = running_sums(sides, ["account"], ["ord", "delta"], {"cents": F.round(F.col("delta") * 100).cast("long")})
+    return run.select("account", "ord", F.round("delta", 2).alias("delta"), F.round(F.col("cents") / F.lit(100.0), 2).alias("balance"))
 
 
 def tool_statistics(calls: DataFrame) -> DataFrame:

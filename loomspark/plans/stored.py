@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import exports, monitor
+from ..operators import drawing, exports, monitor, sampling
+from ..operators.taxonomy import NODES
 from ..sources import checkpoint, enrich, logs, points
 from ..sources.shared import new_path
 from ..streaming import metrics, weights
@@ -131,3 +132,65 @@ def t7_adaptive_weights(t: Tables) -> DataFrame:
     said = events.where("event_id % 13 <> 0 OR user_id % 11 = 0").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), kind.alias("event"), F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 9 * 5).alias("target"))
     last = F.max_by(F.struct("used", "covered", "weight"), "ord").alias("x")
     return metrics.appended(weights.adaptive_weights(said)).groupBy("doc_id").agg(last).select("doc_id", "x.*")
+
+
+# ---- stop rules and mixes
+
+_STATE = """
+i AS (SELECT user_id AS stream, event_id AS ord, value AS cost, event_id % 5 < 2 AS failed, event_type AS value FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY stream, value ORDER BY ord) = 1 AS new FROM i),
+s AS (
+  SELECT stream, ord, count_if(NOT failed) OVER w AS generated, count_if(failed) OVER w AS failures, count(*) OVER w AS events, sum(cost) OVER w AS spent, count_if(new) OVER w AS n_distinct
+  FROM f WINDOW w AS (PARTITION BY stream ORDER BY ord)
+)
+"""
+
+
+def _state(t: Tables) -> DataFrame:
+    e = t.events
+    items = e.select(F.col("user_id").alias("stream"), F.col("event_id").alias("ord"), F.col("value").alias("cost"), (F.col("event_id") % 5 < 2).alias("failed"), F.col("event_type").alias("value"))
+    return sampling.running_state(items)
+
+
+@query("t6_error_rate_stop", f"WITH {_STATE} SELECT stream, min(ord) AS ord FROM s WHERE generated >= 10 AND failures >= 0.45 * events GROUP BY 1")
+def t6_error_rate_stop(t: Tables) -> DataFrame:
+    return sampling.first_stop(_state(t), sampling.error_rate_at_least(0.45, 10))
+
+
+@query("t6_all_of_stop", f"WITH {_STATE} SELECT stream, min(ord) AS ord FROM s WHERE spent >= 300 AND n_distinct >= 4 AND generated >= 12 GROUP BY 1")
+def t6_all_of_stop(t: Tables) -> DataFrame:
+    return sampling.first_stop(_state(t), sampling.spent_at_least(300.0), sampling.distinct_at_least(4), sampling.generated_at_least(12), every=True)
+
+
+STRATEGIES = [drawing.Strategy("place", 1.0, ("geo",)), drawing.Strategy("both", 3.0, ("geo", "brand"), (("nation_1", "#1"), ("_2", "#2")))]
+
+
+@query(
+    "c3_mixes",
+    """
+WITH geo AS (SELECT 'n' || n_nationkey AS node_id, n_name AS label, row_number() OVER (ORDER BY 'n' || n_nationkey) - 1 AS place FROM nation),
+brand AS (SELECT 'b' || p_brand AS node_id, p_brand AS label, row_number() OVER (ORDER BY 'b' || p_brand) - 1 AS place FROM (SELECT DISTINCT p_brand FROM part)),
+i AS (SELECT doc_id AS mix_id, CASE WHEN ('0x' || substr(md5('42|strategy|' || doc_id), 1, 8))::BIGINT / 4294967296.0 * 4 < 1 THEN 'place' ELSE 'both' END AS strategy FROM documents),
+a AS (
+  SELECT mix_id, strategy, k AS attempt,
+    floor(('0x' || substr(md5('42|' || k || '|' || mix_id || '|geo'), 1, 8))::BIGINT / 4294967296.0 * (SELECT count(*) FROM geo))::BIGINT AS g,
+    floor(('0x' || substr(md5('42|' || k || '|' || mix_id || '|brand'), 1, 8))::BIGINT / 4294967296.0 * (SELECT count(*) FROM brand))::BIGINT AS b
+  FROM i, range(50) t(k)
+), d AS (
+  SELECT mix_id, strategy, attempt, geo.node_id || CASE WHEN strategy = 'both' THEN '|' || brand.node_id ELSE '' END AS nodes, lower(geo.label || ' ' || brand.label) AS labels
+  FROM a JOIN geo ON geo.place = g JOIN brand ON brand.place = b
+)
+SELECT mix_id, strategy, min(attempt)::INTEGER AS attempt, arg_min(nodes, attempt) AS nodes FROM d
+WHERE strategy = 'place' OR NOT (contains(labels, 'nation_1') AND contains(labels, '#1') OR contains(labels, '_2') AND contains(labels, '#2')) GROUP BY 1, 2
+""",
+)
+def c3_mixes(t: Tables) -> DataFrame:
+    brands = t.part.select("p_brand").distinct().select(F.lit("brand").alias("factor_id"), F.concat(F.lit("b"), "p_brand").alias("node_id"), F.lit("brands").alias("parent_id"), F.lit(1).alias("depth"), F.col("p_brand").alias("label"))
+    top = t.spark.createDataFrame([("brand", "brands", None, 0, "all")], NODES)
+    got = drawing.mixes(t.documents.select(F.col("doc_id").alias("mix_id")), _nodes(t).union(top).union(brands), STRATEGIES)
+    return got.withColumn("nodes", F.array_join(F.transform("entries", lambda e: e["node_id"]), "|")).drop("entries")
+
+
+@query("c4_one_scenario", "SELECT conv_id AS mix_id, arg_min(turn, (('0x' || substr(md5('42|' || conv_id || '|' || turn), 1, 8))::BIGINT, turn)) AS meta_id, arg_min(text, (('0x' || substr(md5('42|' || conv_id || '|' || turn), 1, 8))::BIGINT, turn)) AS text FROM conversations GROUP BY 1")
+def c4_one_scenario(t: Tables) -> DataFrame:
+    return drawing.one_scenario(t.conversations.select(F.col("conv_id").alias("mix_id"), F.col("turn").alias("meta_id"), "text"))
