@@ -75,3 +75,15 @@ def numbered_personas(text: Column) -> Column:
 def hash_unit(seed: str, key: Column) -> Column:
     """A number in [0, 1) fixed by seed and key; SQL engines with MD5 agree on it."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded as C does it: by the number's exact binary value, halves to even."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0" + "." * bool(digits) + "0" * digits))
+
+
+def chart_number(value: Column, whole: bool) -> Column:
+    """As charts show it: whole numbers from 10,000 on in thousands with one decimal and ``k``; others with two."""
+    if not whole:
+        return fixed(value, 2)
+    return F.when(value >= 10_000, F.concat(fixed(value / 1000, 1), F.lit("k"))).otherwise(value.cast("long").cast("string"))

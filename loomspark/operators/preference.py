@@ -66,3 +66,13 @@ def as_anthropic_hh(pairs: DataFrame) -> DataFrame:
     before = F.transform(F.filter(_prefix(pairs), lambda x: x["role"].isin("user", "assistant")), turn)
     text = lambda c: F.array_join(F.concat(before, F.array(F.concat(F.lit("Human: "), F.col("prompt")), F.concat(F.lit("Assistant: "), F.col(f"{c}.content")))), "\n\n")
     return pairs.where("valid").select(text("chosen").alias("chosen"), text("rejected").alias("rejected"))
+
+
+def save(pairs: DataFrame, rows: DataFrame, path: str, log_path: str | None = None) -> None:
+    """Writes formatted ``rows`` (of one of the formats above) as JSON lines and, with ``log_path``, a log of all pairs,
+    good or not, that ends with one row of their statistics (``_analytics``)."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    if log_path:
+        told = pairs.select(F.lit(0).alias("__last"), F.to_json(F.struct("*")).alias("value"))
+        last = statistics(pairs).select(F.lit(1).alias("__last"), F.to_json(F.struct(F.struct("*").alias("_analytics"))).alias("value"))
+        told.union(last).orderBy("__last").select("value").write.mode("overwrite").text(log_path)

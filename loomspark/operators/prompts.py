@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions import text as T
 
 # Fixed values.
@@ -27,9 +28,9 @@ def without_context(context: Column) -> Column:
 
 
 def with_retrieved(context: Column, found: Column) -> Column:
-    """What was retrieved, after the context if there is one."""
+    """What was retrieved, after the context if there is one; without anything retrieved the context alone."""
     context = F.coalesce(context, F.lit(""))
-    return F.when(context == "", found).otherwise(F.concat(context, F.lit(f"\n\n{RAG_HEADING}\n"), found))
+    return F.when(context == "", found).when(found.isNull(), context).otherwise(F.concat(context, F.lit(f"\n\n{RAG_HEADING}\n"), found))
 
 
 def filled(template: str, **values: Column) -> Column:
@@ -51,9 +52,12 @@ def with_count(prompt: Column, n: Column) -> Column:
 
 
 def with_skills(prompts: DataFrame, skills: DataFrame) -> DataFrame:
-    """``prompts(context_id, prompt, ...)`` and one skill a context ``(context_id, name, description, content)``; a
-    prompt without one stays as it is."""
-    s = skills.select("context_id", F.col("name").alias("skill"), "description", "content")
+    """``prompts(context_id, prompt, ...)`` and the skills of contexts ``(context_id, name, description, content)``; a
+    prompt without one stays as it is. Missing parts of a skill are empty; of several skills of a context the greatest
+    by name, description and content is taken, so that no prompt is doubled."""
+    none = F.lit("")
+    parts = F.struct(F.coalesce("name", none).alias("skill"), F.coalesce("description", none).alias("description"), F.coalesce("content", none).alias("content"))
+    s = skills.groupBy("context_id").agg(F.max(parts).alias("x")).select("context_id", "x.*")
     block = F.concat(F.regexp_replace("prompt", r"(?U)\s+$", ""), F.lit(f"\n\n{SKILL_HEADING}\n\n{SKILL_ADVICE}\n\n### "), "skill", F.lit("\nWhen to use: "), "description", F.lit("\n\n"), T.strip(F.col("content")))
     return prompts.join(s, "context_id", "left").withColumn("prompt", F.when(F.col("skill").isNull(), F.col("prompt")).otherwise(block)).drop("description", "content")
 
@@ -77,7 +81,7 @@ def synthesized(text: Column) -> Column:
     fence = F.when(F.contains(tail, F.lit("```json")), "```json").otherwise("```")
     inner = F.when(F.contains(tail, F.lit("```")), F.get(F.split(F.substr(tail, F.locate("```", tail) + F.length(fence)), "```", 2), F.lit(0))).otherwise(tail)
     task = F.when(F.contains(text, F.lit("PROMPT:")), F.get(halves, F.lit(0))).otherwise(text)
-    return F.struct(F.regexp_replace(T.strip(task), r'^"+|"+$', "").alias("task"), F.coalesce(F.get_json_object(T.strip(inner), "$"), F.lit("{}")).alias("context"))
+    return F.struct(F.regexp_replace(T.strip(task), r'^"+|"+$', "").alias("task"), F.coalesce(F.when(J.parsed(T.strip(inner)).isNotNull(), F.get_json_object(T.strip(inner), "$")), F.lit("{}")).alias("context"))
 
 
 def display_rows(rows: DataFrame, most: int = 200) -> DataFrame:
@@ -87,3 +91,35 @@ def display_rows(rows: DataFrame, most: int = 200) -> DataFrame:
     short = F.when(context == "", "").otherwise(F.concat(F.substring(context, 1, most), F.lit("...")))
     persona = F.coalesce(F.nullif(F.col("persona"), F.lit("")), F.lit("N/A"))
     return rows.select("conv_id", content(0).alias("instruction"), content(1).alias("response"), short.alias("context"), persona.alias("persona"))
+
+
+STEP = "struct<thought:string,tool:string,arguments:string,observation:string>"
+
+
+def trajectory_conversations(trajectories: DataFrame) -> DataFrame:
+    """``trajectories(trajectory_id, task, turns, final_answer, verdict)``, turns of the fields of ``STEP``, as
+    conversations: the task, each thought with its call, each observation, the final answer. ``metadata`` holds the id
+    and, if there is one, the verdict (JSON)."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+
+    def step(x):
+        call = F.when(x["tool"].isNotNull(), F.concat(F.lit("\nAction: "), x["tool"], F.lit("\nAction Input: "), F.coalesce(x["arguments"], F.lit("{}")))).otherwise("")
+        thought = said("assistant", F.concat(F.lit("Thought: "), F.coalesce(x["thought"], F.lit("")), call))
+        seen = said("user", F.concat(F.lit("Observation: "), x["observation"]))
+        return F.when(x["observation"].isNotNull(), F.array(thought, seen)).otherwise(F.array(thought))
+
+    answer = F.when(F.coalesce("final_answer", F.lit("")) != "", F.array(said("assistant", F.concat(F.lit("Final Answer: "), "final_answer")))).otherwise(F.slice(F.array(said("assistant", F.lit(""))), 1, 0))
+    turns = F.flatten(F.transform(F.coalesce("turns", F.array().cast(f"array<{STEP}>")), step))
+    metadata = F.map_filter(F.create_map(F.lit("trajectory_id"), F.col("trajectory_id").cast("string"), F.lit("judge_verdict"), F.col("verdict")), lambda k, v: v.isNotNull())
+    return trajectories.select("trajectory_id", F.concat(F.array(said("user", F.coalesce("task", F.lit("")))), turns, answer).alias("conversations"), metadata.alias("metadata"))
+
+
+def tool_documentation(tools: DataFrame) -> DataFrame:
+    """``tools(app, app_ord, app_description, action, action_ord, description, parameters)``, parameters an array of
+    ``struct<name, type, required>`` -> ``app, documentation``: one text for each app, its actions in their order."""
+    shown = F.transform("parameters", lambda p: F.concat(p["name"], F.lit(": "), p["type"], F.when(p["required"], "").otherwise(" (optional)")))
+    line = F.concat(F.lit("- `"), "app", F.lit("."), "action", F.lit("("), F.array_join(shown, ", "), F.lit(")`: "), F.coalesce("description", F.lit("")))
+    # the actions of an app are a stated interface: a few dozen short lines
+    lines = tools.groupBy("app").agg(F.min("app_ord").alias("app_ord"), F.first("app_description", True).alias("about"), F.array_sort(F.collect_list(F.struct("action_ord", line.alias("line")))).alias("lines"))
+    head = F.concat(F.lit("### App: "), "app", F.lit("\nDescription: "), F.coalesce("about", F.lit("")), F.lit("\nActions:\n"))
+    return lines.select("app", "app_ord", F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("documentation"))

@@ -77,3 +77,11 @@ def multiple_choice(choices: Column, index: Column, n: int = 4) -> Column:
     """Choices cut or filled to n; an index out of range becomes 0."""
     filled = F.slice(F.concat(choices, F.array_repeat(F.lit("(placeholder)"), n)), 1, n)
     return F.struct(filled.alias("choices"), F.when((index >= 0) & (index < n), index).otherwise(0).alias("correct_index"))
+
+
+def language_mismatch(rows: DataFrame, expected: str, examples: int = 5) -> DataFrame:
+    """One row of ``rows(id, detected)``: how many texts were detected as another language, and the first of these ids.
+    Texts without a detected language do not count."""
+    other = F.col("detected") != expected
+    first = rows.where(other).orderBy("id").limit(examples).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("examples"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(other).alias("n_mismatched")).join(F.broadcast(first))  # one row each

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import rolling_mean
+from ..functions.text import strip
 
 
 def usage_counts(docs: DataFrame, uses: DataFrame) -> DataFrame:
@@ -24,11 +25,11 @@ def coverage(usage: DataFrame, least: int = 1) -> DataFrame:
 
 
 def selected_skills(texts: DataFrame, contexts: DataFrame, selected: DataFrame, versions: DataFrame) -> DataFrame:
-    """``texts(text_id, text)`` -> ``text_id, context_id, version``: by the digest of the text
-    (``contexts(digest, context_id)``) the version ``selected(context_id, version)``, else the latest of
-    ``versions(context_id, version)``; null if there is neither."""
-    latest = versions.groupBy("context_id").agg(F.max("version").alias("latest"))
-    t = texts.select("text_id", F.sha2("text", 256).alias("digest")).join(contexts, "digest", "left")
+    """``texts(text_id, text)`` -> ``text_id, context_id, version``: by the digest of the stripped text
+    (``contexts(digest, context_id)``; a null text counts as empty) the version ``selected(context_id, version)``, else
+    the last appended of ``versions(context_id, version, ord)``; null if there is neither."""
+    latest = versions.groupBy("context_id").agg(F.max_by("version", "ord").alias("latest"))
+    t = texts.select("text_id", F.sha2(strip(F.coalesce("text", F.lit(""))), 256).alias("digest")).join(contexts, "digest", "left")
     return t.join(selected, "context_id", "left").join(latest, "context_id", "left").select("text_id", "context_id", F.coalesce("version", "latest").alias("version"))
 
 

@@ -132,3 +132,8 @@ def cache_hits(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     fills = F.aggregate("times", none, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= ttl_seconds), F.concat(acc, F.array(x))).otherwise(acc))
     first = F.row_number().over(Window.partitionBy("query", "ts").orderBy("request_id")) == 1
     return requests.join(g.select("query", fills.alias("fills")), "query").select("request_id", "query", (~(F.array_contains("fills", t) & first)).alias("hit"))
+
+
+def random_turns(conversation: Column, most: int, seed: str = "42") -> Column:
+    """How many turns a conversation gets: 1 to ``most``, from a hash of its id."""
+    return (F.floor(hash_unit(f"{seed}|turns", conversation) * most) + 1).cast("long")

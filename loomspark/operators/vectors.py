@@ -29,6 +29,13 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
+def with_texts(hits: DataFrame, texts: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
+    """``hits(query_id, item_id, rank, ...)`` of ``top_k`` and ``texts(item_id, text)`` -> ``query_id, context``: the
+    texts of the hits in their order (at most k of them), joined; hits without a text are passed over."""
+    met = hits.join(texts.where("text IS NOT NULL"), "item_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x"))
+    return met.select("query_id", F.array_join(F.transform("x", lambda h: h["text"]), separator).alias("context"))
+
+
 def _close(threshold: float):
     """Pairs of one pair of blocks (or of one block) that exceed the threshold, by a product of matrices."""
 

@@ -311,4 +311,4 @@ def _stream(t: Tables) -> DataFrame:
     return streaming.reported(streaming.windowed(e.select(F.col("event_type").alias("metric"), "ts", "value"), 60))
 
 
-from . import prompted, related, stored  # noqa: E402, F401  (add their queries)
+from . import prompted, related, stored, steps  # noqa: E402, F401  (add their queries)

@@ -23,18 +23,18 @@ query("j2_document_coverage", f"WITH {_USED} SELECT count(*) AS n_docs, count_if
 def _skills(t: Tables):
     b = t.benchmark.where("item_id % 4 <> 0")
     contexts = b.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("item_id").alias("context_id"))
-    labels = t.labels.select((F.col("doc_id") % 50).alias("context_id"), (F.col("doc_id") % 7).alias("version"), "quality")
+    labels = t.labels.select((F.col("doc_id") % 50).alias("context_id"), (F.col("doc_id") % 7).alias("version"), "quality", F.col("doc_id").alias("ord"))
     chosen = labels.where("quality = 1 AND context_id % 3 = 0").groupBy("context_id").agg(F.min("version").alias("version"))
-    return relations.selected_skills(t.benchmark.select(F.col("item_id").alias("text_id"), "text"), contexts, chosen, labels)
+    return relations.selected_skills(t.benchmark.select(F.col("item_id").alias("text_id"), F.concat(F.lit(" "), "text", F.lit(" \n")).alias("text")), contexts, chosen, labels)
 
 
 query(
     "j3_selected_skill",
     """
-WITH l AS (SELECT doc_id % 50 AS context_id, doc_id % 7 AS version, quality FROM labels),
+WITH l AS (SELECT doc_id % 50 AS context_id, doc_id % 7 AS version, quality, doc_id FROM labels),
 c AS (SELECT sha256(text) AS digest, min(item_id) AS context_id FROM benchmark WHERE item_id % 4 <> 0 GROUP BY 1),
 s AS (SELECT context_id, min(version) AS version FROM l WHERE quality = 1 AND context_id % 3 = 0 GROUP BY 1),
-m AS (SELECT context_id, max(version) AS latest FROM l GROUP BY 1)
+m AS (SELECT context_id, arg_max(version, doc_id) AS latest FROM l GROUP BY 1)
 SELECT item_id AS text_id, c.context_id, coalesce(version, latest) AS version
 FROM benchmark b LEFT JOIN c ON c.digest = sha256(b.text) LEFT JOIN s USING (context_id) LEFT JOIN m USING (context_id)
 """,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import BAD
@@ -51,3 +51,32 @@ def export_metrics(metrics: DataFrame, path: str, kind: str = "json", since: str
     out = rows.repartition("metric", F.pmod(F.xxhash64("ts", "value"), F.lit(8)))  # few files a folder, no task for a whole metric
     w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric")
     (w.option("header", True) if kind == "csv" else w).format(kind).save(path)
+
+
+def append_counted(rows: DataFrame, path: str) -> int:
+    """As ``append_lines``; gives the number of rows, counted in the job that writes them."""
+    seen = Observation("appended")
+    append_lines(rows.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return seen.get["n"]
+
+
+#: what a skill store keeps of each context
+SKILL_LOGS = ("probes", "results", "versions")
+
+
+def append_skill_log(rows: DataFrame, root: str, kind: str) -> None:
+    """Adds ``rows(context_id, ord, ...)`` to a log of a skill store, in a folder for each context (``context_id=<id>``);
+    rows without a context are an error of the job."""
+    if kind not in SKILL_LOGS:
+        raise ValueError(f"unknown log {kind!r}; known: {', '.join(SKILL_LOGS)}")
+    checked = rows.withColumn("context_id", F.coalesce(F.col("context_id").cast("string"), F.raise_error(F.lit("a skill log row without context_id")).cast("string")))
+    checked.write.mode("append").partitionBy("context_id").option("ignoreNullFields", "false").json(f"{root}/{kind}")
+
+
+def skill_log(spark: SparkSession, root: str, kind: str, schema: str, key: str | None = None) -> DataFrame:
+    """A log of a skill store; with ``key`` the last row by ``ord`` of each context and key."""
+    df = spark.read.schema(f"{schema}, context_id string").json(f"{root}/{kind}")
+    if not key:
+        return df
+    last = df.groupBy("context_id", key).agg(F.max_by(F.struct("*"), "ord").alias("x"))
+    return last.select("x.*")

@@ -182,7 +182,7 @@ def test_readers(spark, tmp_path):
     assert [r.conversations[0].content for r in readers.conversation_jsonl(spark, str(p), limit=2, offset=1).collect()] == ["1", "2"]
     d = tmp_path / "d.jsonl"
     d.write_text('{"text": " a "}\nnot json\n\n{"text": "  "}\n{"id": "k", "text": "b"}\n')
-    assert sorted((r.text, len(r.doc_id)) for r in readers.document_jsonl(spark, str(d)).collect()) == [("a", 64), ("b", 1)]
+    assert sorted((r.text, r.doc_id) for r in readers.document_jsonl(spark, str(d)).collect()) == [("a", f"{d}:1"), ("b", "k")]
     (tmp_path / "t.txt").write_text(" whole\nfile ")
     assert readers.text_files(spark, str(tmp_path), ("*.txt",)).first().text == "whole\nfile"
     (tmp_path / "x.csv").write_text("text,n\nhello,1\n,2\n")
