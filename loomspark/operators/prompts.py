@@ -72,6 +72,32 @@ def regenerated(strategy: Column, temperature: Column, system: Column) -> Column
     return F.struct(new_t.otherwise(warm).alias("temperature"), new_s.otherwise(said).alias("system_prompt"))
 
 
+# Default, factor, addend and cap of other settings by strategy, and what the safety strategy blocks.
+LIMITS = {
+    "coherence": {"top_p": (0.9, 0.9, 0.0, 0.7)},
+    "grounding": {"context_window": (1000.0, 1.5, 0.0, 4000.0), "retrieval_k": (3.0, 1.0, 2.0, 10.0)},
+    "relevance": {"context_window": (1000.0, 1.2, 0.0, 3000.0)},
+}
+SAFETY = ("HARM_CATEGORY_HARASSMENT", "HARM_CATEGORY_HATE_SPEECH")
+THRESHOLD = "BLOCK_MEDIUM"
+
+
+def regenerated_settings(strategy: Column, top_p: Column, context_window: Column, retrieval_k: Column) -> Column:
+    """A struct of ``top_p``, ``context_window``, ``retrieval_k`` and ``safety_settings`` for another attempt: what a
+    strategy does not change stays, null too."""
+    given = {"top_p": top_p, "context_window": context_window, "retrieval_k": retrieval_k}
+    out = []
+    for name, old in given.items():
+        new = F.when(F.lit(False), old.cast("double"))
+        for kind, changes in LIMITS.items():
+            if name in changes:
+                default, factor, more, cap = changes[name]
+                new = new.when(strategy == kind, F.least(F.coalesce(old.cast("double"), F.lit(default)) * factor + more, F.lit(cap)))
+        out.append(new.otherwise(old.cast("double")).alias(name))
+    blocked = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(THRESHOLD).alias("threshold")) for c in SAFETY))
+    return F.struct(*out, F.when(strategy == "safety", blocked).alias("safety_settings"))
+
+
 def synthesized(text: Column) -> Column:
     """A struct of the task after ``PROMPT:`` and the JSON after ``INITIAL_CONTEXT:``, in a fence or bare; what is no
     JSON gives ``{}``. Without ``PROMPT:`` the whole text is the task."""

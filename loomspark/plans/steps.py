@@ -182,6 +182,24 @@ def c8_random_turns(t: Tables) -> DataFrame:
     return t.conversations.where("turn = 0").select("conv_id", rules.random_turns(F.col("conv_id"), 6).alias("turns"))
 
 
+@query(
+    "x18_regenerated_settings",
+    """
+WITH c AS (SELECT doc_id, doc_id % 5 AS s, CASE WHEN doc_id % 3 > 0 THEN doc_id % 10 / 10.0 END AS p, CASE WHEN doc_id % 4 > 0 THEN doc_id % 40 * 100 END AS w, CASE WHEN doc_id % 7 > 0 THEN doc_id % 12 END AS k FROM documents)
+SELECT doc_id, round(CASE WHEN s = 0 THEN least(coalesce(p, 0.9) * 0.9, 0.7) ELSE p END, 6)::DOUBLE AS top_p,
+  round(CASE s WHEN 1 THEN least(coalesce(w, 1000) * 1.5, 4000) WHEN 2 THEN least(coalesce(w, 1000) * 1.2, 3000) ELSE w END, 6)::DOUBLE AS context_window,
+  CASE WHEN s = 1 THEN least(coalesce(k, 3) + 2, 10) ELSE k END::DOUBLE AS retrieval_k, CASE WHEN s = 4 THEN 2 ELSE 0 END::INTEGER AS n_blocked
+FROM c
+""",
+)
+def x18_regenerated_settings(t: Tables) -> DataFrame:
+    i = F.col("doc_id")
+    strategy = F.get(F.array(*map(F.lit, ("coherence", "grounding", "relevance", "factuality", "safety"))), (i % 5).cast("int"))
+    x = prompts.regenerated_settings(strategy, F.when(i % 3 > 0, i % 10 / 10.0), F.when(i % 4 > 0, i % 40 * 100), F.when(i % 7 > 0, i % 12))
+    rows = t.documents.select("doc_id", x.alias("x"))
+    return rows.select("doc_id", F.round("x.top_p", 6).alias("top_p"), F.round("x.context_window", 6).alias("context_window"), "x.retrieval_k", F.size(F.coalesce("x.safety_settings", F.array().cast("array<struct<category:string,threshold:string>>"))).alias("n_blocked"))
+
+
 # ---- retrieval and logs
 
 
