@@ -123,3 +123,28 @@ def distinct_words(col: pa.Array, lower: bool):
         rows.append(row + i)
     word, row = (np.concatenate(hs), np.concatenate(rows)) if hs else (np.zeros(0, np.int64),) * 2
     return [MARK + (w.lower() if lower else w) for w in where], word, row
+
+
+def fresh_words(col: pa.Array, known: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """For a column of texts: hashes (sorted) and words (with the word mark) that are not among the sorted ``known``, and
+    hash and row of every word."""
+    data, off = K.buffers(col)
+    new: dict[int, str] = {}
+    hs, rows = [], []
+    for i, j in K.chunks(off):
+        part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        s, e, row = K.spans(part, own)
+        h = K.hashes(part, s, e, lower=False)
+        u, at = np.unique(h, return_index=True)
+        if len(known):
+            other = known[np.minimum(np.searchsorted(known, u), len(known) - 1)] != u
+            u, at = u[other], at[other]
+        raw = part.tobytes()
+        for k, a, b in zip(u.tolist(), s[at].tolist(), e[at].tolist()):
+            if k not in new:
+                new[k] = MARK + raw[a:b].decode("utf-8", "replace")
+        hs.append(h)
+        rows.append(row + i)
+    hashed = np.array(sorted(new), U64)
+    h, row = (np.concatenate(hs), np.concatenate(rows)) if hs else (np.zeros(0, U64), np.zeros(0, np.int64))
+    return hashed, [new[k] for k in hashed.tolist()], h, row

@@ -9,9 +9,11 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from common import awkward, rest, words
+from common import awkward, rest, without_ids, words
 from loomspark.llm import lattice, token_counts
 from loomspark.llm.html_text import extract, main_text
 from loomspark.llm.langid import _forward_long, forward, identify
@@ -228,27 +230,69 @@ def test_forward_has_one_answer_at_every_length():
             assert abs(g[k] - want) < 1e-9 * max(1, abs(want)), w
 
 
-def test_best_equals_word_by_word():
-    v = lattice.Vocabulary(lattice.read_pieces(PATH))
-    s = token_counts.piece_scores(len(v.ids))
-    said = ["▁" + w for w in ("the", "there", "therefore", "漢字", "naïve", "x", "🙂🙂", "a" * 100, "thethethe")]
-    value, count = token_counts.best(said, v, s)
-    for w, a, b in zip(said, value, count):
-        x = token_counts.best_scalar(w, v, s)
-        assert abs(x[0] - a) < 1e-9 and x[1] == b
-
-
-def test_token_counts_rows(spark):
-    df = awkward(spark)
-    got = {r.doc_id: r for r in token_counts.token_counts(df).collect()}
+def segmentations(w, pieces):
+    """All ways to cut a word: a list of (log probability, tokens); ``pieces``: log probability by piece."""
+    if not w:
+        return [(0.0, 0)]
+    out = []
+    if w[0] not in pieces:
+        n = len(w[0].encode())
+        out += [(s + token_counts.BYTE * n, k + n) for s, k in segmentations(w[1:], pieces)]
+    for n in range(1, len(w) + 1):
+        if w[:n] in pieces:
+            out += [(s + pieces[w[:n]], k + 1) for s, k in segmentations(w[n:], pieces)]
+    return out
+
+
+def by_hand(w, pieces):
+    found = segmentations(w, pieces)
+    best = max(s for s, _ in found)
+    return np.logaddexp.reduce([s for s, _ in found]), best, min(k for s, k in found if s > best - 1e-9)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab漢🙂", max_size=7), min_size=1, max_size=12, unique=True), st.dictionaries(st.text("▁ab漢", min_size=1, max_size=4), st.floats(-9, -0.5), min_size=1, max_size=12))
+def test_trie_scores_equal_all_segmentations(words_, pieces):
+    vocabulary = lattice.Vocabulary(list(pieces))
+    said = ["▁" + w for w in words_]
+    got = token_counts.scored(said, vocabulary, np.array(list(pieces.values())))
+    for w, f, v, c in zip(said, *got):
+        want = by_hand(w, pieces)
+        assert abs(want[0] - f) < 1e-6 and abs(want[1] - v) < 1e-6 and (want[2] == c)
+        alone = token_counts.scored_alone(w, vocabulary, np.array(list(pieces.values())))
+        assert np.allclose(alone, (f, v, c))
+
+
+def test_trie_and_single_words_agree_around_the_border():
     v = lattice.Vocabulary(lattice.read_pieces(PATH))
-    s = token_counts.piece_scores(len(v.ids))
-    known = {}
-    for r in df.collect():
-        w = words(r.text, lower=False)
-        for x in set(w):
-            known.setdefault(x, token_counts.best_scalar("▁" + x, v, s))
-        assert got[r.doc_id].n_pretokens == len(w) and got[r.doc_id].n_tokens == sum(known[x][1] for x in w)
+    s = np.log(np.random.default_rng(0).dirichlet(np.ones(len(v.ids))) + 1e-12)
+    said = ["▁" + w for w in ("the", "there", "therefore", "漢字", "naïve", "x", "🙂🙂", "thethethe", *(("word漢é" * 20)[:n] for n in (62, 63, 64, 65)))]
+    for w, *got in zip(said, *token_counts.scored(said, v, s)):
+        assert np.allclose(got, token_counts.scored_alone(w, v, s))
+
+
+@pytest.mark.parametrize("known", [token_counts.KNOWN, 40])
+def test_token_counts_rows(spark, monkeypatch, known):
+    """Against plain counts of the encoder's pieces and plain scores of every word, with null and repeated ids."""
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "KNOWN", known)
+    monkeypatch.setattr(token_counts, "BATCH", 3)
+    df = without_ids(spark).repartition(2)
+    pieces = lattice.read_pieces(PATH)
+    v, sp = lattice.Vocabulary(pieces), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    uses = np.zeros(len(pieces))
+    texts = [words(r.text, lower=False) for r in df.collect()]
+    encoded = {w: [v.ids[p] for p in sp.encode(w, out_type=str) if p in v.ids] for t in texts for w in set(t)}
+    for t in texts:
+        for w in t:
+            np.add.at(uses, encoded[w], 1)
+    model = token_counts.learn(df, PATH)
+    assert np.allclose(model, np.log((uses + 0.1) / (uses.sum() + 0.1 * len(pieces))))
+    alone = {w: token_counts.scored_alone("▁" + w, v, model) for w in encoded}
+    want = sorted(((r.doc_id, len(t), sum(alone[w][2] for w in t), round(sum(alone[w][1] for w in t), 3), round(sum(alone[w][0] for w in t), 3)) for r, t in zip(df.collect(), texts)), key=repr)
+    got = sorted(((r.doc_id, r.n_pretokens, r.n_tokens, round(r.score, 3), round(r.forward, 3)) for r in token_counts.token_counts(df).collect()), key=repr)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3:] for g in got], [w[3:] for w in want], rtol=1e-9, atol=0.01)
     assert token_counts.token_counts(df.limit(0)).count() == 0
 
 
