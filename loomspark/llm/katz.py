@@ -106,15 +106,35 @@ def _batch(rows):
 
 
 PACKED = "kind int, bucket int, blob binary"
+SENT = 2 << 20  # bytes of packed rows that go out at once
 
 
-def by_bucket(df: DataFrame, run, schema: str) -> DataFrame:
+def _sent(rows):
+    """Record batches of packed rows as they are made; no more than SENT bytes, or one row, wait."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= SENT:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def by_bucket(df: DataFrame, run, schema: str, through: tuple[int, ...] = ()) -> DataFrame:
     """``run(bucket, kinds, blobs)`` for the packed rows of each bucket; it gives record batches. Rows come in short batches
-    and go in short batches, so that only the task that works on a bucket holds it whole, and holds it once."""
+    and go in short batches, so that only the task that works on a bucket holds it whole, and holds it once. Rows of the
+    kinds ``through`` go on as they come."""
 
     def go(batches):
         now, kinds, blobs = None, [], []
         for batch in batches:
+            if through:
+                passing = np.isin(batch.column(0).to_numpy(), through)
+                if passing.any():
+                    yield batch.filter(pa.array(passing))
+                    batch = batch.filter(pa.array(~passing))
             for kind, bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     if blobs:
@@ -328,12 +348,12 @@ def _pairs(parts: int, shared):
                 train += flag[first : first + rows]
                 n += len(token)
                 if n > FLUSH:
-                    yield from K.sliced(_batch(list(flush(base, ids, train, w, h, d))))
+                    yield from _sent(flush(base, ids, train, w, h, d))
                     base += len(ids)
                     ids, train, w, h, d, n = [], [], [], [], [], 0
                     K.release()
         if n:
-            yield from K.sliced(_batch(list(flush(base, ids, train, w, h, d))))
+            yield from _sent(flush(base, ids, train, w, h, d))
         K.release()
 
     return run
@@ -348,8 +368,7 @@ def _context_sums(key, p1, count):
 
 
 def _table(parts: int, n: int, v: int, unigram: np.ndarray, left: float, heavy: np.ndarray, heavy_count: np.ndarray):
-    """One bucket of the pair table: counts, then what each text, context and unseen pair takes from it. Rows of other
-    kinds than PAIRS pass through."""
+    """One bucket of the pair table: counts, then what each text, context and unseen pair takes from it."""
 
     def part(opened, sub):
         """Sums by text, sums by context, unseen pairs and counts of counts of one part of the bucket."""
@@ -405,27 +424,32 @@ def _table(parts: int, n: int, v: int, unigram: np.ndarray, left: float, heavy:
             out.append(x if c.dtype.kind == "f" else small(x.astype(np.int64)))
         return key, out
 
-    def run(bucket, kinds, blobs):
-        out = [(k, bucket, b) for k, b in zip(kinds, blobs) if k != PAIRS]
+    def results(got):
+        """Packed rows of the parts' results; what is no longer needed is given up on the way."""
+        texts, sums = joined([x[0] for x in got])
+        yield from _spread(parts, TEXTS, texts.view(U64), texts, *sums)
+        del texts, sums
+        ctx, of = joined([x[1] for x in got])
+        often = found(ctx, heavy)[0] | (ctx == START)
+        yield from _spread(parts, CONTEXTS, ctx[~often], ctx[~often], *(x[~often] for x in of))
+        r = sum(x[3] for x in got)
+        yield SUMS, 0, pack(np.append(ctx[often], ALL), np.append(of[0][often], 0.0), *(np.append(x[often].astype(np.int64), y) for x, y in zip(of[1:], r)))
+        del ctx, of
+        h, who, c = (np.concatenate([x[2][i] for x in got]) for i in range(3))
+        got.clear()
+        if len(h):
+            order = np.lexsort((who, h))
+            h, who, c = h[order], who[order], c[order]
+            at = runs(h, who)
+            yield from _unseen(parts, heavy, h[at], who[at], np.add.reduceat(c, at))
+
+    def run(_, kinds, blobs):
         opened = _of(PAIRS, kinds, blobs)
         blobs.clear()
         got = [x for x in (part(opened, s) for s in range(SUB)) if x]
-        del opened
+        opened.clear()
         if got:
-            texts, sums = joined([x[0] for x in got])
-            out += _spread(parts, TEXTS, texts.view(U64), texts, *sums)
-            ctx, of = joined([x[1] for x in got])
-            often = found(ctx, heavy)[0] | (ctx == START)
-            out += _spread(parts, CONTEXTS, ctx[~often], ctx[~often], *(x[~often] for x in of))
-            r = sum(x[3] for x in got)
-            out.append((SUMS, 0, pack(np.append(ctx[often], ALL), np.append(of[0][often], 0.0), *(np.append(x[often].astype(np.int64), y) for x, y in zip(of[1:], r)))))
-            h, who, c = (np.concatenate([x[2][i] for x in got]) for i in range(3))
-            if len(h):
-                order = np.lexsort((who, h))
-                h, who, c = h[order], who[order], c[order]
-                at = runs(h, who)
-                out += _unseen(parts, heavy, h[at], who[at], np.add.reduceat(c, at))
-        return K.sliced(_batch(out))
+            yield from _sent(results(got))
 
     return run
 
@@ -534,7 +558,7 @@ def katz_scores(docs: DataFrame, held_out) -> DataFrame:
     columns = keys, np.log10((c + 1) / (n + v + 1)), score, np.minimum(seen, KMAX + 1), c > 0, h
     hot = spark.sparkContext.broadcast(Hot(heavy, *(x[np.argsort(keys)] for x in columns)))  # at most HEAVY words and pairs
 
-    table = written(by_bucket(docs.mapInArrow(_pairs(parts, hot), PACKED), _table(parts, n, v, d1, left, heavy, heavy_count), PACKED))
+    table = written(by_bucket(docs.mapInArrow(_pairs(parts, hot), PACKED), _table(parts, n, v, d1, left, heavy, heavy_count), PACKED, through=(TEXTS, UNSEEN, ROWS)))
     names = ["m", *(f"s{i}" for i in range(KMAX + 1))]
     opened = table.where(F.col("kind") == SUMS).mapInPandas(_open_sums, "ctx long, s0 double, " + ", ".join(f"s{i} long" for i in range(1, KMAX + 2))).toDF("ctx", *names)
     sums = opened.groupBy("ctx").agg(*[F.sum(x).alias(x) for x in names]).collect()  # at most HEAVY + 2 rows
