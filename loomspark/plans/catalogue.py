@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(Tables(spark, sf_dir))
 
-        run.__name__ = name
+        run.__name__, run.module = name, f.__module__
         QUERIES[name] = run
         if sql:
             SQL[name] = sql

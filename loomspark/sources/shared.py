@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder serves only where that is unset and the master is local."""
@@ -21,7 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}"
+    _paths.append(path := f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}")
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables that this process has written in the shared folder, and gives their number. Frames that were
+    made from them can no longer be read: call it once their results are stored."""
+    n = len(_paths)
+    while _paths:
+        for end in ("", "-state", "-log"):
+            remove(spark, _paths[-1] + end)
+        _paths.pop()
+    return n
 
 
 def written(df: DataFrame) -> DataFrame:

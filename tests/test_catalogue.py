@@ -15,14 +15,25 @@ LARGER = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: queries of these modules are compared on the larger tables too
+WIDER = ("loomspark.plans.stored", "loomspark.plans.steps")
+CASES = [(n, DIR) for n in sorted(SQL)] + [(n, LARGER) for n in sorted(SQL) if QUERIES[n].module in WIDER or n.startswith(("p1_", "p2_", "p3_", "p7_", "w1_", "w3_", "w7_", "a33_", "j3_", "x6_"))]
+
+
 @pytest.fixture(scope="module")
-def con():
+def connect():
     if not Path(DIR).exists():
         pytest.skip("no test tables here")
-    c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
-    return c
+    known = {}
+
+    def to(folder):
+        if folder not in known:
+            known[folder] = c = duckdb.connect()
+            for t in TABLES:
+                c.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+        return known[folder]
+
+    return to
 
 
 def plain(v):
@@ -36,16 +47,17 @@ def rows(columns, found):
     return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_same_as_sql(spark, con, name):
-    df = QUERIES[name](spark, DIR)
-    cur = con.execute(SQL[name])
+@pytest.mark.parametrize("name,folder", CASES)
+def test_same_as_sql(spark, connect, name, folder):
+    df = QUERIES[name](spark, folder)
+    cur = connect(folder).execute(SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(names, cur.fetchall())
 
 
-def test_stream_equals_batch(spark, con):
+def test_stream_equals_batch(spark, connect):
+    connect(DIR)
     key = lambda df: sorted(tuple(r) for r in df.select("start", "metric", "mean", "least", "most", "n").collect())
     assert key(QUERIES["t1_stream_windows"](spark, DIR)) == key(QUERIES["t1_windows"](spark, DIR))
 

@@ -323,3 +323,13 @@ def test_fixed_values(spark):
     assert tuple(export.agent_dpo(one).first()) == (1, "q", "a", "Unable to fulfill request.", "t1")
     s = spark.createDataFrame([(1, 0.2), (2, 0.1), (3, 0.9)], "id long, score double")
     assert relations.similarity_summary(s, 0.5, 1).first().examples == "2" and relations.similarity_summary(s.limit(0), 0.5).first().n == 0
+
+
+def test_written_tables_can_be_cleared(spark):
+    from loomspark.sources import shared
+
+    shared.clear(spark)
+    df = shared.written(spark.range(5))
+    folder, name = shared.shared_dir(spark), shared._paths[-1].rpartition("/")[2]
+    assert df.count() == 5 and name in shared.children(spark, folder)
+    assert shared.clear(spark) == 1 and name not in shared.children(spark, folder) and shared.clear(spark) == 0
