@@ -229,6 +229,7 @@ def _index(k: int, percent: int, parts: int):
     return run
 
 
+LOWEST = 16  # signatures of a set that are compared to find where a pair comes first
 #: kind 0: candidate pair (a, b); 1: set a in role b>>40 lost units (low 20 bits of b), of them by empty segments
 #: (next 20 bits); 2: sets (blob) that share crowded signature a in band role b
 FOUND = "kind int, a long, b long, blob binary"
@@ -374,7 +375,10 @@ def _open(blobs):
 
 def _across(percent: int, nearest: bool):
     """Pairs of one block pair of a crowded signature, in different components, within the sketch bound; with
-    ``nearest`` only each set's nearest such partner (which settles most, so that few pairs are left)."""
+    ``nearest`` only each set's nearest such partner (which settles most, so that few pairs are left).
+
+    Otherwise a pair that the lowest signatures of both sets show together elsewhere, at a lower place, is left to that
+    place: a pair comes once, however many signatures it shares (unless none of them is among the lowest of both)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(["n", "key"], kind="stable").drop_duplicates("key").reset_index(drop=True)
@@ -382,6 +386,11 @@ def _across(percent: int, nearest: bool):
         key, comp, block, role = (f[c].to_numpy() for c in ("key", "comp", "block", "role"))
         width = f["sketch"].map(len).to_numpy()
         out, folded = [], {}
+        if not nearest:
+            low = np.full((len(f), LOWEST), np.iinfo(np.int64).max)
+            for i, x in enumerate(f["low"]):
+                low[i, : len(x)] = x
+            here = f["at"].iloc[0]
         best, whom = np.full(len(f), 1 << 60), np.full(len(f), -1)
 
         def bound(i, j, w):
@@ -405,6 +414,7 @@ def _across(percent: int, nearest: bool):
             if not len(j):
                 continue
             if not nearest:
+                j = j[~(np.isin(low[j], low[i]) & (low[j] < here)).any(axis=1)]
                 out.append(np.stack((np.full(len(j), key[i]), key[j]), 1))
                 continue
             closer = d < best[j]
@@ -473,6 +483,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, crowd: int = 16
         apart_still = held.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 != c1").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
         rows = part.join(apart_still, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("sig", "role", "key", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(now, ["key", "role"])
+        if not nearest:  # as many signatures as a set has segments, of which the lowest are kept
+            low = meet.groupBy("key", "role").agg(F.slice(F.array_sort(F.collect_list(F.xxhash64("sig"))), 1, LOWEST).alias("low"))
+            rows = rows.join(low, ["key", "role"]).withColumn("at", F.xxhash64("sig"))
         more = written(rows.groupBy("sig", "p", "q").applyInPandas(_across(percent, nearest), "a long, b long").distinct())
         if not more.isEmpty():
             links = written(links.union(_links(more, classes, docs, k, percent)))
