@@ -140,3 +140,55 @@ def test_a_pair_comes_once_in_the_last_turn():
     every = [tuple(p) for f in frames.values() for p in run(f.assign(low=[np.zeros(0, np.int64)] * len(f))).itertuples(index=False)]
     assert set(got) == set(every) and len(every) > 5 * len(set(every))
     assert len(got) <= 1.05 * len(set(got))
+
+
+# ---- the whole pipeline, by SQL and by an exhaustive search
+
+
+def leaked(rows, items):
+    """Ids of the texts that hold 0.85 of an item's words in order within twice its length, or 0.6 and its three rarest words."""
+    said = {i: words(t) for i, t in rows}
+    df = {}
+    for w in said.values():
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    out = set()
+    for item in items:
+        rare = sorted({w: (df.get(w, 0), -max(i for i, x in enumerate(item) if x == w)) for w in item}.items(), key=lambda x: x[1])
+        answer = {w for w, _ in rare[:ANSWER]}
+        near = set(item)
+        for i, text in said.items():
+            if i in out or sum(w in near for w in text) < 0.6 * len(item):
+                continue
+            size = 2 * len(item)
+            for at in range(0, max(1, len(text) - len(item) // 2), max(1, len(item) // 2)):
+                n = in_order(text[at : at + size], item)
+                if n >= (0.6 if answer <= set(text[at : at + size]) else LCS_ALONE) * len(item):
+                    out.add(i)
+                    break
+    return out
+
+
+def test_whole_pipeline(spark):
+    import duckdb
+
+    import corpus_pipeline
+    from loomspark.llm import sharding
+    from loomspark.llm.queries import ORACLE
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create table documents as select * from '{d}/documents.parquet'")
+    keep = lambda ids: con.execute(f"delete from documents where doc_id not in ({','.join(map(str, ids)) or 'null'})")
+    ids = lambda sql: [r[0] for r in con.execute(sql).fetchall()]
+    keep(ids(f"select doc_id from ({ORACLE['op10_quality_rules']}) where kept"))
+    keep(ids(f"select doc_id from ({ORACLE['op1_ngram_jaccard_join']}) where doc_id = component_id"))
+    bench = con.execute(f"select text from '{d}/benchmark.parquet' where text is not null").fetchall()
+    rows = con.execute("select doc_id, text from documents").fetchall()
+    gone = leaked(rows, [words(t) for (t,) in bench if words(t)])
+    assert gone
+    keep([i for i, _ in rows if i not in gone])
+    keep(ids(f"select doc_id from ({ORACLE['op3_mix_sources']}) where sampled"))
+    want = sorted((i, sharding.lookup_table([f"shard-{k:03d}" for k in range(sharding.SHARDS)])[sharding._number(str(i)) % sharding.SLOTS]) for i in ids("select doc_id from documents"))
+    got = sorted((r.doc_id, r.shard_id) for r in corpus_pipeline.run(spark, d).collect())
+    assert len(want) > 20 and got == want
