@@ -131,9 +131,11 @@ def char_budget(docs: DataFrame, most_docs: int = 8, per_doc: int = 4000, total:
 
 def round_robin(items: DataFrame, pool: int) -> DataFrame:
     """``items(stream, ord)`` -> the pool member that each takes in turn."""
-    return items.withColumn("pick", ((F.row_number().over(Window.partitionBy("stream").orderBy("ord")) - 1) % pool).cast("long"))
+    run = running_sums(items, ["stream"], ["ord"], {"__k": F.lit(1)})
+    return run.withColumn("pick", ((F.col("__k") - 1) % pool).cast("long")).drop("__k")
 
 
 def persona_weight(personas: DataFrame, most_depth: int) -> DataFrame:
-    """(most_depth - depth + 1) / how many of the depth."""
-    return personas.withColumn("weight", F.round((most_depth - F.col("depth") + 1) / F.count("*").over(Window.partitionBy("depth")), 6))
+    """(most_depth - depth + 1) / how many of the depth; a row a depth is joined, no depth is gathered."""
+    n = personas.groupBy("depth").agg(F.count("*").alias("__n"))
+    return personas.join(n, "depth", "left").select(*personas.columns, F.round((most_depth - F.col("depth") + 1) / F.col("__n"), 6).alias("weight"))
