@@ -78,7 +78,7 @@ def hash_unit(seed: str, key: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """A number with so many decimals, rounded as C does it: by the number's exact binary value, halves to even."""
+    """A number of up to 15 digits with so many decimals, rounded as C does it: by its exact binary value, halves to even."""
     return F.call_function("format_number", value.cast("double"), F.lit("0" + "." * bool(digits) + "0" * digits))
 
 
