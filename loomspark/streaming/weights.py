@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -48,5 +50,7 @@ def adaptive_weights(events: DataFrame) -> DataFrame:
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # the worker that sets the state up on the driver does not get the files that are added to a session
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = events.selectExpr("cast(doc_id as string) as doc_id", "cast(ord as long) as ord", "event", "cast(target as long) as target").where("doc_id IS NOT NULL")
     return rows.groupBy("doc_id").transformWithStateInPandas(_Weights(), WEIGHTS, "append", "None")
