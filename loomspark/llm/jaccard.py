@@ -12,6 +12,10 @@ lost so; a pair can be missed only if both of its sets lost more than they had t
 again by their crowded signatures, but only across components that are still apart, and by an exact bound
 from parity sketches (the number of differing parities never exceeds the number of differing shingles).
 Every candidate is verified on the texts.
+
+Signatures without content (empty segments) are crowded almost always: a set counts their units as lost where it is
+read, and only sets that cannot spare so many send them. A set that can spare them shares another signature with each
+of its partners; of two sets that cannot, both send them.
 """
 
 from __future__ import annotations
@@ -34,7 +38,10 @@ PER_SEGMENT = 3.0
 SLACK = 1.12
 OWN, NEXT = 0, 1
 BLOCK = 2048
-BUCKET_BYTES = 4 << 20  # of text, about, whose signatures meet in one bucket
+BUCKET_BYTES = 12 << 20  # of text, about, whose signatures meet in one bucket: each bucket names its sets again
+BLOCK_SHINGLES = 1 << 16  # whose signatures are made at once, about
+HASH = U64((1 << 47) - 1)  # bits of a signature; its role goes above them
+PAIRS = 1 << 15  # of a crowded signature whose sketches are compared at once, about
 
 
 class Bands:
@@ -110,8 +117,31 @@ def roles(b: Bands, size: int):
         yield NEXT, own + 1
 
 
-def _key(x: np.ndarray) -> tuple[int, int]:
-    return int(K.mix(x).sum(dtype=U64)), int(K.mix(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
+def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each set."""
+    if not sets:
+        return np.zeros(0, U64), np.zeros(0, U64)
+    x, size = np.concatenate(sets), np.array([len(s) for s in sets])
+    at = np.flatnonzero(size)
+    begin = (np.cumsum(size) - size)[at]
+    out = np.zeros((2, len(sets)), U64)
+    if len(at):
+        out[0, at] = np.add.reduceat(K.mix(x), begin)
+        out[1, at] = np.add.reduceat(K.mix(x ^ U64(0x5851F42D4C957F2D)), begin)
+    return out[0], out[1]
+
+
+def blocks(rows, most: int = BLOCK_SHINGLES):
+    """Lists of sets of about so many shingles in all."""
+    held, n = [], 0
+    for _, x in rows:
+        held.append(x)
+        n += len(x)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -143,86 +173,115 @@ def _sets(k: int):
         for batch in batches:
             ids = batch.column(0)
             n, key, key2, sk = [], [], [], []
-            for _, x in K.sets(batch.column(1), k):
-                a, b = _key(x)
-                n.append(len(x))
-                key.append(a - (1 << 64) if a >> 63 else a)
-                key2.append(b - (1 << 64) if b >> 63 else b)
-                sk.append(sketch(x) if len(x) else b"")
+            for sets in blocks(K.sets(batch.column(1), k)):
+                one, two = _keys(sets)
+                n += [len(x) for x in sets]
+                key += one.view(np.int64).tolist()
+                key2 += two.view(np.int64).tolist()
+                sk += [sketch(x) if len(x) else b"" for x in sets]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n", "key", "key2", "sketch"])
         K.release()
 
     return run
 
 
-def signatures(x: np.ndarray, band: int, plan: tuple[int, int, int, int]) -> np.ndarray:
-    """46-bit signatures and two low bits: the content is empty, the segment is worth two units."""
-    m, d, q, _ = plan
-    seg = (K.mix(x ^ U64(band * 0x2545F491 + 7)) % U64(m)).astype(np.int64)
-    value = K.mix(x + U64(0x632BE59BD9B4E019))
-    order = np.argsort(seg, kind="stable")
-    seg, value = seg[order], value[order]
-    at = np.searchsorted(seg, np.arange(q + 1))
-    run = np.concatenate((np.zeros(1, U64), np.cumsum(value)))
-    full = run[at[1:]] - run[at[:-1]]
-    name = (np.arange(q, dtype=U64) << U64(12)) ^ U64(band)
-    out = [K.mix(full * U64(3) + K.mix(name)) << U64(2) | (full == 0).astype(U64) << U64(1) | (np.arange(q) < d).astype(U64)]
-    if d:
-        end = at[min(d, q)]
-        cut = full[seg[:end]] - value[:end]
-        out.append(K.mix(cut * U64(3) + K.mix(name[seg[:end]])) << U64(2) | (cut == 0).astype(U64) << U64(1) | U64(1))
-    return np.concatenate(out) & U64((1 << 48) - 1)
+def signatures(sets: list[np.ndarray], band: np.ndarray, plan: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, set of each, units of each set's signatures without content); band and plan of each set.
+
+    A signature has 45 bits and two low ones: the content is empty, the segment is worth two units. Those without
+    content are given only for sets that cannot spare their units."""
+    x, size = np.concatenate(sets), np.array([len(s) for s in sets])
+    m, d, q, spare = plan.T
+    begin = np.cumsum(q) - q
+    seg = (K.mix(x ^ np.repeat((band * 0x2545F491 + 7).astype(U64), size)) % np.repeat(m.astype(U64), size)).astype(np.int64)
+    used = seg < np.repeat(q, size)
+    place, value = (seg + np.repeat(begin, size))[used], K.mix(x[used] + U64(0x632BE59BD9B4E019))
+    who = np.repeat(np.arange(len(q)), q)
+    number = np.arange(len(who)) - begin[who]
+    full = np.zeros(len(who), U64)
+    np.add.at(full, place, value)
+    name, deep = K.mix(number.astype(U64) << U64(12) ^ band[who].astype(U64)), number < d[who]
+    at = np.flatnonzero(deep[place])
+    cut = place[at]
+    rest = full[cut] - value[at]
+    empty = full == 0
+    out = np.concatenate((K.mix(full * U64(3) + name) << U64(2) | empty.astype(U64) << U64(1) | deep.astype(U64), K.mix(rest * U64(3) + name[cut]) << U64(2) | (rest == 0).astype(U64) << U64(1) | U64(1)))
+    own = np.concatenate((who, who[cut]))
+    empty[cut[rest == 0]] = True
+    blank = np.bincount(who, weights=empty * (1 + deep), minlength=len(q)).astype(np.int64)
+    keep = ((out & U64(2)) == 0) | (blank > spare)[own]
+    return out[keep] & HASH, own[keep], blank
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the low bytes of all first: the high ones are mostly zeros, which Spark's codec packs."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(blob: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
 def _index(k: int, percent: int, parts: int):
-    """Packed signatures by bucket: a table of the batch's sets, then 6 + 2 bytes a signature."""
+    """Packed signatures by bucket: names, sizes and counts of signatures of the sets, then 6 bytes a signature; one
+    bucket also gets (name, role and units without content) of all sets that have such."""
 
-    def flush(keys, sizes, sigs, who):
-        if not keys:
+    def flush(keys, sizes, sigs, who, blank_of, blanks):
+        if not sigs:
             return None
         sig, own = np.concatenate(sigs), np.concatenate(who)
+        key, size = np.concatenate(keys), np.concatenate(sizes)
         bucket = (K.mix(sig) % U64(parts)).astype(np.int64)
-        order = np.lexsort((sig, bucket))
-        sig, own, bucket = sig[order], own[order], bucket[order]
-        at = np.searchsorted(bucket, np.arange(parts + 1))
-        key, size = np.array(keys, np.uint64), np.array(sizes, np.uint32)
+        order = np.argsort(bucket * len(key) + (own >> 1))
+        sig, own, bucket = sig[order] | (own[order] & 1).astype(U64) << U64(47), own[order] >> 1, bucket[order]
+        low = sig.view(np.uint8).reshape(-1, 8)[:, :6]
+        first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1]))))
+        count = np.diff(np.append(first, len(own)))
+        at, of = np.searchsorted(bucket, np.arange(parts + 1)), np.searchsorted(bucket[first], np.arange(parts + 1))
+        name, units = np.concatenate(blank_of), np.concatenate(blanks)
         rows, blobs = [], []
-        for p in range(parts):
-            s, o = sig[at[p] : at[p + 1]], own[at[p] : at[p + 1]]
-            if not len(s):
-                continue
-            have, local = np.unique(o >> 1, return_inverse=True)
-            low = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, :6]
+        for p in np.flatnonzero(np.diff(at)).tolist():
+            mine = own[first[of[p] : of[p + 1]]]
             rows.append(p)
-            blobs.append(np.array([len(have), len(s)], np.int64).tobytes() + key[have].tobytes() + size[have].tobytes() + (local.astype(np.uint16) << 1 | (o & 1).astype(np.uint16)).tobytes() + low.tobytes())
+            blobs.append(np.array([len(mine), at[p + 1] - at[p], len(name)], np.int64).tobytes() + key[mine].tobytes() + _planes(size[mine]) + _planes(count[of[p] : of[p + 1]]) + low[at[p] : at[p + 1]].tobytes() + key[name >> 1].tobytes() + _planes(units << 1 | (name & 1)))
+            name, units = name[:0], units[:0]
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def run(batches):
         b = bands(percent)
-        keys, sizes, sigs, who, seen, held = [], [], [], [], set(), 0
+        keys, sizes, sigs, who, blank_of, blanks, seen, held = [], [], [], [], [], [], set(), 0
         for batch in batches:
-            for _, x in K.sets(batch.column(0), k):
-                if not len(x):
-                    continue
-                key = _key(x)
-                if key in seen:
-                    continue
-                seen.add(key)
-                for role, band in roles(b, len(x)):
-                    if b.need(band, len(x)) <= 1:
-                        continue  # only equal sets are linked at this size; they share a class already
-                    s = signatures(x, band, b.plan(band, len(x)))
+            for sets in blocks(K.sets(batch.column(0), k)):
+                one, two = _keys(sets)
+                new = []
+                for i, key in enumerate(zip(one.tolist(), two.tolist())):
+                    if len(sets[i]) and key not in seen:
+                        seen.add(key)
+                        new.append(i)
+                base = sum(map(len, keys))
+                keys.append(one[new])
+                sizes.append(np.array([len(sets[i]) for i in new], np.int64))
+                parts_of: dict[int, list] = {OWN: [], NEXT: []}
+                for j, i in enumerate(new):
+                    for role, band in roles(b, len(sets[i])):
+                        if b.need(band, len(sets[i])) > 1:  # else only equal sets are linked; they share a class already
+                            parts_of[role].append((j, i, band, b.plan(band, len(sets[i]))))
+                for role, mine in parts_of.items():
+                    if not mine:
+                        continue
+                    s, own, blank = signatures([sets[i] for _, i, _, _ in mine], np.array([x[2] for x in mine]), np.array([x[3] for x in mine]))
+                    name = base + np.array([x[0] for x in mine]) << 1 | role
                     sigs.append(s)
-                    who.append(np.full(len(s), len(keys) << 1 | role, np.int32))
+                    who.append(name[own])
+                    blank_of.append(name[blank > 0])
+                    blanks.append(blank[blank > 0])
                     held += len(s)
-                keys.append(key[0])
-                sizes.append(len(x))
-                if held > 1_000_000 or len(keys) >= 30_000:
-                    if (out := flush(keys, sizes, sigs, who)) is not None:
+                if held > 1_000_000 or len(seen) >= 30_000:
+                    if (out := flush(keys, sizes, sigs, who, blank_of, blanks)) is not None:
                         yield from K.sliced(out)
-                    keys, sizes, sigs, who, seen, held = [], [], [], [], set(), 0
+                    keys, sizes, sigs, who, blank_of, blanks, seen, held = [], [], [], [], [], [], set(), 0
                     K.release()
-        if sigs and (out := flush(keys, sizes, sigs, who)) is not None:
+        if (out := flush(keys, sizes, sigs, who, blank_of, blanks)) is not None:
             yield from K.sliced(out)
         K.release()
 
@@ -230,8 +289,8 @@ def _index(k: int, percent: int, parts: int):
 
 
 LOWEST = 16  # signatures of a set that are compared to find where a pair comes first
-#: kind 0: candidate pair (a, b); 1: set a in role b>>40 lost units (low 20 bits of b), of them by empty segments
-#: (next 20 bits); 2: sets (blob) that share crowded signature a in band role b
+#: kind 0: candidate pair (a, b); 1: set a in role b>>40 lost units (low 40 bits of b) by crowded signatures with
+#: content; 2: sets (blob) that share crowded signature a in band role b; 3: as 1, by all signatures without content
 FOUND = "kind int, a long, b long, blob binary"
 
 
@@ -239,27 +298,34 @@ def _probe(percent: int, crowd: int):
     """Candidates of one bucket."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, own, sig, base = [], [], [], [], 0
+        keys, sizes, own, sig, bare, base = [], [], [], [], [], 0
         for blob in frame["blob"]:
-            nk, ns = (int(v) for v in np.frombuffer(blob, np.int64, 2))
-            at = 16
+            nk, ns, nb = (int(v) for v in np.frombuffer(blob, np.int64, 3))
+            at = 24
             keys.append(np.frombuffer(blob, np.uint64, nk, at))
             at += 8 * nk
-            sizes.append(np.frombuffer(blob, np.uint32, nk, at))
+            sizes.append(_unplaned(blob, nk, at))
+            at += 4 * nk
+            own.append(np.repeat(np.arange(base, base + nk, dtype=np.int32), _unplaned(blob, nk, at)))
             at += 4 * nk
-            own.append(np.frombuffer(blob, np.uint16, ns, at).astype(np.int64) + (base << 1))
-            at += 2 * ns
             wide = np.zeros((ns, 8), np.uint8)
             wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * ns, at).reshape(-1, 6)
             sig.append(wide.view(np.uint64).ravel())
+            at += 6 * ns
+            if nb:
+                units = _unplaned(blob, nb, at + 8 * nb)
+                bare.append((np.frombuffer(blob, np.int64, nb, at), (units & 1) << 40 | units >> 1))
             base += nk
-        keys, sizes, own, sig = np.concatenate(keys), np.concatenate(sizes).astype(np.int64), np.concatenate(own), np.concatenate(sig)
+        keys, sizes, own, sig = np.concatenate(keys), np.concatenate(sizes), np.concatenate(own), np.concatenate(sig)
         del frame
         names, first, same = np.unique(keys, return_index=True, return_inverse=True)
         sizes = sizes[first]
-        who, role = same[own >> 1], own & 1
-        order = np.lexsort((role, who, sig))
-        sig, who, role = sig[order], who[order], role[order]
+        name = same[own] << 1 | (sig >> U64(47)).astype(np.int64)
+        sig &= HASH
+        order = np.lexsort((name, sig))
+        sig, name = sig[order], name[order]
+        who, role = name >> 1, name & 1
+        del own, order
         keep = np.ones(len(sig), bool)
         keep[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
         sig, who, role = sig[keep], who[keep], role[keep]
@@ -280,13 +346,11 @@ def _probe(percent: int, crowd: int):
             at = np.concatenate([np.arange(start[g], start[g] + count[g]) for g in big])
             empty = (sig[at] & U64(2)) > 0
             found.append(np.stack((who[start[inside]], who[at]), 1)[~empty])
-            name = who[at] * 2 + role[at]
-            worth = 1 + (sig[at] & U64(1)).astype(np.int64)
-            units, blank = (np.bincount(name, weights=x, minlength=2 * len(names)).astype(np.int64) for x in (worth, worth * empty))
+            units = np.bincount(name[keep][at], weights=~empty * (1 + (sig[at] & U64(1)).astype(np.int64)), minlength=2 * len(names)).astype(np.int64)
             lost = np.flatnonzero(units)
             kinds.append(np.ones(len(lost), np.int32))
             va.append(names[lost >> 1].view(np.int64))
-            vb.append((lost & 1) << 40 | blank[lost] << 20 | units[lost])
+            vb.append((lost & 1) << 40 | units[lost])
             blobs += [None] * len(lost)
             for g in big:
                 for i in range(start[g], start[g] + count[g], 4096):
@@ -298,6 +362,11 @@ def _probe(percent: int, crowd: int):
                             va.append(np.array([sig[i]]).view(np.int64))
                             vb.append(np.array([r]))
                             blobs.append(mine.tobytes())
+        for a, b in bare:
+            kinds.append(np.full(len(a), 3, np.int32))
+            va.append(a)
+            vb.append(b)
+            blobs += [None] * len(a)
         if found:
             pair = np.concatenate(found)
             s, t = sizes[pair[:, 0]], sizes[pair[:, 1]]
@@ -380,54 +449,65 @@ def _across(percent: int, nearest: bool):
     Otherwise a pair that the lowest signatures of both sets show together elsewhere, at a lower place, is left to that
     place: a pair comes once, however many signatures it shares (unless none of them is among the lowest of both)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(["n", "key"], kind="stable").drop_duplicates("key").reset_index(drop=True)
-        first, second, n = int(f["p"].iloc[0]), int(f["q"].iloc[0]), f["n"].to_numpy()
-        key, comp, block, role = (f[c].to_numpy() for c in ("key", "comp", "block", "role"))
-        width = f["sketch"].map(len).to_numpy()
-        out, folded = [], {}
+    def run(frame):
+        """``frame``: an Arrow table, or one of pandas; the result is of the same kind."""
+        key, comp, block, role, n, p, q, sketches = (frame[c].to_numpy() for c in ("key", "comp", "block", "role", "n", "p", "q", "sketch"))
+        _, once = np.unique(key, return_index=True)
+        once = once[np.argsort(n[once], kind="stable")]
+        key, comp, block, role, n, sketches = (x[once] for x in (key, comp, block, role, n, sketches))
+        first, second = int(p[0]), int(q[0])
+        width = np.array([len(s) for s in sketches])
+        folded: dict[int, np.ndarray] = {}
         if not nearest:
-            low = np.full((len(f), LOWEST), np.iinfo(np.int64).max)
-            for i, x in enumerate(f["low"]):
+            here = frame["at"].to_numpy()[0]
+            low = np.full((len(key), LOWEST), np.iinfo(np.int64).max)
+            for i, x in enumerate(frame["low"].to_numpy()[once]):
                 low[i, : len(x)] = x
-            here = f["at"].iloc[0]
-        best, whom = np.full(len(f), 1 << 60), np.full(len(f), -1)
 
         def bound(i, j, w):
+            """The pairs whose sketches, folded to w bytes, do not exclude them, and these distances."""
             if w not in folded:
-                folded[w] = np.stack([_fold(s, w) if len(s) >= w else np.zeros(w, np.uint8) for s in f["sketch"]])
+                folded[w] = np.stack([_fold(s, w) if len(s) >= w else np.zeros(w, np.uint8) for s in sketches]).view(U64)
             d = np.bitwise_count(folded[w][j] ^ folded[w][i]).sum(axis=1, dtype=np.int64)
             ok = d * (100 + percent) <= (n[j] + n[i]) * (100 - percent)
-            return j[ok], d[ok]
-
-        for i in range(len(f)):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent, "right"))
-            j = j[(comp[j] != comp[i]) & (role[j] + role[i] < 2)]
-            if first != second:
-                j = j[block[j] != block[i]]
-            # sizes rise, so a partner's sketch is at least as wide; a narrow fold excludes most
-            if len(j) and width[i] >= 16:
-                j, _ = bound(i, j, int(width[i]) // 2)
-            if not len(j):
-                continue
-            j, d = bound(i, j, int(width[i]))
-            if not len(j):
-                continue
-            if not nearest:
-                j = j[~(np.isin(low[j], low[i]) & (low[j] < here)).any(axis=1)]
-                out.append(np.stack((np.full(len(j), key[i]), key[j]), 1))
-                continue
-            closer = d < best[j]
-            best[j[closer]], whom[j[closer]] = d[closer], i
-            at = int(d.argmin())
-            if d[at] < best[i]:
-                best[i], whom[i] = d[at], j[at]
-        if nearest:
-            at = np.flatnonzero(whom >= 0)
-            out = [np.stack((key[at], key[whom[at]]), 1)]
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            return i[ok], j[ok], d[ok]
+
+        # sizes rise, so a partner's sketch is at least as wide
+        begin = np.arange(1, len(key) + 1)
+        count = np.maximum(np.searchsorted(n, n * 100 // percent, "right") - begin, 0)
+        got = []
+        for w in np.unique(width).tolist():
+            mine = np.flatnonzero((width == w) & (count > 0))
+            most = max(1, PAIRS * 16 // w)
+            part = np.cumsum(count[mine]) // most
+            for g in np.unique(part):
+                i = mine[part == g]
+                j = np.arange(count[i].sum()) + np.repeat(begin[i] - (np.cumsum(count[i]) - count[i]), count[i])
+                i = np.repeat(i, count[i])
+                ok = (comp[i] != comp[j]) & (role[i] + role[j] < 2)
+                if first != second:
+                    ok &= block[i] != block[j]
+                i, j = i[ok], j[ok]
+                if len(i) and w >= 16:  # a narrow fold excludes most
+                    i, j, _ = bound(i, j, w // 2)
+                if len(i):
+                    i, j, d = bound(i, j, w)
+                    if not nearest:
+                        for a in range(0, len(i), PAIRS):
+                            x, y = i[a : a + PAIRS], j[a : a + PAIRS]
+                            ok = ~((low[y][:, :, None] == low[x][:, None, :]).any(axis=2) & (low[y] < here)).any(axis=1)
+                            got.append((x[ok], y[ok], d[a : a + PAIRS][ok]))
+                    else:
+                        got.append((i, j, d))
+        i, j, d = (np.concatenate(x) for x in zip(*got)) if got else [np.zeros(0, np.int64)] * 3
+        if nearest and len(i):
+            i, j, d = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((d, d))
+            order = np.lexsort((j, d, i))
+            _, at = np.unique(i[order], return_index=True)
+            i, j = i[order][at], j[order][at]
+        pairs = np.unique(np.sort(np.stack((key[i], key[j]), 1), axis=1), axis=0)
+        out = {"a": pairs[:, 0], "b": pairs[:, 1]}
+        return pd.DataFrame(out) if isinstance(frame, pd.DataFrame) else pa.table(out)
 
     return run
 
@@ -467,11 +547,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, crowd: int = 16
 
     # sets that lost more units than they had to spare, and the crowded signatures they share
     spare = F.pandas_udf(_spare(percent), "own int, next int")
-    lost = found.where("kind = 1").select(F.col("a").alias("key"), F.shiftright("b", 40).alias("role"), F.shiftright("b", 20).bitwiseAND((1 << 20) - 1).alias("blank"), F.col("b").bitwiseAND((1 << 20) - 1).alias("units")).groupBy("key", "role").agg(F.sum("units").alias("units"), F.sum("blank").alias("blank"))
+    lost = found.where("kind IN (1, 3)").select("kind", F.col("a").alias("key"), F.shiftright("b", 40).alias("role"), F.col("b").bitwiseAND((1 << 40) - 1).alias("units")).groupBy("key", "role").agg(F.sum(F.when(F.col("kind") == 1, F.col("units")).otherwise(0)).alias("units"), F.max(F.when(F.col("kind") == 3, F.col("units")).otherwise(0)).alias("blank"))
     sizes = classes.groupBy("n").count().select("n", spare("n").alias("spare"))
     named = classes.join(sizes, "n").select("key", "doc_id", "n", "sketch", "spare")
     own = F.when(F.col("role") == OWN, F.col("spare.own")).otherwise(F.col("spare.next"))
-    short = written(lost.join(named, "key").where(F.col("units") > own).select("key", "role", "doc_id", "n", "sketch", (F.col("blank") > own).alias("blanks")))
+    short = written(lost.join(named, "key").where(F.col("units") + F.col("blank") > own).select("key", "role", "doc_id", "n", "sketch", (F.col("blank") > own).alias("blanks")))
     shared = found.where("kind = 2").select("a", "b", "blob").mapInPandas(_open, "sig long, role long, key long")
     # empty segments matter only to sets whose other segments cannot give the units; for all others a match is elsewhere
     meet = written(shared.join(short.select("key", "role", "blanks"), ["key", "role"]).where(F.col("blanks") | (F.col("sig").bitwiseAND(2) == 0)).select("sig", "role", "key"))
@@ -486,7 +566,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, crowd: int = 16
         if not nearest:  # as many signatures as a set has segments, of which the lowest are kept
             low = meet.groupBy("key", "role").agg(F.slice(F.array_sort(F.collect_list(F.xxhash64("sig"))), 1, LOWEST).alias("low"))
             rows = rows.join(low, ["key", "role"]).withColumn("at", F.xxhash64("sig"))
-        more = written(rows.groupBy("sig", "p", "q").applyInPandas(_across(percent, nearest), "a long, b long").distinct())
+        more = written(rows.groupBy("sig", "p", "q").applyInArrow(_across(percent, nearest), "a long, b long").distinct())
         if not more.isEmpty():
             links = written(links.union(_links(more, classes, docs, k, percent)))
             label = written(components(links))
