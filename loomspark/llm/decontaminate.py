@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .store import written
 
 U64 = np.uint64
 BLOCK = 16
@@ -28,7 +29,7 @@ STRIDE = 4  # a wide window begins at each so-many-th part of its length
 SLOT_BITS = 20
 SHIFT = U64(64 - SLOT_BITS)
 RANK, OVER = 128, 16
-FIT_TEXTS = 20_000  # texts, about, that the latent space is fitted on besides the benchmark
+TOGETHER = 1 << 21  # pairs of terms that a task holds before it adds them up
 COMMON = 0.2  # terms in more of the texts weigh nothing
 COSINE, COVER = 0.4, 0.25
 LCS_ALONE, LCS_ANSWER, ANSWER = 0.85, 0.6, 3
@@ -166,29 +167,72 @@ def _near(r: np.ndarray, number: np.ndarray, s: np.ndarray, at: np.ndarray, vect
         yield from zip(r[x[i]].tolist(), number[x[i]].tolist(), j.tolist(), c[i, j].tolist())
 
 
-def _gram(shared, weight, basis):
-    """A'A times ``basis`` over the windows of a task, as rows (term, vector)."""
+def _together(shared, weight):
+    """How often two terms that weigh something stand in one block: rows (a, b, n), a <= b; with A the blocks by
+    counts of terms, A'A."""
 
     def run(batches):
         terms: Terms = shared.value
-        w, q = weight.value, basis.value
-        p = (q * w[:, None]).astype(np.float32)
-        total = np.zeros_like(q, dtype=np.float64)
+        heavy = weight.value > 0
+        keys, counts, held = [], [], 0
+
+        def merged():
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+
+        def batch_of(key, n):
+            return pa.RecordBatch.from_arrays([pa.array((key // terms.size).astype(np.int32)), pa.array((key % terms.size).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+
         for batch in batches:
             for _, _, h, row in K.words(batch.column(0)):
-                t = terms.of(h)
-                r, number, z = windows(t, row, w, p)
-                if not len(r):
+                if not len(row):
                     continue
+                t = terms.of(h)
                 size = np.bincount(row)
-                begin = (np.cumsum(size) - size)[row]
-                block = np.cumsum(np.concatenate(([True], (row[1:] != row[:-1]) | (((np.arange(len(row)) - begin) // BLOCK)[1:] != ((np.arange(len(row)) - begin) // BLOCK)[:-1])))) - 1
-                ok = np.flatnonzero((t >= 0) & (w[t] > 0))
-                order = ok[np.argsort(t[ok], kind="stable")]
-                for a in range(0, len(order), 1 << 14):
-                    part = order[a : a + (1 << 14)]
-                    at = np.flatnonzero(np.concatenate(([True], t[part][1:] != t[part][:-1])))
-                    total[t[part][at]] += np.add.reduceat(z[block[part]], at, axis=0)
+                number = (np.arange(len(row)) - (np.cumsum(size) - size)[row]) // BLOCK
+                ok = np.flatnonzero((t >= 0) & heavy[t])
+                t, row, number = t[ok].astype(np.int64), row[ok], number[ok]
+                got = [t * terms.size + t]
+                for d in range(1, BLOCK):
+                    same = np.flatnonzero((row[d:] == row[:-d]) & (number[d:] == number[:-d]))
+                    if not len(same):
+                        break
+                    x, y = t[same], t[same + d]
+                    key = np.minimum(x, y) * terms.size + np.maximum(x, y)
+                    got += [key, key[x == y]]  # two places of one term make two products
+                key, n = np.unique(np.concatenate(got), return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > TOGETHER:
+                    key, n = merged()
+                    keys, counts, held = [key], [n], len(key)
+                    if held > TOGETHER // 2:
+                        yield from K.sliced(batch_of(key, n))
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield from K.sliced(batch_of(*merged()))
+        K.release()
+
+    return run
+
+
+def _gram(weight, basis):
+    """A'A times ``basis`` from the pairs (a, b, n) of a task, as rows (term, vector)."""
+
+    def run(batches):
+        w, q = weight.value, basis.value
+        p = (q * w[:, None]).astype(np.float32)
+        total = np.zeros_like(q, dtype=np.float64)
+        for batch in batches:
+            x, y, n = (batch.column(i).to_numpy() for i in range(3))
+            apart = x != y
+            for to, of, n in ((x, y, n), (y[apart], x[apart], n[apart])):
+                order = np.argsort(to, kind="stable")
+                for i in range(0, len(order), 1 << 14):
+                    part = order[i : i + (1 << 14)]
+                    at = np.flatnonzero(np.concatenate(([True], to[part][1:] != to[part][:-1])))
+                    total[to[part][at]] += np.add.reduceat(p[of[part]] * n[part, None].astype(np.float32), at, axis=0)
         total *= w[:, None]
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         K.release()
@@ -202,18 +246,20 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"term": [frame["term"].iloc[0]], "v": [v.tobytes()]})
 
 
-def latent_basis(sample: DataFrame, shared, weight, items: Sparse, rank: int, turns: int = 2) -> np.ndarray:
-    """Orthonormal term vectors (terms, rank): randomised subspace iteration on A'A, where A has the sample's
-    blocks and, OWN times as heavy in sum, the items at unit length. Tasks send sums by term, which are added before
-    they come to the driver; it holds terms x rank, of at most BLOCK_WORDS terms."""
-    sc = sample.sparkSession.sparkContext
+def latent_basis(texts: DataFrame, shared, weight, items: Sparse, rank: int, turns: int = 2) -> np.ndarray:
+    """Orthonormal term vectors (terms, rank): randomised subspace iteration on A'A, where A has the texts'
+    blocks and, OWN times as heavy in sum, the items at unit length. The texts are read once, for the counts of A'A, which
+    the turns read. Tasks send sums by term, which are added before they come to the driver; it holds terms x rank, of
+    at most BLOCK_WORDS terms."""
+    sc = texts.sparkSession.sparkContext
+    together = written(texts.mapInArrow(_together(shared, weight), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
     items = items.unit()
     n, r = items.shape[1], min(items.shape[1], rank + OVER)
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((n, r)))[0].astype(np.float32)
     for _ in range(turns):
         basis = sc.broadcast(q)
         y = np.zeros_like(q)
-        for term, v in sample.mapInArrow(_gram(shared, weight, basis), "term long, v binary").groupBy("term").applyInPandas(_add, "term long, v binary").toLocalIterator():
+        for term, v in together.mapInArrow(_gram(weight, basis), "term long, v binary").groupBy("term").applyInPandas(_add, "term long, v binary").toLocalIterator():
             y[term] = np.frombuffer(v, np.float64)
         own = items.transposed_times(items.times(q))
         size = np.linalg.norm(y)
@@ -319,7 +365,7 @@ def _leaky(model):
     return F.arrow_udf(run, "boolean")
 
 
-def _fitted(docs: DataFrame, items: list[tuple[int, str]], rank: int, fit: int):
+def _fitted(docs: DataFrame, items: list[tuple[int, str]], rank: int, fit: int | None):
     """The broadcast model of one block of items; None if no item has a word."""
     sc = docs.sparkSession.sparkContext
     hashed: list[np.ndarray] = [np.zeros(0, U64)] * len(items)
@@ -346,8 +392,10 @@ def _fitted(docs: DataFrame, items: list[tuple[int, str]], rank: int, fit: int):
             weight[t] = idf[t]
     matrix = Sparse(numbers, weight)
     shared_weight = sc.broadcast(weight)
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    q = latent_basis(docs.where(u < min(1.0, fit / total)).select(F.col("text").cast("string").alias("text")), shared, shared_weight, matrix, rank)
+    if fit is not None:
+        u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        text = docs.where(u < min(1.0, fit / total)).select(F.col("text").cast("string").alias("text"))
+    q = latent_basis(text, shared, shared_weight, matrix, rank)
     z = matrix.times(q)
     norms = np.linalg.norm(z, axis=1)
     norms[norms == 0] = 1e-9
@@ -365,7 +413,7 @@ def _fitted(docs: DataFrame, items: list[tuple[int, str]], rank: int, fit: int):
     return sc.broadcast(Model(terms, weight, project, (z / norms[:, None]).T.astype(np.float32), norms.astype(np.float32), ids, [h.tolist() for h in hashed], answers))
 
 
-def _models(docs: DataFrame, benchmark: DataFrame, rank: int, fit: int):
+def _models(docs: DataFrame, benchmark: DataFrame, rank: int, fit: int | None):
     rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     words = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     blocks = max(1, -(-words // BLOCK_WORDS))
@@ -375,7 +423,7 @@ def _models(docs: DataFrame, benchmark: DataFrame, rank: int, fit: int):
             yield model
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit: int = FIT_TEXTS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit: int | None = None) -> DataFrame:
     """One row for each document and item that it leaks: ``doc_id, item_id, cosine`` (of the best window),
     ``lcs`` (words in common, in order), ``item_words``, ``answer_found``.
 
@@ -383,7 +431,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit: int = FI
     texts and items, and items without a word or an id, match nothing; a null doc_id is shown as it is; repeated rows
     each give their hits; if either table is empty there are none. The benchmark is a query set: it is searched in
     blocks of about BLOCK_WORDS words, which bounds what is broadcast and what the driver holds. The latent space is
-    fitted on about ``fit`` texts; every text is searched, whole.
+    fitted on all texts (with ``fit``, on about so many of them only); every text is searched, whole.
     """
     out = docs.sparkSession.createDataFrame([], HITS)
     for model in _models(docs, benchmark, rank, fit):
@@ -391,7 +439,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit: int = FI
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit: int = FIT_TEXTS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, fit: int | None = None) -> DataFrame:
     """The rows whose text leaks no item, with their columns (of any name) as they are; each row is judged by its own
     text, so null and repeated ids need no care. Only the text goes to Python; nothing is shuffled."""
     out = docs
