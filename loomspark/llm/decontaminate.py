@@ -174,11 +174,15 @@ def _together(shared, weight):
     def run(batches):
         terms: Terms = shared.value
         heavy = weight.value > 0
-        keys, counts, held = [], [], 0
+        key, n, more, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merged():
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return key, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+            own, times = np.unique(np.concatenate(more), return_counts=True)
+            both, count = np.concatenate((key, own)), np.concatenate((n, times))
+            order = np.argsort(both, kind="stable")
+            both, count = both[order], count[order]
+            at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+            return both[at], np.add.reduceat(count, at)
 
         def batch_of(key, n):
             return pa.RecordBatch.from_arrays([pa.array((key // terms.size).astype(np.int32)), pa.array((key % terms.size).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
@@ -192,26 +196,28 @@ def _together(shared, weight):
                 number = (np.arange(len(row)) - (np.cumsum(size) - size)[row]) // BLOCK
                 ok = np.flatnonzero((t >= 0) & heavy[t])
                 t, row, number = t[ok].astype(np.int64), row[ok], number[ok]
-                got = [t * terms.size + t]
+                if not len(t):
+                    continue
+                more.append(t * terms.size + t)
                 for d in range(1, BLOCK):
                     same = np.flatnonzero((row[d:] == row[:-d]) & (number[d:] == number[:-d]))
                     if not len(same):
                         break
                     x, y = t[same], t[same + d]
-                    key = np.minimum(x, y) * terms.size + np.maximum(x, y)
-                    got += [key, key[x == y]]  # two places of one term make two products
-                key, n = np.unique(np.concatenate(got), return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                held += len(key)
+                    two = np.minimum(x, y) * terms.size + np.maximum(x, y)
+                    more += [two, two[x == y]]  # two places of one term make two products
+                    held += len(two)
+                held += len(t)
                 if held > TOGETHER:
                     key, n = merged()
-                    keys, counts, held = [key], [n], len(key)
-                    if held > TOGETHER // 2:
+                    more, held = [], 0
+                    if len(key) > TOGETHER // 2:
                         yield from K.sliced(batch_of(key, n))
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield from K.sliced(batch_of(*merged()))
+                        key, n = key[:0], n[:0]
+        if more:
+            key, n = merged()
+        if len(key):
+            yield from K.sliced(batch_of(key, n))
         K.release()
 
     return run
