@@ -2,31 +2,172 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.vectors import dot, norm
+from ..functions.vectors import norm
+
+
+#: Entries of a matrix that a task works on at a time.
+CELLS = 1 << 19
+#: Items that a task compares at a time, and those of a stripe of items: few of them are not worth a task of their own.
+AT_ONCE, LEAST_ITEMS, MOST_ITEMS = 1024, 8192, 1 << 17
+#: Scores have six places: half of the last one, and how far a product of matrices is certain to be from a sum.
+_HALF, _NEAR = 0.5e-6, 0.1e-6
+
+
+def _matrix(v: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of a matrix, cut or filled up with zeros to ``width`` (default: the longest), and their sizes."""
+    size = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = int(size.max(initial=0)) if width is None else width
+    if (size == width).all():
+        return values.reshape(len(size), width), size
+    row, place = np.repeat(np.arange(len(size)), size), np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+    out, fits = np.zeros((len(size), width)), place < width
+    out[row[fits], place[fits]] = values[fits]
+    return out, size
+
+
+def _unit(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zeros where there is no direction, NaN where the length is too extreme to be sure of anything."""
+    unit = x / norm[:, None]
+    unit[~((norm > 1e-100) & (norm < 1e100))] = np.nan
+    unit[norm == 0] = 0.0
+    return unit
+
+
+def _cosines(x: np.ndarray, x_norm: np.ndarray, y: np.ndarray, y_norm: np.ndarray) -> np.ndarray:
+    """Of pairs of rows: added up one entry after the other and rounded half away from zero, as SQL does."""
+    total, norm = np.zeros(len(x)), x_norm * y_norm
+    for j in range(x.shape[1]):
+        total += x[:, j] * y[:, j]
+    score = np.divide(total, norm, out=np.zeros(len(x)), where=(x_norm != 0) & (y_norm != 0) & (norm != 0))
+    whole = np.trunc(score * 1e6)
+    whole += np.where(np.abs(score * 1e6 - whole) >= 0.5, np.sign(score), 0.0)
+    return np.where(np.isfinite(whole), whole / 1e6, score)
+
+
+class _Asked:
+    """A block of queries with the k best items so far. Items come in the order of their ids, so a later one has to have a
+    higher score than the k-th. A product of matrices leaves out the pairs that cannot; the others are worked out."""
+
+    def __init__(self, rows: pa.RecordBatch, k: int, threshold: float):
+        self.ids, self.norm, self.k, self.threshold = rows.column("query_id"), rows.column("n").to_numpy(), k, threshold
+        self.x, self.size = _matrix(rows.column("v"))
+        self.unit = _unit(self.x, self.norm)
+        self.bar = np.full(len(self.x), max(threshold - _HALF - _NEAR, -np.finfo(float).max))
+        self.query, self.score, self.item = np.zeros(0, np.int64), np.zeros(0), None
+
+    def _reach(self, at: slice, unit: np.ndarray, size: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of some queries and these items that may have a place among the best."""
+        s = self.unit[at] @ unit.T
+        sizes = self.size[at]
+        if (size != sizes[0]).any() or (sizes != sizes[0]).any() or (norm == 0).any() or (self.norm[at] == 0).any():
+            flat = (self.norm[at] == 0)[:, None] | (norm == 0)
+            s = np.where(flat, 0.0, np.where(sizes[:, None] == size, s, -np.inf))
+        rows = np.flatnonzero(~(s.max(axis=1) < self.bar[at]))
+        s, bar = s[rows], self.bar[at][rows]
+        near = ~(s < bar[:, None])  # NaN is near
+        if s.shape[1] > self.k and np.count_nonzero(near) > 4 * self.k * len(rows):
+            best = np.partition(np.where(np.isnan(s), -np.inf, s), -self.k, axis=1)[:, -self.k]
+            near &= ~(s < (best - 2 * (_HALF + _NEAR))[:, None])
+        query, item = np.nonzero(near)
+        return rows[query] + at.start, item
+
+    def look(self, rows: pa.RecordBatch) -> None:
+        norm = rows.column("n").to_numpy()
+        y, size = _matrix(rows.column("v"), self.x.shape[1])
+        unit = _unit(y, norm)
+        step, pairs = max(1, CELLS // len(y)), max(1, CELLS // max(1, y.shape[1]))
+        for i in range(0, len(self.x), step):
+            query, item = self._reach(slice(i, min(i + step, len(self.x))), unit, size, norm)
+            parts = [(query[p : p + pairs], item[p : p + pairs]) for p in range(0, len(query), pairs)]
+            for q, t in parts:
+                score = _cosines(self.x[q], self.norm[q], y[t], norm[t])
+                keep = ~(score < self.threshold)
+                self._add(q[keep], score[keep], rows.column("item_id").take(pa.array(t[keep])))
+
+    def _add(self, query: np.ndarray, score: np.ndarray, item: pa.Array) -> None:
+        """New hits, by query and place; those of a query stand by falling score, equal ones in the order they came."""
+        if not len(query):
+            return
+        hit = np.zeros(len(self.x), bool)
+        hit[query] = True
+        old = hit[self.query]
+        if self.item is None:
+            self.item = item.slice(0, 0)
+        rest = self.query[~old], self.score[~old], self.item.filter(pa.array(~old))
+        query, score, item = np.concatenate([self.query[old], query]), np.concatenate([self.score[old], score]), pa.concat_arrays([self.item.filter(pa.array(old)), item])
+        order = np.lexsort((-np.where(np.isnan(score), np.inf, np.minimum(score, np.finfo(float).max)), query))  # NaN first, as in SQL
+        query, score = query[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = score[rank == self.k - 1]
+        self.bar[query[rank == self.k - 1]] = np.where(np.isnan(last), np.inf, last + _HALF - _NEAR)
+        keep = rank < self.k
+        self.query, self.score = np.concatenate([rest[0], query[keep]]), np.concatenate([rest[1], score[keep]])
+        self.item = pa.concat_arrays([rest[2], item.take(pa.array(order[keep]))])
+
+    def hits(self):
+        for i in range(0, len(self.query), 50_000):
+            at = slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(self.query[at])), self.item.slice(i, 50_000), pa.array(self.score[at])], ["query_id", "item_id", "score"])
+
+
+def _nearest(k: int, threshold: float):
+    """Of one task: a block of queries, then a stripe of items by their ids."""
+
+    def run(batches):
+        asked, block = [], None
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                n = batch.num_rows - (pc.sum(batch.column("is_item")).as_py() or 0)
+                if n:
+                    asked.append(batch.slice(0, n))
+                if not asked:
+                    continue  # a block without queries
+                for i in range(n, batch.num_rows, AT_ONCE):
+                    block = block or _Asked(pa.Table.from_batches(asked).combine_chunks().to_batches()[0], k, threshold)
+                    block.look(batch.slice(i, AT_ONCE))
+            if block:
+                yield from block.hits()
+
+    return run
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0.5, most_queries: int = 10_000) -> DataFrame:
     """``queries(query_id, q)``, ``items(item_id, v)`` -> the k most similar items of each query above a threshold,
-    ties by id. Queries are a stated set: they are counted and sent to every partition of the items, in blocks of about
-    ``most_queries``; each partition keeps k of them before anything is shuffled (the window's group limit)."""
-    blocks = -(-queries.count() // most_queries)
-    if blocks > 1:
-        parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
-        return reduce(DataFrame.union, (top_k(x, items, k, threshold, 2 * most_queries) for x in parts))
-    q = queries.select("query_id", "q", norm(F.col("q")).alias("qn"))
-    i = items.select("item_id", "v", norm(F.col("v")).alias("vn"))
-    s = F.round(F.when((F.col("qn") > 0) & (F.col("vn") > 0), dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn"))).otherwise(0.0), 6)
-    pairs = i.join(F.broadcast(q)).select("query_id", "item_id", s.alias("score")).where(F.col("score") >= threshold)
+    ties by id: every query against every item.
+
+    Queries are dealt to blocks of about ``most_queries`` (fewer if vectors are wide) and items to stripes, as many as
+    their counts ask for. A block and a stripe are a task, which holds the block, reads the stripe and keeps k items of
+    each query; the work grows with queries times items. Vectors of different sizes are no hits; null ones, those with
+    null entries and zeros score 0.
+    """
+    (n, width), n_items = queries.select(F.count("*"), F.max(F.size("q"))).first(), items.count()
+    blocks = max(1, -(-n // max(1, min(most_queries, 8 * CELLS // max(1, width or 0)))))
+    wanted = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stripes = max(1, -(-n_items // MOST_ITEMS), min(-(-wanted // blocks), -(-n_items // LEAST_ITEMS)))
+
+    kinds = {queries.schema["q"].dataType.elementType.typeName(), items.schema["v"].dataType.elementType.typeName()}
+    kind = "array<float>" if kinds == {"float"} else "array<double>"
+    q = queries.select("query_id", F.col("q").cast(kind).alias("v"), F.coalesce(norm(F.col("q")), F.lit(0.0)).alias("n"))
+    i = items.select("item_id", F.col("v").cast(kind).alias("v"), F.coalesce(norm(F.col("v")), F.lit(0.0)).alias("n"))
+    if threshold > 0:
+        q, i = q.where("n > 0"), i.where("n > 0")
+    q, i = q.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks))), i.withColumn("stripe", F.pmod(F.xxhash64("item_id", "v"), F.lit(stripes)))
+    ids = {c: d.schema[c].dataType for d, c in ((q, "query_id"), (i, "item_id"))}
+    ask = q.select(F.lit(False).alias("is_item"), "query_id", F.lit(None).cast(ids["item_id"]).alias("item_id"), "v", "n", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"))
+    give = i.select(F.lit(True).alias("is_item"), F.lit(None).cast(ids["query_id"]).alias("query_id"), "item_id", "v", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "stripe")
+    met = ask.union(give).repartitionById(blocks * stripes, (F.col("block") * stripes + F.col("stripe")).cast("int")).sortWithinPartitions("is_item", "item_id")
+    found = met.mapInArrow(_nearest(k, threshold), StructType([StructField(c, t) for c, t in ids.items()] + [StructField("score", DoubleType())]))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def with_texts(hits: DataFrame, texts: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
