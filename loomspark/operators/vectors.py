@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.vectors import norm
+from ..sources.shared import written
 
 
 #: Entries of a matrix that a task works on at a time.
@@ -170,10 +171,14 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def with_texts(hits: DataFrame, texts: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
+def with_texts(hits: DataFrame, texts: DataFrame, separator: str = "\n\n---\n\n", most_sent: int = 500_000) -> DataFrame:
     """``hits(query_id, item_id, rank, ...)`` of ``top_k`` and ``texts(item_id, text)`` -> ``query_id, context``: the
-    texts of the hits in their order (at most k of them), joined; hits without a text are passed over."""
-    met = hits.join(texts.where("text IS NOT NULL"), "item_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x"))
+    texts of the hits in their order (at most k of them), joined; hits without a text are passed over. The hits are
+    written and counted: at most ``most_sent`` go to where the texts are read, so that only texts that were hit are
+    shuffled; more are joined by a shuffle of all texts."""
+    hits = written(hits.select("query_id", "item_id", "rank"))
+    found = F.broadcast(hits) if hits.count() <= most_sent else hits
+    met = texts.where("text IS NOT NULL").join(found, "item_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x"))
     return met.select("query_id", F.array_join(F.transform("x", lambda h: h["text"]), separator).alias("context"))
 
 

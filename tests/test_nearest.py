@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import vectors
-from loomspark.plans.catalogue import SQL
+from loomspark.plans.catalogue import QUERIES, SQL
 
 NAN, INF = float("nan"), float("inf")
 
@@ -78,8 +78,6 @@ def test_fewer_items_than_wanted_and_none(spark):
 
 def test_larger_table_same_as_sql(spark):
     """On the table of sf0.1 (four times that of the smaller ones), without a nested loop over all pairs."""
-    from loomspark.plans.catalogue import QUERIES
-
     d = "/root/testdata/sf0.1"
     df = QUERIES["o5_top_k"](spark, d)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -88,3 +86,27 @@ def test_larger_table_same_as_sql(spark):
     con.execute(f"create view embeddings as select * from read_parquet('{d}/embeddings.parquet')")
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(SQL["o5_top_k"]).fetchall())
     assert df.where(F.col("rank") > 3).count() == 0
+
+
+def test_texts_stay_where_they_are_read(spark):
+    hits = spark.createDataFrame([(q, i, r) for q in range(30) for r, i in enumerate((q, q + 1, 99), 1)], "query_id long, item_id long, rank long")
+    texts = spark.createDataFrame([(i, f"t{i}" if i % 7 else None) for i in range(60)], "item_id long, text string")
+    want = sorted((q, "|".join(f"t{i}" for i in (q, q + 1) if i % 7)) for q in range(30))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, join in ((500_000, "BroadcastHashJoin"), (10, "SortMergeJoin")):
+            df = vectors.with_texts(hits, texts, "|", most)
+            assert join in df._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, df.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_larger_tables_retrieved_texts_same_as_sql(spark):
+    d = "/root/testdata/sf0.1"
+    df = QUERIES["o5_retrieved_texts"](spark, d)
+    con = duckdb.connect()
+    for t in ("embeddings", "documents"):
+        con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet')")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(SQL["o5_retrieved_texts"]).fetchall())
