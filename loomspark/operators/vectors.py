@@ -17,7 +17,7 @@ from ..sources.shared import written
 #: Entries of a matrix that a task works on at a time.
 CELLS = 1 << 19
 #: Items that a task compares at a time, and those of a stripe of items: few of them are not worth a task of their own.
-AT_ONCE, LEAST_ITEMS, MOST_ITEMS = 1024, 8192, 1 << 17
+AT_ONCE, LEAST_ITEMS, MOST_ITEMS = 1024, 1 << 14, 1 << 17
 #: Scores have six places: half of the last one, and how far a product of matrices is certain to be from a sum.
 _HALF, _NEAR = 0.5e-6, 0.1e-6
 
@@ -62,32 +62,42 @@ class _Asked:
         self.ids, self.norm, self.k, self.threshold = rows.column("query_id"), rows.column("n").to_numpy(), k, threshold
         self.x, self.size = _matrix(rows.column("v"))
         self.unit = _unit(self.x, self.norm)
-        self.bar = np.full(len(self.x), max(threshold - _HALF - _NEAR, -np.finfo(float).max))
+        self.rough, self.slack = self.unit.astype(np.float32), (self.x.shape[1] + 8) * 2.0**-23  # twice what rounding can be
+        self.bar = np.full(len(self.x), max(threshold - _HALF - _NEAR, -1e30))
         self.query, self.score, self.item = np.zeros(0, np.int64), np.zeros(0), None
 
-    def _reach(self, at: slice, unit: np.ndarray, size: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of some queries and these items that may have a place among the best."""
-        s = self.unit[at] @ unit.T
+    def _reach(self, at: slice, unit: np.ndarray, rough: np.ndarray, size: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of some queries and these items that may have a place among the best: by a product in single precision
+        first, and again where that leaves many."""
         sizes = self.size[at]
-        if (size != sizes[0]).any() or (sizes != sizes[0]).any() or (norm == 0).any() or (self.norm[at] == 0).any():
-            flat = (self.norm[at] == 0)[:, None] | (norm == 0)
-            s = np.where(flat, 0.0, np.where(sizes[:, None] == size, s, -np.inf))
-        rows = np.flatnonzero(~(s.max(axis=1) < self.bar[at]))
-        s, bar = s[rows], self.bar[at][rows]
-        near = ~(s < bar[:, None])  # NaN is near
+        mixed = (size != sizes[0]).any() or (sizes != sizes[0]).any() or (norm == 0).any() or (self.norm[at] == 0).any()
+
+        def product(x, y, rows):
+            s = x @ y.T
+            if mixed:
+                flat = (self.norm[at][rows] == 0)[:, None] | (norm == 0)
+                s = np.where(flat, 0.0, np.where(sizes[rows, None] == size, s, -np.inf))
+            return s
+
+        s = product(self.rough[at], rough, slice(None))
+        low = (self.bar[at] - self.slack).astype(np.float32)
+        rows = np.flatnonzero(~(s.max(axis=1) < low))
+        near = ~(s[rows] < low[rows, None])  # NaN is near
         if s.shape[1] > self.k and np.count_nonzero(near) > 4 * self.k * len(rows):
+            s, bar = product(self.unit[at][rows], unit, rows), self.bar[at][rows]
             best = np.partition(np.where(np.isnan(s), -np.inf, s), -self.k, axis=1)[:, -self.k]
-            near &= ~(s < (best - 2 * (_HALF + _NEAR))[:, None])
-        query, item = np.nonzero(near)
+            near = ~(s < np.maximum(bar, best - 2 * (_HALF + _NEAR))[:, None])
+        query, item = np.divmod(np.flatnonzero(near), len(size))
         return rows[query] + at.start, item
 
     def look(self, rows: pa.RecordBatch) -> None:
         norm = rows.column("n").to_numpy()
         y, size = _matrix(rows.column("v"), self.x.shape[1])
         unit = _unit(y, norm)
+        rough = unit.astype(np.float32)
         step, pairs = max(1, CELLS // len(y)), max(1, CELLS // max(1, y.shape[1]))
         for i in range(0, len(self.x), step):
-            query, item = self._reach(slice(i, min(i + step, len(self.x))), unit, size, norm)
+            query, item = self._reach(slice(i, min(i + step, len(self.x))), unit, rough, size, norm)
             parts = [(query[p : p + pairs], item[p : p + pairs]) for p in range(0, len(query), pairs)]
             for q, t in parts:
                 score = _cosines(self.x[q], self.norm[q], y[t], norm[t])
